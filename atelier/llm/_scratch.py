@@ -1,0 +1,41 @@
+"""Tables that cut lineage, kept in the folder all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="atelier-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: later steps
+    restart from files, whichever executors are lost."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/atelier/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint, for steps that need partitions to stay as they are."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that ``cut`` wrote in this application."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/atelier/{sc.applicationId}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
