@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, near_duplicates, quality_rules, token_counts, toxicity
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+    return bpe.digests(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, keep=["doc_id"])
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(read(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.lengths(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, keep=[])
+    return token_counts.suffix_sums(token_counts.histogram(counted))
 
-    from . import bpe
 
-    return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = toxicity.train(toxicity.labelled(docs, labels.filter(~held_out), most_each=1500))
+    scored = toxicity.score(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op6_byte_bpe,)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_byte_bpe, op8_minhash, op9_token_counts, op10_toxicity)}

@@ -2,4 +2,50 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+#: Words as op2 and op8 take them.
+SPACED = r"[^\x20\x09-\x0D]+"
+
+OP2 = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{SPACED}') AS w FROM docs)),
+base AS (SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars FROM words GROUP BY doc_id),
+symbols AS (SELECT doc_id, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM docs),
+windows AS (SELECT doc_id, pos, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS w FROM words),
+twice AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows WHERE len(w) = 8) WHERE n > 1),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(pos, pos + 8)) AS p FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM docs)),
+worded AS (SELECT *, regexp_extract_all(line, '{SPACED}') AS w FROM lines WHERE regexp_matches(line, '{SPACED}')),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY doc_id),
+judged AS (SELECT doc_id, k, len(w) AS n,
+    (len(w) >= 3 AND NOT regexp_matches(w[-1], '[^\x00-\x20\x21-\x7F]$|[.!?:;"'')\]}}]$'))
+    OR 5 * len(list_filter(w, lambda x: x = '|')) > len(w)
+    OR (2 * length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > len(w) AND length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) >= 3)
+    OR (len(w) >= 3 AND length(regexp_replace(line, '[^A-Z]', '', 'g')) > length(regexp_replace(line, '[^a-z]', '', 'g')))
+    OR (len(w) >= 4 AND 2 * len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) > len(w))
+    OR (strlen(line) <= 200 AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '^[\x09-\x0D\x20]*(all rights reserved|licensed under|released under|this work is licensed|copyright|terms of service|privacy policy|cookie policy|sign up for|subscribe to our newsletter)')) AS fails
+  FROM worded),
+lost AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE fails) AS n_lines_removed, coalesce(sum(n) FILTER (WHERE fails), 0) AS n_words_removed FROM judged GROUP BY doc_id),
+every AS (SELECT docs.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_lines_removed, 0)::BIGINT AS n_lines_removed, coalesce(n_words_removed, 0)::BIGINT AS n_words_removed
+  FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN symbols USING (doc_id) LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
+    NOT failed AND 2 * n_words_removed <= n_words AS kept, n_lines, n_lines_removed, n_words_removed
+FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS failed FROM every)
+"""
+
+OP8 = rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPACED}') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 4) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(doc_id, least) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, least FROM reach JOIN ways ON a = reach.doc_id),
+names AS (SELECT doc_id, min(least) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM names LEFT JOIN sizes USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op8_minhash": OP8}
