@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_duplicates, quality_rules, token_counts, toxicity
+from . import bpe, decontaminate, near_duplicates, quality_model, quality_rules, secrets, sharding, token_counts, toxicity, url_filters
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -15,14 +15,43 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
+    """Documents are sites' pages here: their source is the host, source and language the path."""
+    model = quality_model.train(toxicity.labelled(docs, read(spark, sf_dir, "labels"), most_each=1500, label="quality"))
+    host = F.col("source")
+    return quality_model.judge(docs, model, host, F.concat_ws("/", host, F.col("lang")), keep=keep)
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality(spark, read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), sf_dir, keep=["doc_id"])
+    return judged.select("doc_id", "host", "path", "evidence", "host_posterior", "path_posterior", "posterior", "kept")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(read(spark, sf_dir, "documents"), [("source", "linear"), ("lang", "linear"), ("n_chars", "log")])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(read(spark, sf_dir, "pages"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(read(spark, sf_dir, "documents"))
 
@@ -40,4 +69,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_byte_bpe, op8_minhash, op9_token_counts, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_quality_rules, op3_hilbert_sharding, op4_secret_scans, op5_url_filters,
+        op6_byte_bpe, op7_decontaminate, op8_minhash, op9_token_counts, op10_toxicity,
+    )
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import secrets, sharding, url_filters
+
 #: Words as op2 and op8 take them.
 SPACED = r"[^\x20\x09-\x0D]+"
 
@@ -48,4 +50,134 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM names LEFT JOIN sizes USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op8_minhash": OP8}
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def op3() -> str:
+    """Rank along the curve: the axes are turned level by level, as in Skilling's transform."""
+    n, bits, levels = 3, sharding.BITS, []
+    x = [f"x{i}" for i in range(n)]
+
+    def level(new: list[str]) -> None:
+        """One more subquery that replaces the axes."""
+        levels.append(", ".join(f"{e} AS x{i}" for i, e in enumerate(new)))
+
+    for b in range(bits - 1, 0, -1):
+        q, p = 1 << b, (1 << b) - 1
+        for i in range(n):
+            t = f"(xor(x0, x{i}) & {p})"
+            on = f"(x{i} & {q}) <> 0"
+            new = list(x)
+            new[0] = f"CASE WHEN {on} THEN xor(x0, {p}) ELSE xor(x0, {t}) END"
+            if i:
+                new[i] = f"CASE WHEN {on} THEN x{i} ELSE xor(x{i}, {t}) END"
+            level(new)
+    for i in range(1, n):
+        level([*x[:i], f"xor(x{i}, x{i - 1})", *x[i + 1 :]])
+    turn = "0"
+    for b in range(1, bits):
+        turn = f"xor({turn}, CASE WHEN (x{n - 1} & {1 << b}) <> 0 THEN {(1 << b) - 1} ELSE 0 END)"
+    level([f"xor({a}, {turn})" for a in x])
+    query = "cells"
+    for columns in levels:
+        query = f"(SELECT doc_id, size, crc, {columns} FROM {query})"
+    curve = " + ".join(f"((x{i} >> {b}) & 1) * {1 << (b * n + n - 1 - i)}" for b in range(bits) for i in range(n))
+    code = lambda c: f"('0x' || rpad(substr(hex(encode({c})), 1, 14), 14, '0'))::BIGINT"
+    scale = lambda c: f"coalesce((({c} - min({c}) OVER ()) // greatest(1, ((max({c}) OVER () - min({c}) OVER () + 1) + {(1 << bits) - 1}) // {1 << bits}))::BIGINT, 0)"
+    return f"""
+WITH crcs AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+bytes AS (SELECT documents.*, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::BIGINT) AS b FROM documents),
+numbers AS (SELECT doc_id, len(b) + 1 AS size, xor(list_reduce(list_concat([4294967295], b), lambda c, k: xor(c >> 8, t[(xor(c, k) & 255) + 1])), 4294967295) AS crc,
+    {code("source")} AS a0, {code("lang")} AS a1, floor(log2(n_chars + 1) * 1024)::BIGINT AS a2 FROM bytes, crcs),
+cells AS (SELECT doc_id, size, crc, {scale("a0")} AS x0, {scale("a1")} AS x1, {scale("a2")} AS x2 FROM numbers),
+indexed AS (SELECT doc_id, size, crc, {curve} AS curve FROM {query}),
+ranked AS (SELECT *, row_number() OVER (ORDER BY curve, doc_id NULLS FIRST, crc) - 1 AS r, count(*) OVER () AS n FROM indexed),
+cut AS (SELECT *, n // 8 AS small, n % 8 AS more, (n % 8) * (n // 8 + 1) AS big FROM ranked),
+dealt AS (SELECT *, CASE WHEN r < big THEN r // (small + 1) ELSE (r - big) // greatest(small, 1) + more END AS shard FROM cut)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, shard::INTEGER AS shard,
+    (r - CASE WHEN shard < more THEN shard * (small + 1) ELSE big + (shard - more) * small END)::BIGINT AS slot, NULL::INTEGER AS grown_shard, curve::BIGINT AS curve
+FROM dealt"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def op4() -> str:
+    """Spans from the text between matches; entropy of each window counted anew."""
+    parts = []
+
+    def located(name: str, pattern: str) -> None:
+        parts.append(f"""{name}_m AS (SELECT doc_id, unnest(m) AS m, unnest(g[1:len(m)]) AS gap, unnest(range(len(m))) AS k
+            FROM (SELECT doc_id, regexp_extract_all(text, {_quoted(pattern)}) AS m, regexp_split_to_array(text, {_quoted(pattern)}) AS g FROM docs WHERE regexp_matches(text, {_quoted(pattern)}))),
+        {name}_at AS (SELECT doc_id, k, m, (sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY k) - length(m))::BIGINT AS pos FROM {name}_m)""")
+
+    for rank, (kind, (pattern, group, least)) in enumerate(secrets.BASE.items()):
+        located(kind, pattern)
+        parts.append(f"{kind} AS (SELECT doc_id, '{kind}' AS kind, {rank} AS rank, pos AS s, pos + length(m) AS e FROM {kind}_at WHERE length(regexp_extract(m, {_quoted(pattern)}, {group})) >= {least})")
+    parts.append("base AS (" + " UNION ALL ".join(f"SELECT * FROM {k}" for k in secrets.BASE) + ")")
+    for rank, (kind, (pattern, _, window, least)) in enumerate(secrets.ENTROPY.items(), len(secrets.BASE)):
+        located(kind, pattern)
+        parts.append(f"""{kind}_w AS (SELECT doc_id, pos, i, substr(m, i + 1, {window}) AS w FROM (SELECT *, unnest(range(length(m) - {window} + 1)) AS i FROM {kind}_at WHERE NOT regexp_matches(m, {_quoted(secrets.ALLOWED)}))),
+        {kind}_n AS (SELECT doc_id, pos, i, c, count(*) AS n FROM (SELECT doc_id, pos, i, unnest(string_split(w, '')) AS c FROM {kind}_w) GROUP BY ALL),
+        {kind}_h AS (SELECT doc_id, pos, i FROM {kind}_n GROUP BY ALL HAVING sum(-n / {window}::DOUBLE * log2(n / {window}::DOUBLE)) >= {least}),
+        {kind}_s AS (SELECT doc_id, '{kind}' AS kind, {rank} AS rank, pos + min(i) AS s, pos + max(i) + {window} AS e FROM {kind}_h GROUP BY doc_id, pos),
+        {kind} AS (SELECT x.* FROM {kind}_s x ANTI JOIN base b ON b.doc_id = x.doc_id AND b.s <= x.s AND x.e <= b.e)""")
+    parts.append("every AS (SELECT * FROM base UNION ALL " + " UNION ALL ".join(f"SELECT * FROM {k}" for k in secrets.ENTROPY) + ")")
+    listed = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e)"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {", ".join(parts)},
+counts AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in secrets.BASE)}, {listed} AS list FROM base GROUP BY doc_id),
+lists AS (SELECT doc_id, {listed} AS spans FROM every GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(list, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN counts USING (doc_id) LEFT JOIN lists USING (doc_id)"""
+
+
+def op5() -> str:
+    """The same rounds of propagation, one after the other."""
+    u = url_filters
+    lower = lambda x: f"translate({x}, '{u.UPPER}', '{u.LOWER}')"
+    fits = " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h}{p}'"
+        for v, h, p in sorted(u.RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    )
+    parts = []
+    for name, verdict, x, y in (("trust", "allow", "x", "y"), ("distrust", "block", "y", "x")):
+        parts.append(f"""{name}_seed AS MATERIALIZED (SELECT host, n_{verdict} / (SELECT sum(n_{verdict}) FROM hosts)::DOUBLE AS weight FROM hosts WHERE n_{verdict} > 0),
+        {name}_step AS MATERIALIZED (SELECT {x} AS a, {y} AS b, n / (sum(n) OVER (PARTITION BY {x}))::DOUBLE AS share FROM links),
+        {name}_0 AS (SELECT host, weight AS rank FROM {name}_seed)""")
+        for k in range(u.ROUNDS):
+            parts.append(f"""{name}_{k + 1} AS MATERIALIZED (SELECT host, round(sum(rank), {u.DECIMALS}) AS rank FROM (
+                SELECT b AS host, {u.FOLLOW} * rank * share AS rank FROM {name}_step JOIN {name}_{k} ON a = host
+                UNION ALL SELECT host, (1 - {u.FOLLOW}) * weight FROM {name}_seed) GROUP BY host)""")
+    return f"""
+WITH rows AS MATERIALIZED (SELECT page_id, html, coalesce({lower("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ruled AS MATERIALIZED (SELECT page_id, host, path, CASE {fits} END AS fit FROM rows),
+hosts AS MATERIALIZED (SELECT host, count(*) FILTER (WHERE fit LIKE 'allow %') AS n_allow, count(*) FILTER (WHERE fit LIKE 'block %') AS n_block FROM ruled WHERE host <> '' GROUP BY host),
+links AS MATERIALIZED (SELECT x, y, count(*) AS n FROM (SELECT host AS x, {lower("unnest(regexp_extract_all(html, " + _quoted(u.LINK) + ", 1))")} AS y FROM rows) WHERE x <> '' AND y <> '' AND x <> y GROUP BY ALL),
+{", ".join(parts)},
+doubts AS (SELECT host, CASE WHEN coalesce(t.rank, 0) + coalesce(d.rank, 0) > 0 THEN coalesce(d.rank, 0) / (coalesce(t.rank, 0) + coalesce(d.rank, 0)) ELSE 0 END AS doubt
+    FROM hosts LEFT JOIN trust_{u.ROUNDS} t USING (host) LEFT JOIN distrust_{u.ROUNDS} d USING (host))
+SELECT page_id, host, path, split_part(fit, ' ', 2) AS rule, coalesce(split_part(fit, ' ', 1), CASE WHEN coalesce(doubt, 0) > {u.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(doubt, 0), 6) AS doubt
+FROM ruled LEFT JOIN doubts USING (host)"""
+
+
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+OP7 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{ALNUM}') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({LOWERED}, '{ALNUM}') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, list_slice(w, k, k + least(len(w), 10) - 1) AS win FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(win) AS n FROM windows),
+places AS (SELECT doc_id, k, n, list_slice(w, k, k + n - 1) AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT DISTINCT doc_id, k, n, item_id FROM places JOIN windows USING (win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": OP2, "op3_hilbert_sharding": op3(), "op4_secret_scans": op4(), "op5_url_filters": op5(),
+    "op7_decontaminate": OP7, "op8_minhash": OP8,
+}

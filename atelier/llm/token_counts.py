@@ -75,16 +75,18 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
 
 
 def answers(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """Totals for any context limits, whether they occur as lengths or not: the last length up to
-    the limit tells what lies beyond it. A limit below every length cuts all documents."""
-    spark = sums.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in sorted(set(limits))], "context long")
-    below = asked.join(sums, F.col("n_tokens") <= F.col("context"), "left").groupBy("context").agg(
-        F.max_by("docs_longer", "n_tokens").alias("docs_longer"), F.max_by("tokens_longer", "n_tokens").alias("tokens_longer")
-    )
-    whole = sums.agg(F.sum("n_docs").alias("docs"), F.max("tokens_total").alias("tokens"))
-    longer, held = F.coalesce("docs_longer", "docs"), F.coalesce("tokens_longer", "tokens")
-    return below.join(F.broadcast(whole)).select("context", longer.alias("docs_longer"), (F.col("tokens") - held + longer * F.col("context")).alias("tokens_if_cut"))
+    """``context, docs_longer, tokens_if_cut`` for any context limits, whether they occur as lengths or
+    not: the last length up to the limit tells what lies beyond it, and a limit below every length
+    cuts all documents. One pass answers all limits."""
+    parts = [F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs"), F.coalesce(F.max("tokens_total"), F.lit(0)).alias("tokens")]
+    for c in sorted(set(limits)):
+        upto = F.when(F.col("n_tokens") <= c, F.col("n_tokens"))
+        parts += [F.max_by("docs_longer", upto).alias(f"d{c}"), F.max_by("tokens_longer", upto).alias(f"t{c}")]
+    rows = []
+    for c in sorted(set(limits)):
+        longer, held = F.coalesce(f"d{c}", "docs"), F.coalesce(f"t{c}", "tokens")
+        rows.append(F.struct(F.lit(c).cast("long").alias("context"), longer.alias("docs_longer"), (F.col("tokens") - held + longer * c).alias("tokens_if_cut")))
+    return sums.agg(*parts).select(F.inline(F.array(*rows)))
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
