@@ -19,7 +19,7 @@ def add(docs: DataFrame, text: str, new: T.StructType, start: Callable[[], Step]
     """``docs`` with the columns of ``new``. ``start`` runs once a task and returns the step
     for each slice of about ``most`` bytes of text. Of ``keep`` (all columns unless given),
     columns that ``new`` names are replaced."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
+    kept = list(dict.fromkeys(c for c in (docs.columns if keep is None else keep) if c not in new.names))
     taken = list(dict.fromkeys([*kept, text]))
     schema = T.StructType([*(docs.schema[c] for c in kept), *new])
     types = to_arrow_schema(new).types
