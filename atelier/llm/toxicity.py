@@ -31,13 +31,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._arrow import add
-from ._words import LOWER, Texts
+from ._words import ALNUM, LOWER, Texts
 
 #: Bytes of a window and from one window to the next; lower-cased over A-Z and Latin-1 letters.
 WINDOW, STRIDE = 32, 16
 #: Bytes of ordinary text in either dictionary, and lengths of the strings of the toxic one.
 ORDINARY, GRAMS = 60_000, (5, 6, 7, 8)
+#: Savings in bytes whose windows are counted.
+MUCH = (3, 4, 5, 6, 7, 8)
+FEATURES = 4 + len(MUCH)
 WORD = re.compile(r"\w+")
+FOLD = np.where(ALNUM[LOWER], LOWER, 0x20).astype(np.uint8)
 SCORE = T.StructType([T.StructField("score", T.DoubleType())])
 
 
@@ -54,19 +58,20 @@ class Model:
 def _grams(text: str) -> set[str]:
     found = set()
     for word in set(WORD.findall(text)):
-        word = f" {word}"
+        word = f" {word} "
         for n in GRAMS:
             found.update(word[i : i + n] for i in range(len(word) - n + 1))
     return found
 
 
-def _contrast(toxic: list[str], ordinary: list[str], least: int = 4, z: float = 6.0) -> list[str]:
-    """Strings in clearly more toxic than ordinary texts, the clearest last."""
+def _contrast(toxic: list[str], ordinary: list[str], least: int = 4) -> list[str]:
+    """Strings in clearly more toxic than ordinary texts, the clearest last; not those that a longer one stands for."""
     a, b = Counter(), Counter()
     for texts, count in ((toxic, a), (ordinary, b)):
         for text in texts:
             count.update(_grams(text))
     na, nb = len(toxic), len(ordinary)
+    z = 3.2 + 0.073 * math.sqrt(min(na, nb))  # a larger sample has more strings that differ a little by chance
 
     def away(g: str) -> float:
         share = (a[g] + b[g]) / (na + nb)
@@ -88,7 +93,8 @@ def _lengths(how: zstandard.ZstdCompressor, data: bytes, low: np.ndarray, size:
 
 
 def evidence(texts: Texts, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> np.ndarray:
-    """Of each text: log of summed savings, savings a window, the largest, and log of windows that save much."""
+    """Of each text: log of summed savings, savings a window, the largest, the number of windows, and of those
+    that save at least so many bytes (all but the second and third as logarithms)."""
     data = _folded(texts.bytes)
     size = np.diff(texts.start) - 1
     count = np.maximum(1, np.ceil((size - WINDOW) / STRIDE).astype(np.int64) + 1) * (size > 0)
@@ -96,45 +102,52 @@ def evidence(texts: Texts, ordinary: zstandard.ZstdCompressor, toxic: zstandard.
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     low = texts.start[of] + step * STRIDE
     long = np.minimum(WINDOW, texts.start[of + 1] - 1 - low)
-    out = np.zeros((len(size), 4))
+    out = np.zeros((len(size), FEATURES))
     if len(of):
         raw = data.tobytes()
         saved = _lengths(ordinary, raw, low, long) - _lengths(toxic, raw, low, long)
         gain = np.bincount(of, np.maximum(saved - 1, 0), len(size))
         best = np.zeros(len(size))
         np.maximum.at(best, of, saved)
-        out = np.stack([np.log1p(gain), np.sqrt(gain / np.maximum(count, 1)), best, np.log1p(np.bincount(of, saved >= 4, len(size)))], 1)
+        much = [np.log1p(np.bincount(of, saved >= k, len(size))) for k in MUCH]
+        out = np.stack([np.log1p(gain), np.sqrt(gain / np.maximum(count, 1)), best, np.log1p(count), *much], 1)
     return out
 
 
 def _folded(data: np.ndarray) -> np.ndarray:
-    """Lower case over A-Z and the two-byte letters U+00C0 to U+00DE."""
-    out = LOWER[data]
+    """Lower case over A-Z and the two-byte letters U+00C0 to U+00DE; blanks for what is no letter or digit."""
+    out = FOLD[data]
     second = np.flatnonzero(data[:-1] == 0xC3) + 1
     upper = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
     out[upper] += 0x20
     return out
 
 
-def train(sample: list[tuple[str | None, int]]) -> Model:
-    """Dictionaries and calibration from (text, label) rows, whose order does not matter."""
+def train(sample: list[tuple[str | None, int]], share: float | None = None) -> Model:
+    """Dictionaries and calibration from (text, label) rows, whose order does not matter. ``share`` is that of
+    label 1 among all rows that the sample stands for, by which scores are set right."""
     toxic = sorted(t.lower() for t, y in sample if y and t)
     ordinary = sorted(t.lower() for t, y in sample if not y and t)
-    share = sum(bool(y) for _, y in sample) / max(1, len(sample))
-    odds = math.log(max(share, 1e-6) / max(1 - share, 1e-6))
+    own = sum(bool(y) for _, y in sample) / max(1, len(sample))
+    odds = _odds(own if share is None else share)
     if not toxic or not ordinary:
-        return Model(b" " * 64, b" " * 64, np.zeros(4), np.ones(4), np.zeros(4), odds)
-    base = " ".join(sorted(ordinary, key=lambda t: hash_of(t))).encode()[:ORDINARY]
+        return Model(b" " * 64, b" " * 64, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), odds)
+    base = " ".join(w for t in sorted(ordinary, key=hash_of)[:200] for w in WORD.findall(t)).encode()[:ORDINARY]
     stands_out = "\n".join(_contrast(toxic, ordinary)).encode()
-    model = Model(base, base + b"\n" + stands_out + b"\n", np.zeros(4), np.ones(4), np.zeros(4), odds)
+    model = Model(base, base + b"\n" + stands_out + b"\n", np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), odds)
     rows = sorted((t or "", int(bool(y))) for t, y in sample)
     x = evidence(Texts.of(pa.array([t for t, _ in rows])), _compressor(model.ordinary), _compressor(model.toxic))
     y = np.array([v for _, v in rows], float)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
-    model.weights, model.bias = _logistic((x - model.mean) / model.scale, y)
+    model.weights, bias = _logistic((x - model.mean) / model.scale, y)
+    model.bias = bias + odds - _odds(own)
     return model
 
 
+def _odds(share: float) -> float:
+    return math.log(max(share, 1e-6) / max(1 - share, 1e-6))
+
+
 def hash_of(text: str) -> int:
     import zlib
 
@@ -152,14 +165,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25
     return w[:-1], float(w[-1])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most_each: int, label: str = "toxic", key: str = "doc_id", text: str = "text") -> list[tuple[str | None, int]]:
-    """At most ``most_each`` labelled texts of each label, by the lowest hash of their ids."""
+def labelled(docs: DataFrame, labels: DataFrame, most_each: int, label: str = "toxic", key: str = "doc_id", text: str = "text") -> tuple[list[tuple[str | None, int]], float | None]:
+    """At most ``most_each`` labelled texts of each label, by the lowest hash of their ids, and the share of label 1
+    among all labels (None without labels)."""
     marks = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).filter("_label is not null and _key is not null").dropDuplicates(["_key"])
     found = []
     for value in (0, 1):
         some = marks.filter(F.col("_label") == value).orderBy(F.xxhash64("_key"), "_key").limit(most_each)
         found += docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(some), "_key").select("_text", "_label").collect()
-    return [(r["_text"], r["_label"]) for r in found]
+    return [(r["_text"], r["_label"]) for r in found], marks.agg(F.avg("_label")).first()[0]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
