@@ -80,3 +80,28 @@ def test_sessions_slide_late(spark, tmp_path):
 def test_throttled_progress(spark, tmp_path):
     got = run(spark, tmp_path, [[("j", t, d, 10) for t, d in ((0, 1), (100, 2), (450, 3), (500, 10))]], "job string, at_ms long, done long, total long", watch.throttled, "throttled")
     assert sorted(r["done"] for r in got) == [1, 3, 10]
+
+
+def test_sounds_and_archives(spark, tmp_path):
+    import math
+    import struct
+    import wave
+    import zipfile
+
+    from atelier.operators import features
+    from atelier.sources import media
+
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(2)
+        w.setframerate(1000)
+        w.writeframes(b"".join(struct.pack("<hh", v, v) for v in (int(20000 * math.sin(i / 5)) for i in range(500))))
+    (tmp_path / "bad.wav").write_bytes(b"RIFFnothing")
+    sound = features.sound(media.wav_samples(spark, f"file://{tmp_path}")).collect()
+    assert len(sound) == 1 and sound[0]["duration_ms"] == 500 and -5 < sound[0]["peak_dbfs"] < -4
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
+        z.writestr("top/a.png", "aaa")
+        z.writestr("top/b.png", "b")
+    (tmp_path / "q.zip").write_bytes(b"no zip")
+    rows = {(r["archive"][-5:], r["name"]): (r["size"], r["error"] is None) for r in media.zip_entries(spark, f"file://{tmp_path}").collect()}
+    assert rows == {("p.zip", "top/a.png"): (3, True), ("p.zip", "top/b.png"): (1, True), ("q.zip", None): (None, False)}
