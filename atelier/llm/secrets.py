@@ -121,10 +121,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFrame:
     """``docs`` with each secret (overlapping spans as one) replaced by ``mask``; texts without are unchanged."""
-    rows = found(docs, text)
+    rows = found(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text).alias("_text")), "_text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    value = F.col(text)
+    value = F.col("_text")
     piece = lambda s, begin: F.substr(value, s["at"] + 1, F.greatest(begin - s["at"], F.lit(0)))
     step = lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], piece(s, x["start"]), F.when((x["start"] < s["at"]) & (s["at"] > 0), "").otherwise(mask)).alias("out")))
     masked = F.aggregate("_all", start, step, lambda s: F.concat(s["out"], F.substr(value, s["at"] + 1, F.length(value))))
-    return rows.withColumn(text, F.when(F.size("_all") > 0, masked).otherwise(value)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.select(*(F.when(F.size("_all") > 0, masked).otherwise(value).alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns))
