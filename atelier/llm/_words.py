@@ -15,7 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes hashed at a time; bounds the temporary arrays whatever a text's length.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
+#: Bytes of text worked on at a time, but for longer single texts.
+SLICE = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX_A, MIX_B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -46,7 +48,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def batches(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def batches(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Slices of the batch with about ``most`` bytes of text each, a single row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total = np.cumsum(sizes, dtype=np.int64)

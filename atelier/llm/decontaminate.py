@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.scratch import cut
-from ._arrow import add
+from ._arrow import add, bounded
 from ._words import ALNUM, BASE, Runs, Texts, mixed
 
 WINDOW, SHINGLE, BLOCK = 10, 5, 16 << 20
@@ -156,7 +156,7 @@ def counted(docs: DataFrame, block: Block, text: str = "text") -> dict[int, np.n
             place = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), n)), pa.array(place), pa.array(t[place])], names=["size", "place", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "size long, place long, n long").groupBy("size", "place").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    rows = bounded(docs).select(text).mapInArrow(run, "size long, place long, n long").groupBy("size", "place").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     out = {n: np.zeros(len(t), np.int64) for n, t in block.shingles.items()}
     for n, place, count in zip(rows["size"], rows["place"], rows["n"]):
         out[n][place] = count
@@ -181,7 +181,7 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "ite
         if not first:
             out = cut(out)
         prefixes = out.sparkSession.sparkContext.broadcast(block.rarest(counted(out, block, text)) if len(block.size) else Prefixes(block, {}))
-        out, first = add(out, text, FOUND, _finder(prefixes, text, first), [*kept, text]), False
+        out, first = add(out, text, FOUND, _finder(prefixes, text, first), [*kept, text], reads=[] if first else ["_spans", "_items"]), False
     return out
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ..operators.components import components
 from ..operators.scratch import cut
-from ._arrow import add
+from ._arrow import add, bounded
 from ._words import SPACED, Texts, mixed
 
 WORDS, K, LEAST, SHORT, SKETCH = 5, 64, 42, 8, 18
@@ -123,7 +123,7 @@ def sketch(table: DataFrame, column: str, bits: int = SKETCH) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(total[place])], names=["place", "n"])
 
     out = np.zeros(1 << bits, np.int64)
-    rows = table.select(column).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    rows = bounded(table).select(column).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     out[rows["place"].to_numpy()] = rows["n"].to_numpy()
     return out
 
@@ -145,7 +145,7 @@ def rare(table: DataFrame, column: str, counts, bits: int = SKETCH) -> DataFrame
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64) if x[0].dtype != np.uint64 else np.concatenate(x).view(np.int64)) for x in zip(*out)], names=["key", "nid", "pos", "size"])
 
-    return table.select("nid", column).mapInArrow(run, "key long, nid long, pos long, size long")
+    return bounded(table).select("nid", column).mapInArrow(run, "key long, nid long, pos long, size long")
 
 
 def _long_enough(a: str, b: str):

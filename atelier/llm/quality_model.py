@@ -47,7 +47,8 @@ class Model:
 def features(column: pa.Array) -> np.ndarray:
     """Shares that tell prose from junk, a row a text."""
     texts = Texts.of(column)
-    judged, made = Judged(texts), dict(zip(MEASURES.names, measure(column)))
+    judged = Judged(texts)
+    made = dict(zip(MEASURES.names, measure(judged)))
     words, n = judged.words, np.maximum(made["n_words"], 1)
     same = np.zeros(len(words.code), bool)
     same[1:] = (words.code[1:] == words.code[:-1]) & (words.text[1:] == words.text[:-1])

@@ -83,11 +83,9 @@ class Judged:
 _NOTICES = tuple(x.encode() for x in BOILERPLATE)
 
 
-def measure(column: pa.Array) -> list:
+def measure(judged: Judged) -> list:
     """The columns of ``MEASURES``."""
-    texts = Texts.of(column)
-    judged = Judged(texts)
-    words, n = judged.words, len(texts)
+    texts, words, n = judged.texts, judged.words, len(judged.texts)
     n_words = words.per_text()
     inside = np.zeros(len(texts.bytes) + 1, np.int8)
     np.add.at(inside, words.low, 1)
@@ -124,15 +122,15 @@ def _repeated(words, n: int) -> np.ndarray:
 
 def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the measures and the verdict ``kept``."""
-    return add(docs, text, MEASURES, lambda: lambda part: measure(part.column(text)), keep)
+    return add(docs, text, MEASURES, lambda: lambda part: measure(Judged(Texts.of(part.column(text)))), keep)
 
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are kept, without their failing lines."""
 
     def step(part):
-        made = measure(part.column(text))
         judged = Judged(Texts.of(part.column(text)))
+        made = measure(judged)
         fails, out = judged.failing(), [bytearray() for _ in range(part.num_rows)]
         for k in np.flatnonzero(~fails).tolist():
             out[judged.text[k]] += judged.texts.bytes[judged.low[k] : judged.high[k]].tobytes() + b"\n"
