@@ -25,13 +25,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._arrow import add
+from ._arrow import add, bounded
 from ._words import SPACED, Texts
 
-#: Distinct stretches of text and words whose ids a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Bytes of text encoded at a time; each slice costs a few queries.
+SLICE = 2 << 20
+#: Words (and half the stretches of text) whose ids a task remembers before it starts anew.
+REMEMBERED = 250_000
 #: White space beyond ASCII; a text with such is split by the pattern as a whole.
 WIDE_SPACE = regex.compile(r"[\s--\x20\x09-\x0D]", regex.V1)
+CONTROL = regex.compile("[\x1c-\x1f]")
 #: Of a byte: 0 white space, 1 punctuation and controls, 2 letters and digits, 3 beyond ASCII.
 KIND = np.where(SPACED, 1, 0)
 KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 2
@@ -48,7 +51,7 @@ WITH RECURSIVE step(word, pos, id, changed) AS (
                    FROM live JOIN merges ON left_id = id AND merges.right_id = live.right_id GROUP BY word)
      SELECT live.word, pos, CASE WHEN pos = m[2] THEN m[1] ELSE id END, m IS NOT NULL
      FROM live LEFT JOIN best ON live.word = best.word WHERE m IS NULL OR pos <> m[3]))
-SELECT word, list(id ORDER BY pos) AS ids FROM step WHERE NOT changed GROUP BY word ORDER BY word
+SELECT word, id FROM step WHERE NOT changed ORDER BY word, pos
 """
 #: The same, but with all of a word's equal lowest pairs (every other one of a run) at each step:
 #: more windows a step, far fewer steps for long words. As a merged id is above the ids of its
@@ -68,7 +71,7 @@ WITH RECURSIVE step(word, pos, id, changed) AS (
      SELECT word, pos, CASE WHEN left_part THEN best ELSE id END, best IS NOT NULL
      FROM (SELECT *, lag(left_part, 1, false) OVER (PARTITION BY word ORDER BY pos) AS right_part FROM taken)
      WHERE NOT right_part))
-SELECT word, list(id ORDER BY pos) AS ids FROM step WHERE NOT changed GROUP BY word ORDER BY word
+SELECT word, id FROM step WHERE NOT changed ORDER BY word, pos
 """
 #: From this many characters on a word counts as long.
 LONG = 24
@@ -93,44 +96,78 @@ def _bounds(data: np.ndarray) -> np.ndarray:
     return cut | ((kind == 1) & ((before == 2) | latin))
 
 
+def _among(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which codes a sorted table has."""
+    if not len(table):
+        return np.zeros(len(codes), bool)
+    return table[np.minimum(np.searchsorted(table, codes), len(table) - 1)] == codes
+
+
+class Lists:
+    """Many short lists of ids end to end."""
+
+    def __init__(self):
+        self.ids, self.used = np.zeros(1 << 12, np.int32), 0
+        self.ends, self.count = np.zeros(1 << 12, np.int64), 0  # ends[k] is where list k ends
+
+    def __len__(self) -> int:
+        return self.count
+
+    def extend(self, ids: np.ndarray, size: np.ndarray) -> None:
+        """Append lists of the given sizes."""
+        for name, used, new in (("ids", self.used, ids), ("ends", self.count, self.used + np.cumsum(size))):
+            held = getattr(self, name)
+            if used + len(new) > len(held):
+                held = np.concatenate([held[:used], np.zeros(len(held) + len(new), held.dtype)])
+                setattr(self, name, held)
+            held[used : used + len(new)] = new
+        self.used, self.count = self.used + len(ids), self.count + len(size)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chosen lists end to end, and their sizes."""
+        end = self.ends[which]
+        size = end - np.where(which > 0, self.ends[which - 1], 0)
+        stop = np.cumsum(size)
+        return self.ids[np.arange(stop[-1] if len(stop) else 0) + np.repeat(end - stop, size)], size
+
+
 class Codec:
     """The vocabulary in DuckDB, and what this task has encoded so far."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = ranks = _ranks(path)
         self.words = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", "preserve_insertion_order": False})
-        pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        self._table("merges", dict(zip(("left_id", "right_id", "merged"), np.array(pairs, np.int32).reshape(-1, 3).T)))
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": "", "preserve_insertion_order": False})
+        pairs = np.fromiter((x for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks for x in (ranks[t[:k]], ranks[t[k:]], r)), np.int32)
+        self._table("merges", dict(zip(("left_id", "right_id", "merged"), pairs.reshape(-1, 3).T)))
         # a token's bytes as the code points 0 to 255: DuckDB joins text
         self._table("vocab", {"id": pa.array(ranks.values(), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in ranks])})
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.forget()
+        self.forget_words()
 
     def _table(self, name: str, columns: dict) -> None:
         rows = pa.table(columns)  # noqa: F841  read by the query
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM rows")
 
     def forget(self) -> None:
-        """Start anew, but for the words of the last generation, which are taken over as they recur."""
-        self.older: dict[str, list[int]] = getattr(self, "of_word", {})
-        self.of_word: dict[str, list[int]] = {}
-        self.of_stretch: dict[int, int] = {}
-        self.ids, self.begin, self.size = np.zeros(1 << 16, np.int32), [], []
-        self.used = 0
+        """Start anew with stretches."""
+        self.stretches, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known = Lists()
+
+    def forget_words(self) -> None:
+        """Start anew with words, but for those of the last generation, which are taken over as they recur."""
+        self.older, self.older_ids = getattr(self, "of_word", {}), getattr(self, "word_ids", None)
+        self.of_word: dict[str, int] = {}
+        self.word_ids = Lists()
 
     def contract(self, words: list[str]) -> None:
         """Learn the ids of words: those of the vocabulary by lookup, others by the recursive query."""
-        open_words = []
-        for w in words:
-            whole = self.ranks.get(w.encode())
-            if whole is None:
-                open_words.append(w)
-            else:
-                self.of_word[w] = [whole]
-        short = [w for w in open_words if len(w) < LONG]
-        rest = [w for w in open_words if len(w) >= LONG]
-        for some, query in [*((short[k : k + 20_000], CONTRACT) for k in range(0, len(short), 20_000)), *((rest[k : k + 1000], CONTRACT_LONG) for k in range(0, len(rest), 1000))]:
+        whole = [(w, r) for w in words if (r := self.ranks.get(w.encode())) is not None]
+        self._learned([w for w, _ in whole], np.array([r for _, r in whole], np.int32), np.ones(len(whole), np.int64))
+        short = [w for w in words if len(w) < LONG and w.encode() not in self.ranks]
+        rest = [w for w in words if len(w) >= LONG and w.encode() not in self.ranks]
+        for some, query in [*((short[k : k + 10_000], CONTRACT) for k in range(0, len(short), 10_000)), *((rest[k : k + 1000], CONTRACT_LONG) for k in range(0, len(rest), 1000))]:
             raw = [w.encode() for w in some]
             size = np.array([len(r) for r in raw])
             first = np.repeat(np.cumsum(size) - size, size)
@@ -139,52 +176,57 @@ class Codec:
                 "pos": (np.arange(size.sum()) - first).astype(np.int32),
                 "id": self.byte_id[np.frombuffer(b"".join(raw), np.uint8)],
             })
-            for word, ids in self.db.execute(query).fetchall():
-                self.of_word[some[word]] = ids
+            done = self.db.execute(query).fetchnumpy()
+            self._learned(some, np.asarray(done["id"], np.int32), np.bincount(np.asarray(done["word"], np.int64), minlength=len(some)))
 
-    def learn(self, codes: list[int], stretches: list[str]) -> None:
+    def _learned(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.of_word.update(zip(words, range(len(self.word_ids), len(self.word_ids) + len(words))))
+        self.word_ids.extend(ids, size)
+
+    def learn(self, codes: np.ndarray, stretches: list[str]) -> None:
+        """Learn stretches: their words' ids one after the other."""
         split = [self.words.findall(s) for s in stretches]
         fresh = {w for ws in split for w in ws if w not in self.of_word}
-        for w in [w for w in fresh if w in self.older]:
-            self.of_word[w] = self.older[w]
-            fresh.discard(w)
+        again = [w for w in fresh if w in self.older]
+        if again:
+            ids, size = self.older_ids.take(np.array([self.older[w] for w in again], np.int64))
+            self._learned(again, ids, size)
+            fresh.difference_update(again)
         if fresh:
             self.contract(list(fresh))
-        for code, ws in zip(codes, split):
-            ids = [i for w in ws for i in self.of_word[w]]
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.of_stretch[code] = len(self.begin)
-            self.begin.append(self.used)
-            self.size.append(len(ids))
-            self.used += len(ids)
+        count = np.array([len(ws) for ws in split], np.int64)
+        ids, size = self.word_ids.take(np.array([self.of_word[w] for ws in split for w in ws], np.int64))
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)])]
+        codes = np.concatenate([self.stretches, codes])
+        places = np.concatenate([self.places, np.arange(len(self.known), len(self.known) + len(split))])
+        self.known.extend(ids, np.diff(ends))
+        order = np.argsort(codes, kind="stable")
+        self.stretches, self.places = codes[order], places[order]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts end to end, and where each text's begin (and the last end)."""
-        if max(len(self.of_stretch), len(self.of_word), self.used >> 3) > REMEMBERED:
+        if max(len(self.stretches) >> 1, self.known.used >> 3) > REMEMBERED:
             self.forget()
+        if len(self.of_word) > REMEMBERED:
+            self.forget_words()
         texts = Texts.of(column)
         data, count = texts.bytes, np.diff(texts.start) - 1
         cut = _bounds(data)
         if (data >= 0x80).any() or ((data >= 0x1C) & (data <= 0x1F)).any():
             for i, t in enumerate(column.to_pylist()):
-                if t is not None and WIDE_SPACE.search(t):
+                if t is not None and not t.isascii() and WIDE_SPACE.search(t) or t is not None and CONTROL.search(t):
                     cut[texts.start[i] : texts.start[i + 1]] = False
         cut[texts.start[:-1][count > 0]] = True
         cut[texts.start[1:] - 1] = False  # the closing newline is no part of a text
         low = np.flatnonzero(cut)
         of = np.searchsorted(texts.start, low, "right") - 1
         high = np.minimum(np.append(low[1:], len(data)), texts.start[of + 1] - 1)
-        known, at, back = np.unique(texts.hashes(low, high), return_index=True, return_inverse=True)
-        fresh = [k for k, c in enumerate(known.tolist()) if c not in self.of_stretch]
-        if fresh:
-            self.learn(known[fresh].tolist(), [data[low[i] : high[i]].tobytes().decode() for i in at[fresh].tolist()])
-        rows = np.array([self.of_stretch[c] for c in known.tolist()], np.int64)
-        begin, size = np.array(self.begin, np.int64)[rows][back], np.array(self.size, np.int64)[rows][back]
-        last = np.cumsum(size)
-        edge = np.concatenate([[0], np.cumsum(np.bincount(of, size, len(texts)).astype(np.int64))])
-        return self.ids[np.arange(edge[-1]) + np.repeat(begin - (last - size), size)], edge
+        codes, at, back = np.unique(texts.hashes(low, high), return_index=True, return_inverse=True)
+        fresh = np.flatnonzero(~_among(codes, self.stretches))
+        if len(fresh):
+            self.learn(codes[fresh], [data[low[i] : high[i]].tobytes().decode() for i in at[fresh].tolist()])
+        ids, size = self.known.take(self.places[np.searchsorted(self.stretches, codes)][back])
+        return ids, np.concatenate([[0], np.cumsum(np.bincount(of, size, len(texts)).astype(np.int64))])
 
     def decode(self, ids: np.ndarray, edge: np.ndarray) -> list[bytes]:
         """The bytes of each text: its tokens' pieces, aggregated in order of position."""
@@ -215,7 +257,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
         return step
 
-    return add(docs, text, T.StructType([T.StructField(out, T.ArrayType(T.IntegerType()))]), start)
+    return add(docs, text, T.StructType([T.StructField(out, T.ArrayType(T.IntegerType()))]), start, most=SLICE)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
@@ -232,7 +274,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", out: st
                 made = codec(path, pattern).decode(np.array([i for x in some for i in x], np.int32), edge)
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array(made, pa.binary())], names=[*kept, out])
 
-    return tokens.select(*(tokens[f"`{c}`"] for c in kept)).mapInArrow(run, schema)
+    return bounded(tokens).select(*(tokens[f"`{c}`"] for c in kept)).mapInArrow(run, schema)
 
 
 DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
@@ -252,4 +294,4 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep:
 
         return step
 
-    return add(docs, text, DIGESTS, start, keep)
+    return add(docs, text, DIGESTS, start, keep, SLICE)
