@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -17,10 +18,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_OPEN: set[str] = set()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: later steps
-    restart from files, whichever executors are lost."""
+    restart from files, whichever executors are lost. The files stay until ``release`` or the end of
+    the driver's Python."""
     spark = df.sparkSession
+    if (app := spark.sparkContext.applicationId) not in _OPEN:
+        _OPEN.add(app)
+        atexit.register(release, spark)
     path = f"{shared_dir(spark).rstrip('/')}/atelier/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -35,7 +43,9 @@ def pinned(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete every table that ``cut`` wrote in this application."""
+    """Delete every table that ``cut`` wrote in this application; nothing if it has ended."""
     sc = spark.sparkContext
+    if sc._jsc is None:
+        return
     path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/atelier/{sc.applicationId}")
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

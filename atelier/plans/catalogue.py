@@ -128,7 +128,7 @@ SQL = {
         lower(p_type) || '/' || CASE WHEN id % 5 > 1 THEN {_case(FOLDERS, "(id % 5)")} || '/' ELSE '' END || replace(p_name, ' ', '_') AS group_key, {_PRECEDENCE} AS precedence
         FROM (SELECT *, replace(p_name, ' ', '_') || '.' || ext AS filename0 FROM (SELECT *, p_partkey AS id, p_partkey % 10 AS pack_id, {_case(EXTENSIONS, "(p_size % 8)")} AS ext, round(p_retailprice * 100)::BIGINT AS size,
         {T0} + p_partkey * 3600 AS first_seen_at, {T0} + (p_partkey * 7919) % 100000 AS mtime, sha256(p_name || p_size) AS sha256, CASE WHEN p_size % 7 <> 0 THEN p_size END AS width,
-        CASE WHEN p_size % 7 <> 0 THEN p_partkey % 50 + 1 END AS height, CASE WHEN p_size % 8 IN (2, 3) THEN (p_partkey * 31) % 5000 END AS tri_count, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 2 = 0 END AS has_alpha,
+        CASE WHEN p_size % 7 <> 0 THEN (p_partkey % 50 + 1)::INTEGER END AS height, CASE WHEN p_size % 8 IN (2, 3) THEN (p_partkey * 31) % 5000 END AS tri_count, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 2 = 0 END AS has_alpha,
         CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 3 = 0 END AS is_pixel_art, CASE WHEN p_partkey % 6 <> 0 THEN p_partkey % 4 END AS frame_count, CASE WHEN p_partkey % 17 = 0 THEN {T0} END AS missing_since FROM part))""",
     "asset_tags": """SELECT p_partkey AS asset_id, 'theme:' || split_part(p_name, ' ', 1) AS tag, CASE WHEN p_partkey % 3 = 0 THEN 'manual' ELSE 'auto_path' END AS source FROM part
         UNION ALL SELECT p_partkey, 'object:' || split_part(p_name, ' ', 2) || ':' || lower(p_type), 'auto_type' FROM part UNION ALL SELECT p_partkey, 'disable:true', 'manual' FROM part WHERE p_partkey % 29 = 0""",
