@@ -81,3 +81,9 @@ def sniff_site(url: Column) -> tuple[Column, Column]:
         site = site.when(host.contains(part), name)
     author = F.when(host.endswith(".itch.io"), F.regexp_replace(host, r"\.itch\.io$", "")).when(host.contains("kenney.nl") & ~host.endswith("itch.io"), "Kenney").otherwise("")
     return site.otherwise(host), author
+
+
+def ago(seconds: Column) -> Column:
+    """How long ago, in the largest fitting unit."""
+    unit = lambda n, name: F.concat(F.floor(seconds / n).cast("string"), F.lit(name))
+    return F.when(seconds < 60, "just now").when(seconds < 3600, unit(60, " min ago")).when(seconds < 86400, unit(3600, " h ago")).otherwise(unit(86400, " d ago"))

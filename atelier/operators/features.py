@@ -130,3 +130,79 @@ def hex_codes(palette_rows: DataFrame) -> DataFrame:
     """``img, hexes``: the palette as text, in order of rank."""
     item = F.struct("rank", values.hex_colour(F.col("r"), F.col("g"), F.col("b")).alias("hex"))
     return palette_rows.groupBy("img").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["hex"]), " ").alias("hexes"))
+
+
+#: Pixels of an image that the cut looks at, at most; colours up to which counts are exact.
+CUT_SAMPLE, CUT_COLOURS = 65_536, 16
+
+
+def median_cut(pixels: DataFrame, colours: int = CUT_COLOURS, most: int = CUT_SAMPLE) -> DataFrame:
+    """``img, rank, r, g, b, ratio`` of images with many colours: visible pixels on a grid of at most ``most``
+    points are split along the widest channel at its median until there are ``colours`` boxes, each
+    shown by its mean. Ties within a channel are split in the order of the whole colour."""
+    size = pixels.groupBy("img").agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
+    step = F.ceil(F.sqrt(F.greatest(F.lit(1.0), F.col("_w") * F.col("_h") / most)))
+    grid = pixels.join(size, "img").filter((F.col("a") > 0) & (F.col("x") % step == 0) & (F.col("y") % step == 0))
+    # a group holds one row a colour of a bounded sample
+    counts = grid.groupBy("img", "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
+
+    def cut(frame):
+        import numpy as np
+        import pandas as pd
+
+        points = np.repeat(frame[["r", "g", "b"]].to_numpy(np.int64), frame["n"], axis=0)
+        boxes, whole = [points[np.lexsort(points.T[::-1])]], len(points)
+        while len(boxes) < colours:
+            spans = [np.ptp(box, axis=0) if len(box) > 1 else np.full(3, -1) for box in boxes]
+            widest = max(range(len(boxes)), key=lambda k: (spans[k].max(), -k))
+            if spans[widest].max() < 0:
+                break
+            box = boxes[widest]
+            box = box[np.argsort(box[:, spans[widest].argmax()], kind="stable")]
+            boxes[widest : widest + 1] = [box[: len(box) // 2], box[len(box) // 2 :]]
+        rows = sorted((-len(box), *(box.sum(0) // len(box))) for box in boxes)
+        made = pd.DataFrame([(k, *rgb, -n / whole) for k, (n, *rgb) in enumerate(rows)], columns=["rank", "r", "g", "b", "ratio"])
+        made.insert(0, "img", frame["img"].iloc[0])
+        return made
+
+    kind = dict(pixels.dtypes)["img"]
+    return counts.groupBy("img").applyInPandas(cut, f"img {kind}, rank int, r int, g int, b int, ratio double")
+
+
+def palette_text(palette_rows: DataFrame, form: str, name: str = "palette") -> DataFrame:
+    """``img, text``: palettes as a GIMP palette (``gpl``), a list of engine colours (``gd``) or a gradient resource (``tres``)."""
+    rgb = [F.col(c).cast("int") for c in "rgb"]
+    share = lambda c: F.format_string("%.3f", F.col(c) / 255.0)
+    line = {
+        "gpl": F.format_string("%3d %3d %3d\t%s\n", *rgb, values.hex_colour(*rgb)),
+        "gd": F.concat(F.lit("\tColor("), F.concat_ws(", ", *map(share, "rgb")), F.lit("),\n")),
+        "tres": F.concat(F.concat_ws(", ", *map(share, "rgb")), F.lit(", 1")),
+    }[form]
+    lines = palette_rows.groupBy("img").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("t")))).alias("l"))
+    text = F.transform("l", lambda x: x["t"])
+    clean = F.trim(F.regexp_replace(F.lit(name), r"[\r\n]", " "))
+    if form == "gpl":
+        out = F.concat(F.lit("GIMP Palette\nName: "), clean, F.lit("\nColumns: 0\n#\n"), F.array_join(text, ""))
+    elif form == "gd":
+        out = F.concat(F.lit("# "), clean, F.lit("\nconst PALETTE: Array[Color] = [\n"), F.array_join(text, ""), F.lit("]\n"))
+    else:
+        place = F.transform("l", lambda x, k: F.format_string("%.6f", F.when(F.size("l") > 1, k / F.greatest(F.size("l") - 1, F.lit(1))).otherwise(0.0)))
+        out = F.concat(F.lit('[gd_resource type="Gradient" format=3]\n\n[resource]\noffsets = PackedFloat32Array('), F.array_join(place, ", "), F.lit(")\ncolors = PackedColorArray("), F.array_join(text, ", "), F.lit(")\n"))
+    return lines.select("img", out.alias("text"))
+
+
+def obj_models(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``id, vert_count, tri_count, material_count, bbox_x, bbox_y, bbox_z`` from Wavefront text: a face of n
+    corners is n - 2 triangles."""
+    lines = texts.select("id", F.explode_outer(F.split(text, r"\r?\n")).alias("l")).withColumn("p", F.split(F.trim("l"), r"\s+"))
+    place = [F.when(F.col("p")[0] == "v", F.expr(f"try_cast(get(p, {i + 1}) as double)")) for i in range(3)]
+    return lines.groupBy("id").agg(
+        F.count_if(F.col("p")[0] == "v").alias("vert_count"), F.coalesce(F.sum(F.when(F.col("p")[0] == "f", F.greatest(F.size("p") - 3, F.lit(0)))), F.lit(0)).alias("tri_count"),
+        F.count_distinct(F.when(F.col("p")[0] == "usemtl", F.get("p", F.lit(1)))).alias("material_count"), *((F.max(v) - F.min(v)).alias(f"bbox_{a}") for v, a in zip(place, "xyz")),
+    )
+
+
+def reset(assets: DataFrame, state: str = "failed") -> DataFrame:
+    """Assets of a state go back to pending, their errors are forgotten."""
+    due = F.col("derive_state") == state
+    return assets.withColumn("derive_error", F.when(~due, F.col("derive_error"))).withColumn("derive_state", F.when(due, "pending").otherwise(F.col("derive_state")))

@@ -92,3 +92,10 @@ def manifest_states(manifest: DataFrame, uses: DataFrame) -> DataFrame:
         .when(F.coalesce("outdated", F.lit(False)), "outdated").when(F.col("_s").isNull(), "not recorded").when(F.col("_m").isNull(), "not in manifest").otherwise("")
     )
     return both.select("asset_id", state.alias("state"))
+
+
+def removed(uses: DataFrame, gone: DataFrame, now: int) -> DataFrame:
+    """Uses after some (project_id, asset_id) are taken out: they stay, with the time they went."""
+    marks = gone.select("project_id", "asset_id").distinct().withColumn("_gone", F.lit(True))
+    both = uses.join(marks, ["project_id", "asset_id"], "left")
+    return both.withColumn("removed_at", F.coalesce("removed_at", F.when(F.col("_gone"), F.lit(now)))).drop("_gone")

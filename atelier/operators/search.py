@@ -147,3 +147,25 @@ def present() -> Where:
 def enabled(asset_tags: DataFrame, tag: str = "disable:true") -> Where:
     """Without the tag itself; its pack's tags don't count."""
     return ~_in(asset_tags.filter(F.col("tag") == tag).select("asset_id"))
+
+
+#: Extensions that can be edited again.
+EDITABLE = ["psd", "aseprite", "ase", "kra", "xcf", "blend", "svg"]
+
+
+def source_file(assets: DataFrame) -> Where:
+    """Assets of whose variants one is an editable format. An extension to the search."""
+    from ..functions import paths
+
+    key = ["pack_id", paths.group_key(F.col("rel_path")).alias("group_key")]
+    groups = assets.filter(F.col("ext").isin(EDITABLE)).select(*key).distinct()
+    return _in(assets.select("id", *key).join(groups, ["pack_id", "group_key"], "left_semi").select("id"))
+
+
+def fuzzy(column: str, text: str, distance: int = 2) -> Where:
+    """Some word of the column is within an edit distance of the word. An extension to the search."""
+    found = fulltext.words(text)
+    if not found:
+        return always()
+    near = F.exists(F.split(F.trim(fulltext.normalised(F.col(column))), " "), lambda w: F.levenshtein(w, F.lit(found[-1])) <= distance)
+    return Where(near)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, values
-from ..operators import activity, duplicates, features, records, tags
+from ..operators import activity, duplicates, features, provenance, records, search, tags
 from .catalogue import T0, Catalogue
 from .registry import _PIXELS, _pixels, query
 
@@ -178,4 +178,36 @@ def audit_recent(c: Catalogue) -> DataFrame:
     return kept.groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {_PIXELS}, counts AS (SELECT img, r, g, b, count(*) AS n FROM pixels WHERE a > 0 GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY n DESC, r, g, b) AS k FROM counts) SELECT img, 'GIMP Palette' || chr(10) || 'Name: test' || chr(10) || 'Columns: 0' || chr(10) || '#' || chr(10) || string_agg(printf('%3d %3d %3d', r, g, b) || chr(9) || printf('#%02x%02x%02x', r, g, b) || chr(10), '' ORDER BY k) AS text FROM ranked WHERE k <= 16 GROUP BY img")
+def palette_gpl(c: Catalogue) -> DataFrame:
+    return features.palette_text(features.palette(_pixels(c)), "gpl", "test\n")
 
+
+@query(
+    """WITH sources AS (SELECT DISTINCT pack_id, group_key FROM assets WHERE ext IN ('psd', 'svg')) SELECT id FROM assets SEMI JOIN sources USING (pack_id, group_key)""",
+    "assets",
+)
+def source_files(c: Catalogue) -> DataFrame:
+    return search.matching(c.assets(), search.source_file(c.assets())).select("id")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda w: levenshtein(w, 'widgt') <= 2)) > 0")
+def fuzzy_names(c: Catalogue) -> DataFrame:
+    return search.matching(c.table("part"), search.fuzzy("p_name", "widgt"), "p_partkey").select(F.col("p_partkey").alias("id"))
+
+
+@query("SELECT project_id, asset_id, res_path, CASE WHEN removed_at IS NOT NULL THEN removed_at WHEN project_id = 7 AND asset_id % 2 = 0 THEN 1700000000 END AS removed_at FROM uses", "uses")
+def project_removal(c: Catalogue) -> DataFrame:
+    gone = c.uses().filter("project_id = 7 and asset_id % 2 = 0").select("project_id", "asset_id")
+    return provenance.removed(c.uses(), gone, 1_700_000_000).select("project_id", "asset_id", "res_path", "removed_at")
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN 'pending' ELSE 'done' END AS derive_state, CASE WHEN id % 3 <> 0 THEN 'e' || id END AS derive_error FROM assets", "assets")
+def reset_failed(c: Catalogue) -> DataFrame:
+    state = F.when(F.col("id") % 3 == 0, "failed").otherwise("done")
+    return features.reset(c.assets().select("id", state.alias("derive_state"), F.concat(F.lit("e"), F.col("id")).alias("derive_error")))
+
+
+@query("SELECT event_id AS id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' min ago' WHEN s < 86400 THEN (s // 3600) || ' h ago' ELSE (s // 86400) || ' d ago' END AS ago FROM (SELECT event_id, (event_id * 37) % 200000 AS s FROM events)")
+def ages(c: Catalogue) -> DataFrame:
+    return c.table("events").select(F.col("event_id").alias("id"), values.ago((F.col("event_id") * 37) % 200_000).alias("ago"))

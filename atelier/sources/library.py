@@ -96,3 +96,17 @@ def junk(files: DataFrame, known_hashes: DataFrame, sidecar: str = "pack.asset.j
     )
     marked = files.withColumn("_h", digest).join(known_hashes.select(F.col("sha256").alias("_h"), F.lit(True).alias("_known")).distinct(), "_h", "left")
     return marked.withColumn("kind", kind).filter("kind is not null").select("path", "kind", "size")
+
+
+def marked_folders(files: DataFrame, sidecar: str = "pack.asset.json") -> DataFrame:
+    """``dir``: every folder above a sidecar file."""
+    return files.filter(paths.base_name(F.col("path")) == sidecar).select(F.explode(paths.ancestors(F.col("path"), 64)).alias("dir")).filter("dir <> ''").distinct()
+
+
+def write_report(report: DataFrame, folder: str) -> None:
+    """A report as JSON lines; a finished write replaces the one before."""
+    report.write.mode("overwrite").json(folder)
+
+
+def read_report(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(folder)

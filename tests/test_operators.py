@@ -177,3 +177,27 @@ def test_hues_spread(spark):
     got = [(x["r"], x["g"], x["b"]) for x in facets.spread_hues(spark.createDataFrame(rows, "r int, g int, b int, weight double, assets int, br int, bg int, bb int"), 5).collect()]
     assert (40, 200, 40) in got and (40, 40, 200) in got and (8, 8, 8) not in got
     assert F is not None
+
+
+def test_median_cut_and_exports(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    cells = [(1, x, y, *(int(v) for v in rng.integers(0, 256, 3)), 255) for x in range(40) for y in range(30)] + [(2, 0, 0, 9, 9, 9, 255), (2, 1, 0, 9, 9, 9, 0)]
+    pixels = spark.createDataFrame(cells, "img int, x int, y int, r int, g int, b int, a int")
+    rows = features.median_cut(pixels).collect()
+    many = [r for r in rows if r["img"] == 1]
+    assert len(many) == 16 and abs(sum(r["ratio"] for r in many) - 1) < 1e-9 and max(r["ratio"] for r in many) <= 8 * min(r["ratio"] for r in many)
+    mean = np.array([sum(r[c] * r["ratio"] for r in many) for c in "rgb"])
+    assert np.abs(mean - np.array([c[3:6] for c in cells[:1200]]).mean(0)).max() < 1
+    assert [(r["r"], r["ratio"]) for r in rows if r["img"] == 2] == [(9, 1.0)]
+    assert len({r["rank"] for r in features.median_cut(pixels, 16, 100).filter("img = 1").collect()}) == 16
+    one = features.palette(pixels).filter("img = 2")
+    assert features.palette_text(one, "gd").first()["text"] == "# palette\nconst PALETTE: Array[Color] = [\n\tColor(0.035, 0.035, 0.035),\n]\n"
+    assert "PackedFloat32Array(0.000000)" in features.palette_text(one, "tres").first()["text"]
+
+
+def test_obj_models(spark):
+    text = "v 0 0 0\nv 1 0 0\nv 1 2 0\nv 0 2 3\nusemtl a\nf 1 2 3 4\nusemtl b\nf 1/1 2/2 3/3\n# end"
+    row = features.obj_models(spark.createDataFrame([(1, text), (2, None)], "id int, text string")).filter("id = 1").first()
+    assert (row["vert_count"], row["tri_count"], row["material_count"], row["bbox_x"], row["bbox_z"]) == (4, 3, 2, 1.0, 3.0)

@@ -105,3 +105,43 @@ def test_sounds_and_archives(spark, tmp_path):
     (tmp_path / "q.zip").write_bytes(b"no zip")
     rows = {(r["archive"][-5:], r["name"]): (r["size"], r["error"] is None) for r in media.zip_entries(spark, f"file://{tmp_path}").collect()}
     assert rows == {("p.zip", "top/a.png"): (3, True), ("p.zip", "top/b.png"): (1, True), ("q.zip", None): (None, False)}
+
+
+def test_png(spark, tmp_path):
+    import random
+    import struct
+    import zlib
+
+    from atelier.sources import media
+
+    rng = random.Random(6)
+    width, height = 7, 6
+    cells = [[[rng.randrange(256) for _ in range(4)] for _ in range(width)] for _ in range(height)]
+
+    def filtered(y, how):
+        line = []
+        for x in range(width):
+            for k in range(4):
+                left, up = cells[y][x - 1][k] if x else 0, cells[y - 1][x][k] if y else 0
+                corner = cells[y - 1][x - 1][k] if x and y else 0
+                p = left + up - corner
+                near = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
+                line.append((cells[y][x][k] - [0, left, up, (left + up) // 2, near][how]) % 256)
+        return bytes([how, *line])
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    image = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(filtered(y, y % 5) for y in range(height)))) + chunk(b"IEND", b"")
+    (tmp_path / "a.png").write_bytes(image)
+    (tmp_path / "b.png").write_bytes(b"nothing")
+    rows = media.png_pixels(spark, f"file://{tmp_path}").collect()
+    assert {(r["x"], r["y"]): [r["r"], r["g"], r["b"], r["a"]] for r in rows if r["error"] is None} == {(x, y): cells[y][x] for y in range(height) for x in range(width)}
+    assert [r["img"][-5:] for r in rows if r["error"]] == ["b.png"]
+
+
+def test_reports_and_marked_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x")], "n int, s string")
+    library.write_report(rows, f"file://{tmp_path}/r")
+    library.write_report(rows.union(rows), f"file://{tmp_path}/r")
+    assert library.read_report(spark, f"file://{tmp_path}/r", "n int, s string").count() == 2
+    files = spark.createDataFrame([("a/b/pack.asset.json",), ("c/x.png",)], "path string")
+    assert sorted(r["dir"] for r in library.marked_folders(files).collect()) == ["a", "a/b"]
