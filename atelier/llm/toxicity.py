@@ -165,14 +165,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25
     return w[:-1], float(w[-1])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most_each: int, label: str = "toxic", key: str = "doc_id", text: str = "text") -> tuple[list[tuple[str | None, int]], float | None]:
+def labelled(docs: DataFrame, labels: DataFrame, most_each: int, label: str = "toxic", key: str = "doc_id", text: str = "text", longest: int = 100_000) -> tuple[list[tuple[str | None, int]], float | None]:
     """At most ``most_each`` labelled texts of each label, by the lowest hash of their ids, and the share of label 1
-    among all labels (None without labels)."""
+    among all labels (None without labels). Texts of more than ``longest`` characters are no part of the sample,
+    so that its size is bounded."""
     marks = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).filter("_label is not null and _key is not null").dropDuplicates(["_key"])
     found = []
     for value in (0, 1):
         some = marks.filter(F.col("_label") == value).orderBy(F.xxhash64("_key"), "_key").limit(most_each)
-        found += docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(some), "_key").select("_text", "_label").collect()
+        found += docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.coalesce(F.length("_text"), F.lit(0)) <= longest).join(F.broadcast(some), "_key").select("_text", "_label").collect()
     return [(r["_text"], r["_label"]) for r in found], marks.agg(F.avg("_label")).first()[0]
 
 
