@@ -31,8 +31,8 @@ def next_jobs(jobs: DataFrame, now: int, n: int = 1) -> DataFrame:
 def one_each(jobs: DataFrame) -> DataFrame:
     """Of live jobs with the same dedupe key, the oldest; finished ones and those without a key all stay."""
     live = F.col("state").isin("queued", "running") & F.col("dedupe_key").isNotNull()
-    turn = F.row_number().over(Window.partitionBy("dedupe_key", live).orderBy("id"))
-    return jobs.withColumn("_turn", turn).filter(~live | (F.col("_turn") == 1)).drop("_turn")
+    oldest = jobs.filter(live).groupBy("dedupe_key").agg(F.min("id").alias("id"))
+    return jobs.filter(~live).unionByName(jobs.filter(live).join(oldest.select("id"), "id", "left_semi"))
 
 
 def fixed_windows(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:

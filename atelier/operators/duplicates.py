@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, values
@@ -88,9 +88,8 @@ def removal_plan(copies: DataFrame, targets: DataFrame, used: DataFrame) -> Data
     """``id, decision`` of files marked for removal: blocked while a project uses them, and when all
     remaining copies of a content are marked, the first by path stays."""
     rows = copies.join(targets.select("id").distinct().withColumn("_t", F.lit(True)), "id", "left").join(used.select("id").distinct().withColumn("_u", F.lit(True)), "id", "left")
-    leaving = F.coalesce(F.col("_t"), F.lit(False)) & ~F.coalesce(F.col("_u"), F.lit(False))
-    group = Window.partitionBy("sha256")
-    stays = F.sum(F.when(leaving, 0).otherwise(1)).over(group)
-    turn = F.row_number().over(group.orderBy(leaving.desc(), "path", "id"))
-    decision = F.when(F.coalesce(F.col("_u"), F.lit(False)), "blocked: in use").when((stays == 0) & (turn == 1), "kept: last copy").otherwise("remove")
-    return rows.withColumn("decision", decision).filter("_t").select("id", "decision")
+    rows = rows.withColumn("_leaving", F.coalesce(F.col("_t"), F.lit(False)) & ~F.coalesce(F.col("_u"), F.lit(False)))
+    first = F.min_by("id", F.when(F.col("_leaving"), F.struct("path", "id")))
+    whole = rows.groupBy("sha256").agg(F.count_if(~F.col("_leaving")).alias("_stays"), first.alias("_first"))
+    decision = F.when(F.coalesce(F.col("_u"), F.lit(False)), "blocked: in use").when((F.col("_stays") == 0) & (F.col("id") == F.col("_first")), "kept: last copy").otherwise("remove")
+    return rows.filter("_t").join(whole, "sha256").select("id", decision.alias("decision"))

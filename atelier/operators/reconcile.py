@@ -32,10 +32,13 @@ def compared(index: DataFrame, listing: DataFrame) -> DataFrame:
 def moves(status: DataFrame) -> DataFrame:
     """``id, old_path, path``: absent files paired one to one with fresh files of the same content, each
     in order of path."""
-    line = lambda key: F.row_number().over(Window.partitionBy(key).orderBy("path"))
-    gone = status.filter("status = 'absent' and missing_since is null").select("id", F.col("path").alias("old_path"), F.col("old_sha256").alias("sha"), line("old_sha256").alias("k"))
-    come = status.filter("status = 'fresh'").select("path", F.col("sha256").alias("sha"), line("sha256").alias("k"))
-    return gone.join(come, ["sha", "k"]).select("id", "old_path", "path")
+    # contents that only left or only came are out before any ranking
+    gone = status.filter("status = 'absent' and missing_since is null").select("id", F.col("path").alias("old_path"), F.col("old_sha256").alias("sha"))
+    come = status.filter("status = 'fresh'").select("path", F.col("sha256").alias("sha"))
+    rank = lambda path: F.row_number().over(Window.partitionBy("sha").orderBy(path))
+    left = gone.join(come.select("sha"), "sha", "left_semi").withColumn("k", rank("old_path"))
+    right = come.join(gone.select("sha"), "sha", "left_semi").withColumn("k", rank("path"))
+    return left.join(right, ["sha", "k"]).select("id", "old_path", "path")
 
 
 def resolved(index: DataFrame, listing: DataFrame, ignored: list[str] = paths.IGNORED) -> DataFrame:

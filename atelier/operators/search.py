@@ -1,9 +1,6 @@
 """Search conditions as functions from assets to the assets that meet them.
 
-A condition is made by one of the functions below; ``all_of``, ``any_of`` and ``not_`` combine
-them. Conditions on the asset's own columns stay column expressions, which Spark pushes into
-the scan; conditions on other tables become semi-joins on the asset's id. Each condition is
-``Where(column, frames)``: the column refers to flags that the joins add.
+A condition is made by one of the functions below; ``&``, ``|`` and ``~`` combine them.
 """
 
 from __future__ import annotations
@@ -23,74 +20,103 @@ _serial = itertools.count()
 
 @dataclass
 class Where:
-    """``column`` is the condition; ``ids`` maps the name of a flag to the ids that have it."""
-
-    column: Column
-    ids: dict[str, DataFrame] = field(default_factory=dict)
+    """Conditions that must all hold: column expressions, sets of ids that a row must be in or must not be in,
+    and mixed expressions over flags that sets of ids give (``mixed`` with ``flags``)."""
+
+    columns: list[Column] = field(default_factory=list)
+    within: list[DataFrame] = field(default_factory=list)
+    without: list[DataFrame] = field(default_factory=list)
+    mixed: list[Column] = field(default_factory=list)
+    flags: dict[str, DataFrame] = field(default_factory=dict)
+
+    def _one(self) -> tuple[Column, dict[str, DataFrame]]:
+        """All as one expression over the row and flags."""
+        flags, parts = dict(self.flags), [*self.columns, *self.mixed]
+        for sets, inside in ((self.within, True), (self.without, False)):
+            for ids in sets:
+                flags[name := f"_flag{next(_serial)}"] = ids
+                held = F.coalesce(F.col(name), F.lit(False))
+                parts.append(held if inside else ~held)
+        out = F.lit(True)
+        for part in parts:
+            out = out & part
+        return out, flags
 
     def __invert__(self) -> "Where":
-        return Where(~self.column, self.ids)
+        kinds = (self.columns, self.within, self.without, self.mixed)
+        if sum(map(len, kinds)) == 1 and not self.mixed:
+            return Where([~c for c in self.columns], self.without, self.within)
+        column, flags = self._one()
+        return Where(mixed=[~column], flags=flags) if flags else Where([~column])
 
     def __and__(self, other: "Where") -> "Where":
-        return Where(self.column & other.column, self.ids | other.ids)
+        return Where(self.columns + other.columns, self.within + other.within, self.without + other.without, self.mixed + other.mixed, self.flags | other.flags)
 
     def __or__(self, other: "Where") -> "Where":
-        return Where(self.column | other.column, self.ids | other.ids)
+        (a, x), (b, y) = self._one(), other._one()
+        return Where(mixed=[a | b], flags=x | y) if x or y else Where([a | b])
 
 
 def matching(assets: DataFrame, where: Where, key: str = "id") -> DataFrame:
-    """The assets that meet the condition. A condition that is one set of ids is a semi-join, its
-    negation an anti-join; others join flags on."""
+    """The assets that meet the condition. Columns are filtered first (Spark pushes that into the scan), sets of
+    ids are semi- and anti-joins, and only what mixes both under "or" or "not" joins flags on."""
     out = assets
-    for flag, ids in where.ids.items():
+    for column in where.columns:
+        out = out.filter(column)
+    for sets, how in ((where.within, "left_semi"), (where.without, "left_anti")):
+        for ids in sets:
+            marks = ids.select(F.col(ids.columns[0]).alias("_id"))
+            out = out.join(marks, out[key] == marks["_id"], how)
+    for flag, ids in where.flags.items():
         marks = ids.select(F.col(ids.columns[0]).alias("_id")).filter("_id is not null").distinct().withColumn(flag, F.lit(True))
         out = out.join(marks, out[key] == marks["_id"], "left").drop("_id")
-    return out.filter(where.column).select(*assets.columns)
+    for column in where.mixed:
+        out = out.filter(column)
+    return out.select(*assets.columns)
 
 
 def _in(ids: DataFrame) -> Where:
-    flag = f"_flag{next(_serial)}"
-    return Where(F.coalesce(F.col(flag), F.lit(False)), {flag: ids})
+    return Where(within=[ids])
 
 
 def always() -> Where:
-    return Where(F.lit(True))
+    return Where([F.lit(True)])
 
 
 def never() -> Where:
-    return Where(F.lit(False))
+    return Where([F.lit(False)])
 
 
 def word(columns: list[str], text: str) -> Where:
     """The last word may be the start of one."""
-    return Where(fulltext.phrase([F.col(c) for c in columns], text, prefix=True))
+    return Where([fulltext.phrase([F.col(c) for c in columns], text, prefix=True)])
 
 
 def quoted(columns: list[str], text: str) -> Where:
-    return Where(fulltext.phrase([F.col(c) for c in columns], text))
+    return Where([fulltext.phrase([F.col(c) for c in columns], text)])
 
 
 def compare(column: str, op: str, value: float) -> Where:
     """An unknown value meets no comparison, and no negated one either."""
     left = F.col(column)
-    return Where({"<": left < value, "<=": left <= value, ">": left > value, ">=": left >= value, "=": left == value}[op])
+    return Where([{"<": left < value, "<=": left <= value, ">": left > value, ">=": left >= value, "=": left == value}[op]])
 
 
 def size(width: int, height: int) -> Where:
-    return Where((F.col("width") == width) & (F.col("height") == height))
+    return Where([(F.col("width") == width) & (F.col("height") == height)])
 
 
 def kind(name: str) -> Where:
-    return Where(F.col("kind") == name)
+    return Where([F.col("kind") == name])
 
 
 def has(column: str) -> Where:
     """A flag that may be unknown; unknown counts as no, also under negation."""
-    return Where(F.coalesce(F.col(column), F.lit(False)))
+    return Where([F.coalesce(F.col(column), F.lit(False))])
 
 
 def animated() -> Where:
-    return Where(F.coalesce(F.col("frame_count"), F.lit(0)) > 1)
+    return Where([F.coalesce(F.col("frame_count"), F.lit(0)) > 1])
 
 
 def provenance(packs: DataFrame, assets: DataFrame) -> Where:
@@ -103,7 +129,7 @@ def in_folder(folder: str, path: str = "library_path") -> Where:
     clean = "/".join(p for p in folder.strip("/").split("/") if p)
     if not clean or any(p in {".", ".."} for p in clean.split("/")):
         return always()
-    return Where((F.col(path) == clean) | F.col(path).startswith(clean + "/"))
+    return Where([(F.col(path) == clean) | F.col(path).startswith(clean + "/")])
 
 
 def tagged(tag: str, assets: DataFrame, asset_tags: DataFrame, pack_tags: DataFrame, closure: DataFrame) -> Where:
@@ -141,7 +167,7 @@ def palette_near(swatches: DataFrame, asset_id: int, tolerance: int = NEAR_TOLER
 
 
 def present() -> Where:
-    return Where(F.col("missing_since").isNull())
+    return Where([F.col("missing_since").isNull()])
 
 
 def enabled(asset_tags: DataFrame, tag: str = "disable:true") -> Where:
@@ -168,4 +194,4 @@ def fuzzy(column: str, text: str, distance: int = 2) -> Where:
     if not found:
         return always()
     near = F.exists(F.split(F.trim(fulltext.normalised(F.col(column))), " "), lambda w: F.levenshtein(w, F.lit(found[-1])) <= distance)
-    return Where(near)
+    return Where([near])

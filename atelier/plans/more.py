@@ -144,9 +144,9 @@ def percentages(c: Catalogue) -> DataFrame:
     return c.table("embeddings").select(F.col("vec_id").alias("id"), values.similarity_pct(F.col("label") / 8.0).alias("pct"), values.percent(F.col("vec_id") % 7, F.col("label")).alias("done"))
 
 
-@query("SELECT id, a.kind = 'image' AND frame_count > 1 AS sheet, bit_count(xor(id, id * 3))::INTEGER AS dist FROM assets a", "assets")
+@query("SELECT id, a.kind = 'image' AND coalesce(frame_count, 0) > 1 AS sheet, bit_count(xor(id, id * 3))::INTEGER AS dist FROM assets a", "assets")
 def hash_distance(c: Catalogue) -> DataFrame:
-    return c.assets().select("id", ((F.col("kind") == "image") & (F.col("frame_count") > 1)).alias("sheet"), values.hamming(F.col("id"), F.col("id") * 3).alias("dist"))
+    return c.assets().select("id", ((F.col("kind") == "image") & (F.coalesce("frame_count", F.lit(0)) > 1)).alias("sheet"), values.hamming(F.col("id"), F.col("id") * 3).alias("dist"))
 
 
 @query("SELECT pack_id, CASE WHEN count(DISTINCT split_part(rel_path, '/', 1)) = 1 THEN min(split_part(rel_path, '/', 1)) ELSE '' END AS prefix FROM assets WHERE starts_with(rel_path, 'small/') OR pack_id < 3 GROUP BY pack_id", "assets")
