@@ -93,3 +93,26 @@ def removal_plan(copies: DataFrame, targets: DataFrame, used: DataFrame) -> Data
     whole = rows.groupBy("sha256").agg(F.count_if(~F.col("_leaving")).alias("_stays"), first.alias("_first"))
     decision = F.when(F.coalesce(F.col("_u"), F.lit(False)), "blocked: in use").when((F.col("_stays") == 0) & (F.col("id") == F.col("_first")), "kept: last copy").otherwise("remove")
     return rows.filter("_t").join(whole, "sha256").select("id", decision.alias("decision"))
+
+
+def pack_findings(overlaps: DataFrame, packs: DataFrame, held: DataFrame) -> DataFrame:
+    """``candidate, container, kind, bytes`` of each relation between packs. A pack within another is the candidate to
+    go; of identical ones it is the one with less to keep it by: use by projects, known provenance, a place outside
+    raw folders, tags. ``packs`` has pack_id, used, complete, path, tags; ``held`` pack_id, sha256, size."""
+    keep = F.when(F.col("used"), 1000).otherwise(0) + F.when(F.col("complete"), 100).otherwise(0) + F.when(paths.in_raw(F.col("path")), 0).otherwise(50) + F.col("tags")
+    score = packs.select("pack_id", keep.alias("keep"))
+    bytes_ = held.groupBy("pack_id").agg(F.sum("size").alias("bytes"))
+    both = overlaps.join(score.toDF("a", "ka"), "a").join(score.toDF("b", "kb"), "b")
+    swap = (F.col("kind") == "b_in_a") | ((F.col("kind") == "identical") & (F.col("ka") > F.col("kb")))
+    named = both.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("candidate"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("container"), F.when(F.col("kind").isin("a_in_b", "b_in_a"), "subset").otherwise(F.col("kind")).alias("kind"))
+    sized = named.join(bytes_.toDF("candidate", "_bytes"), "candidate")
+    return sized.select("candidate", "container", "kind", F.when(F.col("kind") == "overlap", 0).otherwise(F.col("_bytes")).alias("bytes"))
+
+
+def transferred_asset_tags(asset_tags: DataFrame, assets: DataFrame, moves: DataFrame) -> DataFrame:
+    """``asset_id, tag`` that assets of ``to_pack`` gain from assets of ``from_pack`` with the same content: tags set by
+    hand that they lack. The join is by pack and content, so equal contents in other packs don't meet."""
+    source = assets.select(F.col("pack_id").alias("from_pack"), "sha256", F.col("id").alias("asset_id")).join(moves.filter("from_pack <> to_pack"), "from_pack")
+    given = source.join(asset_tags.filter("source = 'manual'").select("asset_id", "tag"), "asset_id").select(F.col("to_pack").alias("pack_id"), "sha256", "tag").distinct()
+    gained = assets.select("pack_id", "sha256", F.col("id").alias("asset_id")).join(given, ["pack_id", "sha256"]).select("asset_id", "tag")
+    return gained.join(asset_tags.select("asset_id", "tag"), ["asset_id", "tag"], "left_anti")

@@ -66,3 +66,10 @@ def completions(named: list[tuple[str, DataFrame, Column]], prefix: str, most: i
         top = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(most).select(F.lit(name).alias("grp"), "value", "n")
         out = top if out is None else out.unionByName(top)
     return out
+
+
+def last_token(query: str) -> str:
+    """What a completion would complete: nothing after a blank or within open quotes."""
+    if not query or query[-1].isspace() or query.count('"') % 2:
+        return ""
+    return query.split()[-1]

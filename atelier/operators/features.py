@@ -206,3 +206,47 @@ def reset(assets: DataFrame, state: str = "failed") -> DataFrame:
     """Assets of a state go back to pending, their errors are forgotten."""
     due = F.col("derive_state") == state
     return assets.withColumn("derive_error", F.when(~due, F.col("derive_error"))).withColumn("derive_state", F.when(due, "pending").otherwise(F.col("derive_state")))
+
+
+#: Sheets: the least side of a frame, and the most frames along an axis.
+LEAST_FRAME, MOST_FRAMES = 8, 64
+
+
+def sheet_candidates(pixels: DataFrame) -> DataFrame:
+    """``img, cols, rows, seam, square, content`` of every even grid of an image: the share of seam pixels that
+    are transparent, how square a frame is, and the share of frames with something visible. One image is one
+    group, as its size is bounded where it is read; a table of running sums tells each frame's content."""
+
+    def grids(frame):
+        import numpy as np
+        import pandas as pd
+
+        height, width = int(frame["y"].max()) + 1, int(frame["x"].max()) + 1
+        alpha = np.zeros((height, width), np.uint8)
+        alpha[frame["y"], frame["x"]] = frame["a"]
+        clear = alpha == 0
+        down, across = clear.sum(0), clear.sum(1)
+        seen = np.zeros((height + 1, width + 1), np.int64)
+        seen[1:, 1:] = (alpha > 8).cumsum(0).cumsum(1)
+        counts = [[n for n in range(1, MOST_FRAMES + 1) if side % n == 0 and side // n >= LEAST_FRAME] for side in (width, height)]
+        out = []
+        for cols in counts[0]:
+            for rows in counts[1]:
+                if cols * rows > 1:
+                    w, h = width // cols, height // rows
+                    seam = (down[w::w].sum() + across[h::h].sum()) / ((cols - 1) * height + (rows - 1) * width)
+                    corner = seen[::h, ::w]
+                    cells = corner[1:, 1:] - corner[:-1, 1:] - corner[1:, :-1] + corner[:-1, :-1]
+                    out.append((frame["img"].iloc[0], cols, rows, float(seam), min(w, h) / max(w, h), float((cells > 0).mean())))
+        return pd.DataFrame(out, columns=["img", "cols", "rows", "seam", "square", "content"])
+
+    kind = dict(pixels.dtypes)["img"]
+    return pixels.select("img", "x", "y", "a").groupBy("img").applyInPandas(grids, f"img {kind}, cols int, rows int, seam double, square double, content double")
+
+
+def may_be_sheet(filename, width, height):
+    """Column: the name speaks of a sheet or of frames, or the size divides into frames."""
+    stem = F.lower(F.regexp_replace(filename, r"\.[^.]*$", ""))
+    divides = lambda side: F.exists(F.sequence(F.lit(2), F.lit(MOST_FRAMES)), lambda n: (side % n == 0) & (side / n >= LEAST_FRAME))
+    named = stem.rlike(r"sheet|atlas|anim|sprite|\d+x\d+|[_-]\d{1,3}(f|fps|frames)?$")
+    return named | (divides(width) & divides(height))

@@ -86,3 +86,15 @@ def verify(index: DataFrame, hashes: DataFrame) -> DataFrame:
     """``checked, mismatched, absent`` of the present files against fresh hashes (path, sha256)."""
     both = index.filter("missing_since is null").join(hashes.select("path", F.col("sha256").alias("_now")), "path", "left")
     return both.agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("_now") != F.col("sha256")).alias("mismatched"), F.count_if(F.col("_now").isNull()).alias("absent"))
+
+
+def rebuilt(listing: DataFrame, packs: DataFrame) -> DataFrame:
+    """Assets from a listing alone: ``id`` (a hash of the path), pack, relative path, name, extension, kind and group of
+    each indexable file below a pack (``pack`` paths; the outermost that holds it)."""
+    name = paths.base_name(F.col("path"))
+    files = listing.filter(paths.is_asset(name) & ~paths.is_ignored(F.col("path")) & ~paths.is_reserved(F.col("path")))
+    above = files.select("path", F.explode(paths.ancestors(F.col("path"), 64)).alias("pack")).join(packs.select("pack").distinct(), "pack")
+    owner = above.groupBy("path").agg(F.min_by("pack", F.length("pack")).alias("pack"))
+    rows = files.join(owner, "path").withColumn("rel_path", F.expr("substr(path, length(pack) + 2)"))
+    ext = paths.ext(F.col("path"))
+    return rows.select(F.xxhash64("path").alias("id"), "pack", "rel_path", name.alias("filename"), ext.alias("ext"), paths.kind(ext).alias("kind"), "size", "mtime", paths.group_key(F.col("rel_path")).alias("group_key"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, values
-from ..operators import activity, duplicates, features, provenance, records, search, tags
+from ..operators import activity, duplicates, features, provenance, reconcile, records, search, tags
 from .catalogue import T0, Catalogue
-from .registry import _PIXELS, _pixels, query
+from .registry import _PIXELS, _held, _pixels, query
 
 NAMES = ["hero.png", "README.md", ".gitkeep", "a.ZIP", "noext", "Pack.tar.GZ", "x.glb", "y.mtl", "Thumbs.db", "z.import", "LICENSE", "q.wav"]
 FOLDS = ["PNG", "2 Objects", "fbx(unity)", "Objects", "__MACOSX", "01_intro", "2d", "raw", "PSD_parts", "@eaDir"]
@@ -211,3 +211,35 @@ def reset_failed(c: Catalogue) -> DataFrame:
 @query("SELECT event_id AS id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' min ago' WHEN s < 86400 THEN (s // 3600) || ' h ago' ELSE (s // 86400) || ' d ago' END AS ago FROM (SELECT event_id, (event_id * 37) % 200000 AS s FROM events)")
 def ages(c: Catalogue) -> DataFrame:
     return c.table("events").select(F.col("event_id").alias("id"), values.ago((F.col("event_id") * 37) % 200_000).alias("ago"))
+
+
+@query(
+    """WITH moves AS (SELECT id AS from_pack, id + 1 AS to_pack FROM packs WHERE id % 2 = 0), given AS (SELECT DISTINCT m.to_pack AS pack_id, a.sha256, t.tag FROM assets a JOIN moves m ON m.from_pack = a.pack_id JOIN asset_tags t ON t.asset_id = a.id AND t.source = 'manual'),
+    gained AS (SELECT a.id AS asset_id, g.tag FROM assets a JOIN given g ON g.pack_id = a.pack_id AND g.sha256 = a.sha256) SELECT * FROM gained ANTI JOIN asset_tags USING (asset_id, tag)""",
+    "packs", "assets", "asset_tags",
+)
+def asset_tag_transfer(c: Catalogue) -> DataFrame:
+    moves = c.packs().filter("id % 2 = 0").select(F.col("id").alias("from_pack"), (F.col("id") + 1).alias("to_pack"))
+    return duplicates.transferred_asset_tags(c.asset_tags(), c.assets(), moves)
+
+
+@query(
+    """WITH base AS (SELECT DISTINCT l_suppkey AS p, l_partkey AS c FROM lineitem), held AS (SELECT * FROM (SELECT p, c FROM base UNION ALL SELECT p + 1000000, c FROM base WHERE c % 4 <> 0 UNION ALL SELECT p + 2000000, c FROM base WHERE p % 3 = 0) WHERE p % 1000000 < 40), sizes AS (SELECT p, count(*) AS n, sum(c % 100)::BIGINT AS bytes FROM held GROUP BY p),
+    kept AS (SELECT p, CASE WHEN p % 5 = 0 THEN 1000 ELSE 0 END + CASE WHEN p % 2 = 0 THEN 100 ELSE 0 END + CASE WHEN p % 7 = 0 THEN 0 ELSE 50 END + p % 4 AS k FROM sizes),
+    met AS (SELECT x.p AS a, y.p AS b, count(*) AS shared FROM held x JOIN held y ON x.c = y.c AND x.p < y.p GROUP BY ALL),
+    judged AS (SELECT a, b, shared, m.n AS na, k.n AS nb, m.bytes AS ba, k.bytes AS bb, ka.k AS ka, kb.k AS kb FROM met JOIN sizes m ON m.p = a JOIN sizes k ON k.p = b JOIN kept ka ON ka.p = a JOIN kept kb ON kb.p = b WHERE shared = m.n OR shared = k.n OR shared / (m.n + k.n - shared)::DOUBLE >= 0.5),
+    turned AS (SELECT *, CASE WHEN shared = na AND shared = nb THEN ka > kb ELSE shared = nb END AS swap FROM judged)
+    SELECT CASE WHEN swap THEN b ELSE a END AS candidate, CASE WHEN swap THEN a ELSE b END AS container, CASE WHEN shared = na AND shared = nb THEN 'identical' WHEN shared = na OR shared = nb THEN 'subset' ELSE 'overlap' END AS kind,
+    CASE WHEN shared <> na AND shared <> nb THEN 0 WHEN swap THEN bb ELSE ba END AS bytes FROM turned"""
+)
+def pack_findings(c: Catalogue) -> DataFrame:
+    held, p = _held(c), F.col("pack_id")
+    packs = held.select("pack_id").distinct().select("pack_id", (p % 5 == 0).alias("used"), (p % 2 == 0).alias("complete"), F.when(p % 7 == 0, "raw/x").otherwise("x").alias("path"), (p % 4).alias("tags"))
+    return duplicates.pack_findings(duplicates.pack_overlaps(held), packs, held.withColumn("size", F.col("sha256") % 100))
+
+
+@query(f"WITH {_NAMED} SELECT 'c/' || id AS pack, f1 || '/' || f2 || '/' || name AS rel_path, {_EXT} AS ext, id % 100 AS size FROM named WHERE id % 2 = 0 AND NOT (starts_with(name, '.') OR lower(name) IN ('readme.md', 'license') OR {_EXT} IN ('md', 'zip', 'gz', 'mtl', 'import')) AND NOT (f1 IN ('__MACOSX', '@eaDir') OR f2 IN ('__MACOSX', '@eaDir') OR name = 'Thumbs.db')")
+def index_rebuilt(c: Catalogue) -> DataFrame:
+    files = _named(c).select(F.concat_ws("/", F.lit("c"), F.col("id").cast("string"), "path").alias("path"), (F.col("id") % 100).alias("size"), F.lit(1).alias("mtime"))
+    packs = c.table("customer").filter("c_custkey % 2 = 0").select(F.concat(F.lit("c/"), F.col("c_custkey")).alias("pack"))
+    return reconcile.rebuilt(files, packs).select("pack", "rel_path", "ext", "size")

@@ -201,3 +201,19 @@ def test_obj_models(spark):
     text = "v 0 0 0\nv 1 0 0\nv 1 2 0\nv 0 2 3\nusemtl a\nf 1 2 3 4\nusemtl b\nf 1/1 2/2 3/3\n# end"
     row = features.obj_models(spark.createDataFrame([(1, text), (2, None)], "id int, text string")).filter("id = 1").first()
     assert (row["vert_count"], row["tri_count"], row["material_count"], row["bbox_x"], row["bbox_z"]) == (4, 3, 2, 1.0, 3.0)
+
+
+def test_sheets(spark):
+    """Four by two frames of 16 by 16 with clear gutters at their edges."""
+    cells = [(1, x, y, 255 if 2 <= x % 16 < 14 and 2 <= y % 16 < 14 else 0) for x in range(64) for y in range(32)] + [(2, x, y, 255) for x in range(20) for y in range(7)]
+    found = features.sheet_candidates(spark.createDataFrame(cells, "img int, x int, y int, a int")).cache()
+    best = features.sheet_grid(found).collect()
+    assert [(r["img"], r["cols"], r["rows"], r["confident"]) for r in best if r["img"] == 1] == [(1, 4, 2, True)]
+    wide = found.filter("img = 1 and cols = 2 and rows = 1").first()
+    assert wide["seam"] == 1.0 and wide["square"] == 1.0 and wide["content"] == 1.0
+    names = spark.createDataFrame([("hero_sheet.png", 5, 5), ("walk-8f.png", 5, 5), ("rock.png", 64, 32), ("rock.png", 13, 13)], "f string, w int, h int")
+    assert [r[0] for r in names.select(features.may_be_sheet(F.col("f"), F.col("w"), F.col("h"))).collect()] == [True, True, True, False]
+
+
+def test_last_token():
+    assert [facets.last_token(q) for q in ("type:model tur", "a ", "", '"open quo', '"a b" c')] == ["tur", "", "", "", "c"]
