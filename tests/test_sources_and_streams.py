@@ -145,3 +145,24 @@ def test_reports_and_marked_folders(spark, tmp_path):
     assert library.read_report(spark, f"file://{tmp_path}/r", "n int, s string").count() == 2
     files = spark.createDataFrame([("a/b/pack.asset.json",), ("c/x.png",)], "path string")
     assert sorted(r["dir"] for r in library.marked_folders(files).collect()) == ["a", "a/b"]
+
+
+def test_windows_close_with_the_watermark(spark, tmp_path):
+    import datetime
+
+    at = lambda minute: datetime.datetime(2024, 1, 1, 0, 0) + datetime.timedelta(minutes=minute)
+    parts = [[(at(1), "a"), (at(4), "b"), (at(11), "a")], [(at(40), "a"), (at(2), "a")], [(at(41), "a")], [(at(3), "late"), (at(90), "a")]]
+    got = run(spark, tmp_path, parts, "ts timestamp, event_type string", lambda s: watch.windowed_counts(s, "ts", "10 minutes", "10 minutes"), "windows")
+    rows = {(r["start"].minute, r["event_type"]): r["n"] for r in got}
+    # what came within ten minutes of the latest time is counted, the row that came after its window closed is not
+    assert rows[(10, "a")] == 1 and rows[(40, "a")] == 2 and rows[(0, "b")] == 1
+    assert (0, "late") not in rows and rows[(0, "a")] in (1, 2)
+
+
+def test_one_entry_a_key(spark, tmp_path):
+    import datetime
+
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    parts = [[(at(0), "k", 1), (at(1), "k", 2)], [(at(2), "k", 3), (at(3), "m", 4)]]
+    got = run(spark, tmp_path, parts, "at timestamp, dedupe_key string, id int", lambda s: watch.last_states(s, "at", "1 hour"), "entries")
+    assert sorted(r["dedupe_key"] for r in got) == ["k", "m"]
