@@ -135,8 +135,8 @@ def in_folder(folder: str, path: str = "library_path") -> Where:
 def tagged(tag: str, assets: DataFrame, asset_tags: DataFrame, pack_tags: DataFrame, closure: DataFrame) -> Where:
     """The tag or one below it, on the asset or on its pack."""
     below = closure.filter(F.col("ancestor") == tag).select(F.col("descendant").alias("tag"))
-    direct = asset_tags.join(F.broadcast(below), "tag", "left_semi").select("asset_id")
-    packs = pack_tags.join(F.broadcast(below), "tag", "left_semi").select("pack_id").distinct()
+    direct = asset_tags.join(below, "tag", "left_semi").select("asset_id")
+    packs = pack_tags.join(below, "tag", "left_semi").select("pack_id").distinct()
     return _in(direct.union(assets.join(packs, "pack_id", "left_semi").select("id")))
 
 

@@ -22,7 +22,7 @@ def closure(tags: DataFrame) -> DataFrame:
 def resolve(tags: DataFrame, aliases: DataFrame) -> DataFrame:
     """``tag`` by its canonical name: aliases are replaced, other names stay."""
     known = aliases.select(F.col("alias").alias("_a"), F.col("tag").alias("_t"))
-    return tags.join(F.broadcast(known), tags["tag"] == F.col("_a"), "left").withColumn("tag", F.coalesce("_t", "tag")).drop("_a", "_t")
+    return tags.join(known, tags["tag"] == F.col("_a"), "left").withColumn("tag", F.coalesce("_t", "tag")).drop("_a", "_t")
 
 
 def strongest(marks: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def search_text(asset_tags: DataFrame, assets: DataFrame, pack_tags: DataFrame,
     """``asset_id, tag_text``: all its tags with their ancestors and the aliases of those, sorted."""
     direct = view(asset_tags, assets, pack_tags).select("asset_id", "tag")
     above = direct.join(tag_closure.select(F.col("descendant").alias("tag"), "ancestor"), "tag").select("asset_id", F.col("ancestor").alias("tag")).distinct()
-    names = above.select("asset_id", F.col("tag").alias("name")).union(above.join(F.broadcast(aliases), "tag").select("asset_id", F.col("alias").alias("name")))
+    names = above.select("asset_id", F.col("tag").alias("name")).union(above.join(aliases, "tag").select("asset_id", F.col("alias").alias("name")))
     return names.groupBy("asset_id").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("tag_text"))
 
 
