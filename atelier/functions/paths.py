@@ -22,7 +22,10 @@ KINDS = {
 FORMAT_FOLDERS = "png psd aseprite ase kra xcf svg eps ai vector tiled_files tmx fbx obj gltf glb blend source sources sourcefiles".split()
 PLAIN_NAMES = "readme readme.txt readme.md license license.txt licence licence.txt license.md copyright credits.txt".split()
 PLAIN_EXTENSIONS = "txt md url nfo pdf rtf doc docx zip rar 7z tar gz bz2 xz tgz mtl bin import meta".split()
-IGNORED = ["__macosx", ".ds_store", "thumbs.db", "desktop.ini", "._*", ".git", ".trash-*", ".trash", "@eadir", "#recycle", "#snapshot", ".@__thumb", "$recycle.bin", "system volume information", ".spotlight-v100", ".fseventsd", ".temporaryitems", ".documentrevisions-v100"]
+IGNORED = [
+    "__MACOSX", ".DS_Store", "Thumbs.db", "desktop.ini", "._*", ".git", ".Trash-*", ".Trash", "@eaDir", "#recycle", "#snapshot", ".@__thumb",
+    "$RECYCLE.BIN", "System Volume Information", ".Spotlight-V100", ".fseventsd", ".TemporaryItems", ".DocumentRevisions-V100",
+]
 PRECEDENCE = "png webp glb gltf fbx obj svg aseprite ase psd kra xcf".split()
 
 
