@@ -29,7 +29,7 @@ from ..operators.scratch import cut
 from ._arrow import add, bounded
 from ._words import ALNUM, BASE, Runs, Texts, mixed
 
-WINDOW, SHINGLE, BLOCK = 10, 5, 16 << 20
+WINDOW, SHINGLE, BLOCK = 10, 5, 2 << 20
 FOUND = T.StructType([
     T.StructField("_spans", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.StringType())),
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
