@@ -29,7 +29,7 @@ from ._arrow import add, bounded
 from ._words import SPACED, Texts
 
 #: Bytes of text encoded at a time; each slice costs a few queries.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Words (and half the stretches of text) whose ids a task remembers before it starts anew.
 REMEMBERED = 250_000
 #: White space beyond ASCII; a text with such is split by the pattern as a whole.
