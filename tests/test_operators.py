@@ -106,6 +106,15 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a int, b int"), "a", "b").count() == 0
 
 
+def test_components_of_a_long_chain_in_random_order(spark):
+    ids = random.Random(1).sample(range(10**6), 2_000)
+    chain = spark.createDataFrame(list(zip(ids, ids[1:])), "a int, b int")
+    got = {(r["node"], r["component"]) for r in components.components(chain, "a", "b").collect()}
+    assert got == {(i, min(ids)) for i in ids}
+    with pytest.raises(RuntimeError):
+        components.components(chain, "a", "b", rounds=2)
+
+
 def test_near_pairs_lose_none(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(12)]
