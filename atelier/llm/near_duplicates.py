@@ -25,6 +25,8 @@ can't name it. An empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,14 +38,26 @@ from ..operators.scratch import cut
 from ._arrow import add, bounded
 from ._words import SPACED, Texts, mixed
 
-WORDS, K, LEAST, SHORT, SKETCH = 5, 64, 42, 8, 18
-#: Links: 100 * intersection >= PERCENT * union.
+WORDS, K, SHORT, SKETCH = 5, 64, 8, 18
+#: Links: 100 * intersection >= percent * union; this one unless another is asked for.
 PERCENT = 85
+#: The chance at most that a pair of just this similarity agrees on too few coordinates.
+MISSED = 3e-5
 _RANDOM = np.random.default_rng(2024)
 XOR, ODD = _RANDOM.integers(0, 1 << 63, K, np.uint64), _RANDOM.integers(0, 1 << 63, K, np.uint64) * np.uint64(2) + np.uint64(1)
 LONGS, INTS = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
 
 
+def least_agreeing(percent: int) -> int:
+    """Coordinates on which two nodes must agree: 42 for 85 %, 37 for 80 %."""
+    s, missed = percent / 100, 0.0
+    for n in range(K + 1):
+        missed += math.comb(K, n) * s**n * (1 - s) ** (K - n)
+        if missed > MISSED:
+            return max(n, 1)
+    return K
+
+
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     texts = Texts.of(column).lowered()
@@ -128,8 +142,9 @@ def sketch(table: DataFrame, column: str, bits: int = SKETCH) -> np.ndarray:
     return out
 
 
-def rare(table: DataFrame, column: str, counts, bits: int = SKETCH) -> DataFrame:
+def rare(table: DataFrame, column: str, counts, bits: int = SKETCH, percent: int = PERCENT) -> DataFrame:
     """Postings ``key, nid, pos, size``: the keys of each node's prefix, rarest first."""
+    least = least_agreeing(percent)
 
     def run(parts):
         table = counts.value
@@ -139,7 +154,7 @@ def rare(table: DataFrame, column: str, counts, bits: int = SKETCH) -> DataFrame
             nids, out = part.column("nid").to_numpy(), []
             for i, (a, b) in enumerate(zip(edge.tolist(), edge[1:].tolist())):
                 size = b - a
-                need = LEAST if column == "sig" else -(-PERCENT * size // 100)
+                need = least if column == "sig" else -(-percent * size // 100)
                 take = np.lexsort((keys[a:b], often[a:b]))[: size - need + 1]
                 out.append((keys[a:b][take], np.full(len(take), nids[i]), np.arange(len(take)), np.full(len(take), size)))
             if out:
@@ -148,23 +163,23 @@ def rare(table: DataFrame, column: str, counts, bits: int = SKETCH) -> DataFrame
     return bounded(table).select("nid", column).mapInArrow(run, "key long, nid long, pos long, size long")
 
 
-def _long_enough(a: str, b: str):
+def _long_enough(a: str, b: str, percent: int):
     """The length bound."""
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _possible(a, b):
+def _possible(a, b, percent: int):
     """Length and positional bounds: what two sets may share from their first common key on."""
     most = F.least(a["size"] - a["pos"], b["size"] - b["pos"])
-    return (100 * F.least(a["size"], b["size"]) >= PERCENT * F.greatest(a["size"], b["size"])) & (most * (100 + PERCENT) >= PERCENT * (a["size"] + b["size"]))
+    return (100 * F.least(a["size"], b["size"]) >= percent * F.greatest(a["size"], b["size"])) & (most * (100 + percent) >= percent * (a["size"] + b["size"]))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs of nodes ``a, b`` that are similar enough on their full sets."""
     side = lambda x: sets.select(F.col("nid").alias(f"nid_{x}"), F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
     both = pairs.join(side("b"), "nid_b").join(side("a"), "nid_a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.select("a", "b", shared.alias("shared"), F.size("set_a").alias("m"), F.size("set_b").alias("n")).filter(f"100 * shared >= {PERCENT} * (m + n - shared) and a <> b").select("a", "b")
+    return both.select("a", "b", shared.alias("shared"), F.size("set_a").alias("m"), F.size("set_b").alias("n")).filter(f"100 * shared >= {percent} * (m + n - shared) and a <> b").select("a", "b")
 
 
 def _marked(docs: DataFrame, wanted: DataFrame, bits: int = 23) -> DataFrame:
@@ -198,10 +213,10 @@ def _marked(docs: DataFrame, wanted: DataFrame, bits: int = 23) -> DataFrame:
     return made.groupBy("node", "nid").agg(F.first("shingles").alias("shingles"))
 
 
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of nodes whose sets are similar enough: enough of them to connect all that are."""
     sc = docs.sparkSession.sparkContext
-    posted = rare(nodes, "sig", sc.broadcast(sketch(nodes, "sig"))).select("key", "nid")
+    posted = rare(nodes, "sig", sc.broadcast(sketch(nodes, "sig")), percent=percent).select("key", "nid")
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = cut(posted.join(lists, "key"))
     short = shared.filter(F.col("n") <= SHORT)
@@ -209,37 +224,37 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     met = a.join(b, "key").filter("nid_a < nid_b").select("nid_a", "nid_b").distinct()
     side = lambda x: nodes.select(F.col("nid").alias(f"nid_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     agreeing = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = cut(met.join(side("a"), "nid_a").join(side("b"), "nid_b").filter(_long_enough("n_a", "n_b") & (agreeing >= LEAST)).select("nid_a", "nid_b"))
+    pairs = cut(met.join(side("a"), "nid_a").join(side("b"), "nid_b").filter(_long_enough("n_a", "n_b", percent) & (agreeing >= least_agreeing(percent))).select("nid_a", "nid_b"))
     crowded = cut(shared.filter(F.col("n") > SHORT).select("nid").distinct())
     wanted = pairs.select(F.col("nid_a").alias("nid")).union(pairs.select(F.col("nid_b").alias("nid"))).union(crowded)
     sets = cut(_marked(docs, wanted))
-    found = cut(_confirmed(pairs, sets))
+    found = cut(_confirmed(pairs, sets, percent))
     if crowded.isEmpty():
         return found
     # the nodes of long lists, on the rarest shingles of their whole sets
     whole = sets.join(crowded, "nid", "left_semi")
-    posts = cut(rare(whole, "shingles", sc.broadcast(sketch(whole, "shingles"))))
+    posts = cut(rare(whole, "shingles", sc.broadcast(sketch(whole, "shingles")), percent=percent))
     lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "size", "nid")).alias("hub")).filter("n > 1")
     posts = cut(posts.join(lists, "key"))
-    star = posts.filter((F.col("nid") != F.col("hub.nid")) & _possible({c: F.col(c) for c in ("pos", "size")}, {c: F.col(f"hub.{c}") for c in ("pos", "size")}))
+    star = posts.filter((F.col("nid") != F.col("hub.nid")) & _possible({c: F.col(c) for c in ("pos", "size")}, {c: F.col(f"hub.{c}") for c in ("pos", "size")}, percent))
     star = star.select(F.least("nid", "hub.nid").alias("nid_a"), F.greatest("nid", "hub.nid").alias("nid_b")).distinct()
-    found = cut(found.unionByName(_confirmed(star, sets)))
+    found = cut(found.unionByName(_confirmed(star, sets, percent)))
     part = components(found, "a", "b").join(sets.select("node", "nid"), "node").groupBy("nid").agg(F.min("component").alias("part"))
     split = posts.drop("hub").join(part, "nid", "left").withColumn("part", F.coalesce("part", F.encode(F.col("nid").cast("string"), "utf-8")))
     mixed_lists = split.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
     split = cut(split.join(mixed_lists, "key", "left_semi"))
     x, y = split.alias("x"), split.alias("y")
-    apart = (F.col("x.nid") < F.col("y.nid")) & (F.col("x.part") != F.col("y.part")) & _possible({c: F.col(f"x.{c}") for c in ("pos", "size")}, {c: F.col(f"y.{c}") for c in ("pos", "size")})
+    apart = (F.col("x.nid") < F.col("y.nid")) & (F.col("x.part") != F.col("y.part")) & _possible({c: F.col(f"x.{c}") for c in ("pos", "size")}, {c: F.col(f"y.{c}") for c in ("pos", "size")}, percent)
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.nid").alias("nid_a"), F.col("y.nid").alias("nid_b")).distinct()
-    return cut(found.unionByName(_confirmed(cross, sets)))
+    return cut(found.unionByName(_confirmed(cross, sets, percent)))
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: key, n_shingles, component_id, kept."""
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row a document: key, n_shingles, component_id, kept. Links need a similarity of ``percent`` at least."""
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = cut(add(texts, "text", SIGNED, _sign, keep=["key"]))
     nodes = cut(rows.filter("node is not null").groupBy("node", "nid", "n_shingles").agg(F.min("key").alias("least"), F.first("sig").alias("sig")))
-    joined = components(links(texts, nodes), "a", "b")
+    joined = components(links(texts, nodes, percent), "a", "b")
     least = nodes.select("node", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = least.groupBy("component").agg(F.min("least").alias("component_id"))
     named = least.join(names, "component").select("node", "component_id")

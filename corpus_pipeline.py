@@ -27,10 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = near_duplicates.PERCENT) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least id. Of equal rows that
-    share that id one stays."""
-    found = cut(near_duplicates.classes(docs.select("doc_id", "text")).select("doc_id", "kept"))
+    share that id one stays. Near-duplicates share ``percent`` % of their shingles at least."""
+    found = cut(near_duplicates.classes(docs.select("doc_id", "text"), percent=percent).select("doc_id", "kept"))
     ids = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     gone = cut(ids.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")))
     small = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from atelier.llm import near_duplicates, sharding, url_filters
 from atelier.llm.queries import QUERIES
 from atelier.llm.sql import ORACLES
@@ -69,6 +70,18 @@ def test_near_duplicates_of_odd_tables(spark):
     assert near_duplicates.classes(table.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_lower_threshold(spark):
+    """Ten words in the place of the last ten of 104: 90 shingles are shared, of 110 in all, 0.818."""
+    one = [f"w{i}" for i in range(104)]
+    two = one[:94] + [f"x{i}" for i in range(10)]
+    a, b = (shingles(" ".join(x)) for x in (one, two))
+    assert (len(a & b), len(a | b)) == (90, 110)
+    table = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1)})
+    assert near_duplicates.classes(table).filter("kept").count() == 2
+    assert [r["component_id"] for r in near_duplicates.classes(table, percent=80).collect()] == [1, 1]
+    assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, table, "", percent=80).collect()] == [1]
+
+
 @pytest.mark.parametrize("dims, bits", [(2, 3), (3, 2), (3, 3)])
 def test_curve_visits_neighbours(spark, dims, bits):
     cells = spark.createDataFrame(list(itertools.product(range(1 << bits), repeat=dims)), ", ".join(f"x{i} bigint" for i in range(dims)))
