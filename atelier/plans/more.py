@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, values
 from ..operators import activity, duplicates, features, provenance, reconcile, records, search, tags
 from .catalogue import T0, Catalogue
-from .registry import _PIXELS, _held, _pixels, query
+from .registry import _FEW_PACKS, _PIXELS, ORACLES, _all_held, _held, _pixels, query
 
 NAMES = ["hero.png", "README.md", ".gitkeep", "a.ZIP", "noext", "Pack.tar.GZ", "x.glb", "y.mtl", "Thumbs.db", "z.import", "LICENSE", "q.wav"]
 FOLDS = ["PNG", "2 Objects", "fbx(unity)", "Objects", "__MACOSX", "01_intro", "2d", "raw", "PSD_parts", "@eaDir"]
@@ -233,7 +233,16 @@ def asset_tag_transfer(c: Catalogue) -> DataFrame:
     CASE WHEN shared <> na AND shared <> nb THEN 0 WHEN swap THEN bb ELSE ba END AS bytes FROM turned"""
 )
 def pack_findings(c: Catalogue) -> DataFrame:
-    held, p = _held(c), F.col("pack_id")
+    return _findings(_held(c))
+
+
+@query(ORACLES["pack_findings"].replace(_FEW_PACKS, ""))
+def pack_findings_all(c: Catalogue) -> DataFrame:
+    return _findings(_all_held(c))
+
+
+def _findings(held: DataFrame) -> DataFrame:
+    p = F.col("pack_id")
     packs = held.select("pack_id").distinct().select("pack_id", (p % 5 == 0).alias("used"), (p % 2 == 0).alias("complete"), F.when(p % 7 == 0, "raw/x").otherwise("x").alias("path"), (p % 4).alias("tags"))
     return duplicates.pack_findings(duplicates.pack_overlaps(held), packs, held.withColumn("size", F.col("sha256") % 100))
 
