@@ -3,8 +3,9 @@
 Hosts are linked by the absolute links of their pages and by the owner that a page names in its
 copyright line. Trust is a personalised PageRank that restarts at the hosts whose pages the rules
 allow, along the links; distrust restarts at the hosts whose pages they block and flows against
-the links, to those who link to them. Both are spread by joins and grouped sums, a fixed number
-of rounds, written to the shared folder between rounds. A host whose share of distrust is above the
+the links, to those who link to them. Both are spread by joins and grouped sums, written to the shared folder
+between rounds, until no rank changes by more than a tiny part of itself: neither the number of
+pages nor the distance from a seed matters. A host whose share of distrust is above the
 threshold is blocked; a host that neither reaches is allowed.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed.
@@ -14,6 +15,8 @@ are told apart by their text. An empty table gives an empty result; other column
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +27,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?:href=["']?(?:https?:)?//|(?:&copy;|©)\x20?)([A-Za-z0-9][^/?#"'\s<>]*\.[^/?#"'\s<>]*)"""
 #: (verdict, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Rounds, the share that follows links, decimals kept from round to round, and the distrust above which a host is blocked.
+#: Rounds and decimals of the SQL, which stops early and rounds; the share that follows links, and the distrust above which a host is blocked.
 ROUNDS, FOLLOW, DECIMALS, THRESHOLD = 12, 0.85, 12, 0.5
+#: Rounds end when no rank changes by more than this part of itself.
+TOLERANCE = 1e-8
 
 
 def host_of(url: Column) -> Column:
@@ -53,16 +58,23 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return found.filter("x <> '' and y <> '' and x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``host, rank``: PageRank that restarts at ``seeds`` (host, weight adding up to 1)."""
+def spread(seeds: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``host, rank``: PageRank that restarts at ``seeds`` (host, weight adding up to 1), after so many rounds or,
+    if none are given, until the largest relative change is within ``TOLERANCE``."""
     out = links.groupBy("x").agg(F.sum("n").alias("total"))
     step = cut(links.join(out, "x").select("x", "y", (F.col("n") / F.col("total")).alias("share")))
     restart = cut(seeds.select("host", "weight"))
     now = restart.select("host", F.col("weight").alias("rank"))
-    for _ in range(rounds):
-        sent = step.join(now, step["x"] == now["host"]).select(F.col("y").alias("host"), (FOLLOW * F.col("rank") * F.col("share")).alias("rank"))
-        back = restart.select("host", ((1 - FOLLOW) * F.col("weight")).alias("rank"))
-        now = cut(sent.unionByName(back).groupBy("host").agg(F.round(F.sum("rank"), DECIMALS).alias("rank")))
+    for turn in itertools.count():
+        if turn == rounds:
+            break
+        sent = step.join(now, step["x"] == now["host"]).select(F.col("y").alias("host"), (FOLLOW * F.col("rank") * F.col("share")).alias("rank"), F.lit(0.0).alias("old"))
+        back = restart.select("host", ((1 - FOLLOW) * F.col("weight")).alias("rank"), F.lit(0.0).alias("old"))
+        before = now.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("old"))
+        then = cut(sent.unionByName(back).unionByName(before).groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old")))
+        now = then.select("host", "rank")
+        if rounds is None and then.filter(F.abs(F.col("rank") - F.col("old")) > TOLERANCE * F.col("rank")).isEmpty():
+            break
     return now
 
 
@@ -78,7 +90,7 @@ def host_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], url: str
         seeds = hosts.filter(F.col(verdict) > 0).select("host", (F.col(verdict) / F.lit(n or 1)).alias("weight"))
         out = out.join(spread(seeds, way).withColumnRenamed("rank", name), "host", "left")
     out = out.fillna(0.0, ["trust", "distrust"])
-    return out.withColumn("doubt", F.when(F.col("trust") + F.col("distrust") > 0, F.col("distrust") / (F.col("trust") + F.col("distrust"))).otherwise(0.0))
+    return out.withColumn("doubt", F.when(F.col("trust") + F.col("distrust") > 0, F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), 7)).otherwise(0.0))
 
 
 #: Hosts up to which verdicts are broadcast (some 100 bytes each); beyond, the join is shuffled.

@@ -136,6 +136,15 @@ def test_distrust_flows_to_those_who_link(spark):
     assert empty.count() == 0
 
 
+def test_distrust_reaches_any_distance_from_a_small_seed(spark):
+    hosts = [f"h{i}" for i in range(16)]
+    links = spark.createDataFrame([*((a, b, 1) for a, b in zip(hosts, hosts[1:])), *(("h0", f"o{i}", 1) for i in range(99))], "x string, y string, n bigint")
+    got = {r["host"]: r["rank"] for r in url_filters.spread(spark.createDataFrame([("far", 1 - 1e-9), ("h0", 1e-9)], "host string, weight double"), links).collect()}
+    assert len(got) == 1 + 16 + 99 and got["h15"] == pytest.approx(0.15e-9 * 0.85**15 / 100, rel=1e-6)
+    chain = [(0, "http://bad.net/fr/1", ""), *((i, f"http://h{i}.org/", f'<a href="http://{f"h{i - 1}.org" if i > 1 else "bad.net"}/">x</a>') for i in range(1, 15))]
+    assert {r["verdict"] for r in url_filters.judge(spark.createDataFrame(chain, "page_id bigint, url string, html string")).collect()} == {"block"}
+
+
 def test_ranks_by_hand(spark):
     links = spark.createDataFrame([("a", "b", 1), ("a", "c", 3), ("b", "a", 1)], "x string, y string, n bigint")
     got = {r["host"]: r["rank"] for r in url_filters.spread(spark.createDataFrame([("a", 1.0)], "host string, weight double"), links, 3).collect()}
