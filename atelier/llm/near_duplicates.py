@@ -8,12 +8,14 @@ of these. Frequent values (a passage that many documents hold) are skipped that
 their collisions are counted from the signatures of the pairs that the rare ones give. Pairs
 retained are confirmed on the full sets.
 
-No list of postings is turned into all its pairs unless it is short (``SHORT``). The nodes of
-longer lists (large groups of near copies) are joined on the rarest shingles of their whole
-sets instead, with the exact prefix, length and positional bounds of the threshold: first each
-list's most central node with the others; then the pairs of a list that are still in different
-components. Pairs within a component need no test, as they can't change it. That is exact and
-leaves no list out, whatever its length.
+No list of postings is turned into all its pairs, whatever its length. Of each list the most central
+node is first paired with the others, which joins groups of copies. What a list then still holds in
+different components is confirmed as a whole: the full sets of these nodes are joined on their own
+rarest shingles, with the exact prefix, length and positional bounds of the threshold, and only
+pairs of different components count, as others can't change anything. Long lists are
+dealt to tasks in blocks of ``BLOCK`` nodes. No link between components is lost, but of those
+that agree on too few coordinates (``MISSED``). Where very many nodes share nearly enough of a passage
+and none is similar enough to another, the bounds can't tell them apart: their pairs are all confirmed, in blocks.
 
 Rarity comes from counts in a table of fixed size (``SKETCH`` bits of a hash): an order that all
 nodes share is all that the filter needs to be complete, so chance collisions cost time only.
@@ -38,7 +40,9 @@ from ..operators.scratch import cut
 from ._arrow import add, bounded
 from ._words import SPACED, Texts, mixed
 
-WORDS, K, SHORT, SKETCH = 5, 64, 8, 18
+WORDS, K, SKETCH = 5, 64, 18
+#: Nodes of a posting list that a task compares with as many others at a time.
+BLOCK = 512
 #: Links: 100 * intersection >= percent * union; this one unless another is asked for.
 PERCENT = 85
 #: The chance at most that a pair of just this similarity agrees on too few coordinates.
@@ -142,25 +146,30 @@ def sketch(table: DataFrame, column: str, bits: int = SKETCH) -> np.ndarray:
     return out
 
 
-def rare(table: DataFrame, column: str, counts, bits: int = SKETCH, percent: int = PERCENT) -> DataFrame:
-    """Postings ``key, nid, pos, size``: the keys of each node's prefix, rarest first."""
+def rare(table: DataFrame, column: str, counts, bits: int = SKETCH, percent: int = PERCENT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Postings ``key, nid, pos, size``: the keys of each node's prefix, rarest first. Columns of ``keep`` go with them."""
     least = least_agreeing(percent)
+    kinds = dict(table.dtypes)
 
     def run(parts):
         table = counts.value
         for part in parts:
             keys, edge = _keys(part, column)
             often = table[keys >> np.uint64(64 - bits)]
-            nids, out = part.column("nid").to_numpy(), []
-            for i, (a, b) in enumerate(zip(edge.tolist(), edge[1:].tolist())):
-                size = b - a
-                need = least if column == "sig" else -(-percent * size // 100)
-                take = np.lexsort((keys[a:b], often[a:b]))[: size - need + 1]
-                out.append((keys[a:b][take], np.full(len(take), nids[i]), np.arange(len(take)), np.full(len(take), size)))
+            out, size = [], np.diff(edge)
+            need = np.full(len(size), least) if column == "sig" else -(-percent * size // 100)
+            for a, b, n in zip(edge.tolist(), edge[1:].tolist(), (size - need + 1).tolist()):
+                out.append(np.lexsort((keys[a:b], often[a:b]))[:n])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64) if x[0].dtype != np.uint64 else np.concatenate(x).view(np.int64)) for x in zip(*out)], names=["key", "nid", "pos", "size"])
+                taken = np.array([len(x) for x in out])
+                row = np.repeat(np.arange(len(out)), taken)
+                at = np.concatenate(out) + edge[row]
+                pos = np.arange(len(row)) - np.repeat(np.cumsum(taken) - taken, taken)
+                made = [keys[at].view(np.int64), part.column("nid").to_numpy()[row], pos, size[row].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, made), *(part.column(c).take(pa.array(row)) for c in keep)], names=["key", "nid", "pos", "size", *keep])
 
-    return bounded(table).select("nid", column).mapInArrow(run, "key long, nid long, pos long, size long")
+    schema = ", ".join(["key long, nid long, pos long, size long", *(f"{c} {kinds[c]}" for c in keep)])
+    return bounded(table).select("nid", column, *keep).mapInArrow(run, schema)
 
 
 def _long_enough(a: str, b: str, percent: int):
@@ -168,10 +177,10 @@ def _long_enough(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _possible(a, b, percent: int):
-    """Length and positional bounds: what two sets may share from their first common key on."""
-    most = F.least(a["size"] - a["pos"], b["size"] - b["pos"])
-    return (100 * F.least(a["size"], b["size"]) >= percent * F.greatest(a["size"], b["size"])) & (most * (100 + percent) >= percent * (a["size"] + b["size"]))
+def _possible(percent: int):
+    """Length and positional bounds of postings x and y: what two sets may share from this key on."""
+    most = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
+    return _long_enough("x.size", "y.size", percent) & (most * (100 + percent) >= percent * (F.col("x.size") + F.col("y.size")))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -213,40 +222,52 @@ def _marked(docs: DataFrame, wanted: DataFrame, bits: int = 23) -> DataFrame:
     return made.groupBy("node", "nid").agg(F.first("shingles").alias("shingles"))
 
 
-def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of nodes whose sets are similar enough: enough of them to connect all that are."""
+def _apart(posts: DataFrame, percent: int) -> DataFrame:
+    """``nid_a, nid_b``: pairs on a common key, of different ``part``, that the bounds allow. A key's nodes are dealt
+    to blocks, and each pair of blocks is a task's work, so no key is bound to one task."""
+    lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = cut(posts.join(lists.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks"))))
+    x = dealt.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).withColumnsRenamed({"block": "i", "other": "j"}).alias("x")
+    y = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "block"))).withColumnsRenamed({"other": "i", "block": "j"}).alias("y")
+    once = (F.col("x.i") < F.col("x.j")) | (F.col("x.nid") < F.col("y.nid"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & once & (F.col("x.part") != F.col("y.part")) & _possible(percent))
+    return cut(met.select(F.least("x.nid", "y.nid").alias("nid_a"), F.greatest("x.nid", "y.nid").alias("nid_b")).distinct())
+
+
+def joined(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``node, component`` of all nodes that are linked with another: the least node of each component."""
     sc = docs.sparkSession.sparkContext
-    posted = rare(nodes, "sig", sc.broadcast(sketch(nodes, "sig")), percent=percent).select("key", "nid")
-    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = cut(posted.join(lists, "key"))
-    short = shared.filter(F.col("n") <= SHORT)
-    a, b = (short.select("key", F.col("nid").alias(f"nid_{x}")) for x in "ab")
-    met = a.join(b, "key").filter("nid_a < nid_b").select("nid_a", "nid_b").distinct()
+    posted = rare(nodes, "sig", sc.broadcast(sketch(nodes, "sig")), percent=percent)
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "nid"))["nid"].alias("hub")).filter("n > 1")
+    shared = cut(posted.select("key", "nid").join(lists, "key").filter("nid <> hub"))
+    met = cut(shared.select(F.least("nid", "hub").alias("nid_a"), F.greatest("nid", "hub").alias("nid_b")).distinct())
     side = lambda x: nodes.select(F.col("nid").alias(f"nid_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     agreeing = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     pairs = cut(met.join(side("a"), "nid_a").join(side("b"), "nid_b").filter(_long_enough("n_a", "n_b", percent) & (agreeing >= least_agreeing(percent))).select("nid_a", "nid_b"))
-    crowded = cut(shared.filter(F.col("n") > SHORT).select("nid").distinct())
-    wanted = pairs.select(F.col("nid_a").alias("nid")).union(pairs.select(F.col("nid_b").alias("nid"))).union(crowded)
+    # a list of two has no further pair
+    wanted = pairs.select(F.col("nid_a").alias("nid")).union(pairs.select(F.col("nid_b").alias("nid"))).union(shared.filter("n > 2").select("nid"))
     sets = cut(_marked(docs, wanted))
-    found = cut(_confirmed(pairs, sets, percent))
-    if crowded.isEmpty():
-        return found
-    # the nodes of long lists, on the rarest shingles of their whole sets
-    whole = sets.join(crowded, "nid", "left_semi")
-    posts = cut(rare(whole, "shingles", sc.broadcast(sketch(whole, "shingles")), percent=percent))
-    lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "size", "nid")).alias("hub")).filter("n > 1")
-    posts = cut(posts.join(lists, "key"))
-    star = posts.filter((F.col("nid") != F.col("hub.nid")) & _possible({c: F.col(c) for c in ("pos", "size")}, {c: F.col(f"hub.{c}") for c in ("pos", "size")}, percent))
-    star = star.select(F.least("nid", "hub.nid").alias("nid_a"), F.greatest("nid", "hub.nid").alias("nid_b")).distinct()
-    found = cut(found.unionByName(_confirmed(star, sets, percent)))
-    part = components(found, "a", "b").join(sets.select("node", "nid"), "node").groupBy("nid").agg(F.min("component").alias("part"))
-    split = posts.drop("hub").join(part, "nid", "left").withColumn("part", F.coalesce("part", F.encode(F.col("nid").cast("string"), "utf-8")))
-    mixed_lists = split.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-    split = cut(split.join(mixed_lists, "key", "left_semi"))
-    x, y = split.alias("x"), split.alias("y")
-    apart = (F.col("x.nid") < F.col("y.nid")) & (F.col("x.part") != F.col("y.part")) & _possible({c: F.col(f"x.{c}") for c in ("pos", "size")}, {c: F.col(f"y.{c}") for c in ("pos", "size")}, percent)
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.nid").alias("nid_a"), F.col("y.nid").alias("nid_b")).distinct()
-    return cut(found.unionByName(_confirmed(cross, sets, percent)))
+    first = components(cut(_confirmed(pairs, sets, percent)), "a", "b")
+    part = cut(first.join(sets.select("node", "nid"), "node").groupBy("nid").agg(F.min("component").alias("part")))
+    rest = shared.filter("n > 2").select("key", "nid").join(part, "nid", "left").withColumn("part", F.coalesce("part", F.encode(F.col("nid").cast("string"), "utf-8")))
+    rest = cut(rest)
+    split = rest.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
+    open_ = cut(rest.join(split, "key", "left_semi").select("nid", "part").distinct())
+    if open_.isEmpty():
+        return first
+    whole = cut(sets.select("nid", "shingles").join(open_, "nid"))
+    posts = cut(rare(whole, "shingles", sc.broadcast(sketch(whole, "shingles")), percent=percent, keep=("part",)))
+    more = cut(_confirmed(_apart(posts, percent), sets, percent))
+    if more.isEmpty():
+        return first
+    # the links found last join components of the first
+    old = lambda x: first.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    ends = more.join(old("a"), "a", "left").join(old("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    second = components(ends, "a", "b", "old", "new")
+    alone = second.select(F.col("old").alias("node"), F.col("old").alias("component")).join(first, "node", "left_anti")
+    every = first.unionByName(alone).join(second, F.col("component") == F.col("old"), "left")
+    return cut(every.select("node", F.coalesce("new", "component").alias("component")))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -254,8 +275,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = cut(add(texts, "text", SIGNED, _sign, keep=["key"]))
     nodes = cut(rows.filter("node is not null").groupBy("node", "nid", "n_shingles").agg(F.min("key").alias("least"), F.first("sig").alias("sig")))
-    joined = components(links(texts, nodes, percent), "a", "b")
-    least = nodes.select("node", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = nodes.select("node", "least").join(joined(texts, nodes, percent), "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = least.groupBy("component").agg(F.min("least").alias("component_id"))
     named = least.join(names, "component").select("node", "component_id")
     out = rows.filter("node is not null").select("key", "node", "n_shingles").join(named, "node").select("key", "n_shingles", "component_id")

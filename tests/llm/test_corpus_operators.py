@@ -42,10 +42,10 @@ def groups_by_hand(rows):
     return sorted((key, len(s), least[x], key == least[x]) for (key, _), s, x in zip(rows, sets, label))
 
 
-@pytest.mark.parametrize("short", [8, 2])
-def test_near_duplicates_lose_no_link(spark, monkeypatch, short):
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_duplicates_lose_no_link(spark, monkeypatch, block):
     """A large group of near copies with one to twelve edits, exact copies, a passage in most texts."""
-    monkeypatch.setattr(near_duplicates, "SHORT", short)
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
     rng = random.Random(5)
     say = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(n)]
     base, passage, texts = say(120), say(50), []
@@ -63,6 +63,25 @@ def test_near_duplicates_lose_no_link(spark, monkeypatch, short):
     assert got == groups_by_hand(rows)
 
 
+def test_near_duplicates_of_chains(spark):
+    """Revisions in random order, each similar to the next only, and a centre whose copies are linked beside it as well."""
+    rng = random.Random(6)
+    text, texts = [f"w{i}" for i in range(120)], []
+    for k in range(100):
+        texts.append(" ".join(text))
+        text[(8 * k) % 120] = f"x{k}"
+    centre = [f"c{i}" for i in range(120)]
+    for k in range(30):
+        copy = list(centre)
+        for i in range(k % 5):
+            copy[(k // 5 * 20 + i * 23) % 120] = f"d{k // 2}{i}"
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts, 1))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == groups_by_hand(rows)
+
+
 def test_near_duplicates_of_odd_tables(spark):
     table = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (7, None)], "doc_id bigint, text string")
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates.classes(table).collect()), key=repr)
@@ -79,7 +98,7 @@ def test_near_duplicates_of_a_lower_threshold(spark):
     table = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1)})
     assert near_duplicates.classes(table).filter("kept").count() == 2
     assert [r["component_id"] for r in near_duplicates.classes(table, percent=80).collect()] == [1, 1]
-    assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, table, "", percent=80).collect()] == [1]
+    assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, table, "").collect()] == [1]
 
 
 @pytest.mark.parametrize("dims, bits", [(2, 3), (3, 2), (3, 3)])
