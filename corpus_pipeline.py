@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = near_duplicates.PERCENT) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = 80) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least id. Of equal rows that
     share that id one stays. Near-duplicates share ``percent`` % of their shingles at least."""
     found = cut(near_duplicates.classes(docs.select("doc_id", "text"), percent=percent).select("doc_id", "kept"))
