@@ -3,8 +3,10 @@
 Base kinds are patterns with a least length. The entropy kinds look at candidate strings of a
 character class: a window slides over each, the count of the character that enters and of the
 one that leaves are updated, and with them the sum of ``c * log2(c)`` from which the window's Shannon
-entropy follows. A candidate is reported from its first to its last window at or above the
-class's threshold, unless the allow-list knows it or a base span covers it.
+entropy follows, and how many digits and letters of either case it holds. A window is reported at
+or above the class's threshold, unless the allow-list knows it: it is all words or all
+numbers (``mixed``), or touches a placeholder (``PLACEHOLDERS``). A candidate is reported from its first to its
+last such window, unless a base span covers it. The work for a candidate grows with its length only.
 
 Spans are in code points, end exclusive, leftmost and non-overlapping per kind. Nulls and empty
 texts have none. Texts of any length are scanned whole. Repeated rows give repeated results, an
@@ -34,28 +36,37 @@ BASE = {
 #: Patterns that find the same matches of sufficient length, and no others: a run of one class is
 #: matched from its start to its end whatever length is asked for.
 LONG_ONLY = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
-#: kind: candidates, alphabet, window, least entropy of a window in bits.
-ENTROPY = {
-    "hexent": (r"[0-9A-F]{24,}", "0123456789ABCDEF", 24, 2.905),
-    "b64ent": (r"[A-Za-z0-9+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.705),
-}
-#: Candidates that are no secrets: words, numbers, placeholders, and strings without both letters and three digits.
-ALLOWED = r"^[A-Za-z_/=+-]+$|^[0-9_/=+-]+$|[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|[Xx]{5}|012345678|^[^0-9]*([0-9][^0-9]*){1,2}$"
+#: kind: candidates, window, least entropy of a window in bits.
+ENTROPY = {"hexent": (r"[0-9A-F]{24,}", 24, 2.905), "b64ent": (r"[A-Za-z0-9+/_=-]{20,}", 20, 3.705)}
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Known strings that are no secrets, and as many blanks.
+PLACEHOLDERS = [(either_case("example"), 7), (either_case("placeholder"), 11), ("[Xx]{5}", 5), ("012345678", 9)]
 ORDER = [*BASE, *ENTROPY]
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """array<struct<m, at>>: the matches and where they begin, from matches and the text between."""
+def _located(text: Column, pattern: str, chunk: int = 1024) -> Column:
+    """array<struct<m, at>>: the matches and where they begin, from matches and the text between. Places are
+    summed within chunks of matches and over chunks, so that no list grows match by match."""
     rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
     rows = F.filter(rows, lambda r: r["m"].isNotNull())
-    empty = F.array().cast("array<struct<m:string,at:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    step = lambda s, r: F.struct(
-        (s["at"] + F.length(r["gap"]) + F.length(r["m"])).alias("at"),
-        F.concat(s["out"], F.array(F.struct(r["m"].alias("m"), (s["at"] + F.length(r["gap"])).alias("at")))).alias("out"),
-    )
-    found = F.aggregate(rows, start, step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    none = F.array().cast("array<struct<m:string,at:int>>")
+
+    def placed(part: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        step = lambda s, r: F.struct(
+            (s["at"] + F.length(r["gap"]) + F.length(r["m"])).alias("at"),
+            F.concat(s["out"], F.array(F.struct(r["m"].alias("m"), (s["at"] + F.length(r["gap"])).alias("at")))).alias("out"),
+        )
+        return F.aggregate(part, start, step)
+
+    def joined(parts: Column) -> Column:
+        before = F.aggregate(parts, F.array(F.lit(0)), lambda s, p: F.concat(s, F.array(F.element_at(s, -1) + p["at"])))
+        moved = F.zip_with(parts, before, lambda p, at: F.transform(p["out"], lambda m: F.struct(m["m"].alias("m"), (m["at"] + at).alias("at"))))
+        return F.flatten(F.filter(moved, lambda m: m.isNotNull()))  # there is one sum more than parts
+
+    several = lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / chunk).cast("int")), lambda k: placed(F.slice(r, k * chunk + 1, F.lit(chunk))))
+    found = F.flatten(F.transform(F.transform(F.array(rows), several), joined))
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
 
 def _span(kind: str, begin: Column, end: Column) -> Column:
@@ -70,32 +81,76 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.transform(matches, lambda m: _span(kind, m["at"], m["at"] + F.length(m["m"])))
 
 
-def windows_above(candidate: Column, alphabet: str, window: int, least: float) -> Column:
-    """struct<first, last>: starts of the first and last window of enough entropy, -1 if none has."""
-    weight = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)))
-    most = window * (math.log2(window) - least)  # entropy = log2(window) - sum / window
-    locate = lambda i: F.instr(F.lit(alphabet), F.substr(candidate, i, F.lit(1)))
+#: Symbols: 1 to 67 of the alphabet, a blank of a placeholder, and what fills the window before a candidate's first character.
+BLANK, BEFORE = len(ALPHABET) + 1, len(ALPHABET) + 2
+#: Counters have 5 bits (windows are below 32), 12 to a long.
+BITS, PER_WORD = 5, 12
+WORDS = -(-BEFORE // PER_WORD)
+#: c * log2(c) in units of 2^-32 bits: sums of whole numbers don't drift.
+UNIT = 1 << 32
+
+
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def step(s, i):
-        new, old = locate(i), F.when(i > window, locate(F.greatest(i - window, F.lit(1)))).otherwise(0)
-        # counts of the entering character before and of the leaving one after it entered
-        had = F.element_at(s["n"], new)
-        held = F.when(old == 0, 1).otherwise(F.element_at(s["n"], F.greatest(old, F.lit(1))) + (old == new).cast("int"))
-        term = lambda c: F.element_at(weight, c + 1)  # noqa: E731  c * log2(c)
-        total = s["sum"] + term(had + 1) - term(had) + F.when(old == 0, 0.0).otherwise(term(held - 1) - term(held))
-        counts = F.transform(s["n"], lambda c, k: c + (k + 1 == new).cast("int") - (k + 1 == old).cast("int"))
-        above, begin = (i >= window) & (total <= most), i - window
-        first = F.when(above & (s["first"] < 0), begin).otherwise(s["first"])
-        return F.struct(counts.alias("n"), total.alias("sum"), first.alias("first"), F.when(above, begin).otherwise(s["last"]).alias("last"))
 
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("n"), F.lit(0.0).cast("double").alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), zero, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+def mixed(digits: Column, upper: Column, lower: Column) -> Column:
+    """Secrets are drawn from several classes: digits beside letters, of both cases or else with three digits."""
+    return (digits >= 1) & (upper + lower >= 1) & ((digits >= 3) | ((upper >= 1) & (lower >= 1)))
+
+
+def windows_above(candidate: Column, window: int, least: float) -> Column:
+    """struct<first, last>: starts of the first and last reported window of a candidate (its bytes, with placeholders
+    blanked), -1 if there is none."""
+    table = lambda values: F.array(*map(F.lit, values))
+    codes = table([ALPHABET.find(chr(b)) + 1 or BLANK for b in range(128)])
+    weight = table([0, *(round(c * math.log2(c) * UNIT) for c in range(1, window + 1))])
+    # what a symbol adds to the numbers of lower and upper case letters, digits, and symbols that no secret has, a byte each
+    kinds = table([*(1 << (0 if c.islower() else 8 if c.isupper() else 16) if c.isalnum() else 0 for c in ALPHABET), 1 << 24, 1 << 24])
+    units = table([1 << BITS * (k % PER_WORD) for k in range(BEFORE)])
+    most = math.floor(window * (math.log2(window) - least) * UNIT)  # entropy = log2(window) - sum / window
+    symbol = lambda i: F.element_at(codes, F.ascii(F.substring(candidate, i, F.lit(1)).cast("string")) + 1)
+    word = lambda k: F.floor((k - 1) / PER_WORD).cast("int")
+    count = lambda n, k: F.call_function("shiftright", F.element_at(n, word(k) + 1), (k - 1) % PER_WORD * BITS).bitwiseAND((1 << BITS) - 1)
+    term = lambda c: F.element_at(weight, c.cast("int") + 1)
+    byte = lambda k, shift: F.shiftright(k, shift).bitwiseAND(255)
+
+    def step(s, i):
+        moved = F.struct(symbol(i).alias("new"), F.when(i > window, symbol(F.greatest(i - window, F.lit(1)))).otherwise(BEFORE).alias("old"))
+        return _with(moved, lambda m: counted(s, i, m))
+
+    def counted(s, i, m):
+        before = F.struct(count(s["n"], m["old"]).alias("old"), (count(s["n"], m["new"]) - (m["new"] == m["old"]).cast("int")).alias("new"))
+        total = _with(before, lambda c: s["sum"] + term(c["old"] - 1) - term(c["old"]) + term(c["new"] + 1) - term(c["new"]))
+        own = lambda k, j: F.when(word(k) == j, F.element_at(units, k)).otherwise(F.lit(0).cast("long"))
+        counts = F.transform(s["n"], lambda x, j: x + own(m["new"], j) - own(m["old"], j))
+        now = F.struct(total.alias("sum"), (s["kinds"] + F.element_at(kinds, m["new"]) - F.element_at(kinds, m["old"])).alias("kinds"))
+        return _with(now, lambda x: moved_on(s, i, counts, x))
+
+    def moved_on(s, i, counts, x):
+        above = (x["sum"] <= most) & (x["kinds"] < 1 << 24) & mixed(byte(x["kinds"], 16), byte(x["kinds"], 8), byte(x["kinds"], 0))
+        first = F.when(above & (s["first"] < 0), i - window).otherwise(s["first"])
+        return F.struct(counts.alias("n"), x["sum"].alias("sum"), x["kinds"].alias("kinds"), first.alias("first"), F.when(above, i - window).otherwise(s["last"]).alias("last"))
+
+    full = [0] * (WORDS - 1) + [window << BITS * ((BEFORE - 1) % PER_WORD)]
+    start = F.struct(
+        F.array(*(F.lit(x).cast("long") for x in full)).alias("n"), F.lit(round(window * math.log2(window) * UNIT)).alias("sum"),
+        F.lit(window << 24).alias("kinds"), F.lit(-1).alias("first"), F.lit(-1).alias("last"),
+    )
+    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
 def entropy_spans(text: Column, kind: str) -> Column:
-    pattern, alphabet, window, least = ENTROPY[kind]
-    candidates = F.filter(_located(text, pattern), lambda m: ~m["m"].rlike(ALLOWED))
-    judged = F.transform(candidates, lambda m: F.struct(m["at"].alias("at"), windows_above(m["m"], alphabet, window, least).alias("w")))
+    pattern, window, least = ENTROPY[kind]
+
+    def blanked(m: Column) -> Column:
+        for known, size in PLACEHOLDERS:
+            m = F.regexp_replace(m, known, " " * size)
+        return m.cast("binary")
+
+    candidates = F.transform(_located(text, pattern), lambda m: F.struct(m["at"].alias("at"), blanked(m["m"]).alias("m")))
+    judged = F.transform(candidates, lambda m: F.struct(m["at"].alias("at"), windows_above(m["m"], window, least).alias("w")))
     return F.transform(F.filter(judged, lambda j: j["w"]["first"] >= 0), lambda j: _span(kind, j["at"] + j["w"]["first"], j["at"] + j["w"]["last"] + window))
 
 

@@ -117,9 +117,14 @@ def op4() -> str:
         located(kind, pattern)
         parts.append(f"{kind} AS (SELECT doc_id, '{kind}' AS kind, {rank} AS rank, pos AS s, pos + length(m) AS e FROM {kind}_at WHERE length(regexp_extract(m, {_quoted(pattern)}, {group})) >= {least})")
     parts.append("base AS (" + " UNION ALL ".join(f"SELECT * FROM {k}" for k in secrets.BASE) + ")")
-    for rank, (kind, (pattern, _, window, least)) in enumerate(secrets.ENTROPY.items(), len(secrets.BASE)):
+    for rank, (kind, (pattern, window, least)) in enumerate(secrets.ENTROPY.items(), len(secrets.BASE)):
         located(kind, pattern)
-        parts.append(f"""{kind}_w AS (SELECT doc_id, pos, i, substr(m, i + 1, {window}) AS w FROM (SELECT *, unnest(range(length(m) - {window} + 1)) AS i FROM {kind}_at WHERE NOT regexp_matches(m, {_quoted(secrets.ALLOWED)}))),
+        known = "m"
+        for placeholder, size in secrets.PLACEHOLDERS:
+            known = f"regexp_replace({known}, {_quoted(placeholder)}, '{' ' * size}', 'g')"
+        has = lambda of: f"length(regexp_replace(w, '[^{of}]', '', 'g'))"
+        parts.append(f"""{kind}_w AS (SELECT doc_id, pos, i, substr(m, i + 1, {window}) AS w FROM (SELECT doc_id, pos, {known} AS m, unnest(range(length(m) - {window} + 1)) AS i FROM {kind}_at)
+            WHERE NOT contains(w, ' ') AND {has("0-9")} >= 1 AND {has("A-Za-z")} >= 1 AND ({has("0-9")} >= 3 OR {has("A-Z")} >= 1 AND {has("a-z")} >= 1)),
         {kind}_n AS (SELECT doc_id, pos, i, c, count(*) AS n FROM (SELECT doc_id, pos, i, unnest(string_split(w, '')) AS c FROM {kind}_w) GROUP BY ALL),
         {kind}_h AS (SELECT doc_id, pos, i FROM {kind}_n GROUP BY ALL HAVING sum(-n / {window}::DOUBLE * log2(n / {window}::DOUBLE)) >= {least}),
         {kind}_s AS (SELECT doc_id, '{kind}' AS kind, {rank} AS rank, pos + min(i) AS s, pos + max(i) + {window} AS e FROM {kind}_h GROUP BY doc_id, pos),
