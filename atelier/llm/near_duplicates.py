@@ -17,8 +17,8 @@ dealt to tasks in blocks of ``BLOCK`` nodes. No link between components is lost,
 that agree on too few coordinates (``MISSED``). Where very many nodes share nearly enough of a passage
 and none is similar enough to another, the bounds can't tell them apart: their pairs are all confirmed, in blocks.
 
-Rarity comes from counts in a table of fixed size (``SKETCH`` bits of a hash): an order that all
-nodes share is all that the filter needs to be complete, so chance collisions cost time only.
+Rarity comes from exact counts of nodes. A value that one node alone holds counts in the order, but is
+not posted: a node with enough of such has no posting at all.
 
 Null and empty texts have no shingles and are linked with nothing. Texts of fewer words are
 one shingle. Repeated rows are exact copies. A row without an id belongs to its group but
@@ -31,16 +31,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import components
 from ..operators.scratch import cut
-from ._arrow import add, bounded
+from ._arrow import add
 from ._words import SPACED, Texts, mixed
 
-WORDS, K, SKETCH = 5, 64, 18
+WORDS, K = 5, 64
 #: Nodes of a posting list that a task compares with as many others at a time.
 BLOCK = 512
 #: Links: 100 * intersection >= percent * union; this one unless another is asked for.
@@ -113,63 +113,14 @@ def _sign():
     return step
 
 
-def _array(part: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """All values of an array column and each row's first and last place."""
-    lists = part.column(column)
-    offsets = lists.offsets.to_numpy()
-    return lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def _keys(part: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Posting keys: a coordinate with its value, or a shingle."""
-    values, edge = _array(part, column)
-    if column == "sig":
-        place = np.arange(len(values), dtype=np.uint64) % np.uint64(K)
-        return mixed(values.view(np.uint32).astype(np.uint64) + (place << np.uint64(32))), edge
-    return values.view(np.uint64), edge
-
-
-def sketch(table: DataFrame, column: str, bits: int = SKETCH) -> np.ndarray:
-    """How often keys fall on each place of a table of 2^bits counters; all rows count."""
-
-    def run(parts):
-        total = np.zeros(1 << bits, np.int64)
-        for part in parts:
-            if part.num_rows:
-                total += np.bincount(_keys(part, column)[0] >> np.uint64(64 - bits), minlength=1 << bits)
-        place = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(total[place])], names=["place", "n"])
-
-    out = np.zeros(1 << bits, np.int64)
-    rows = bounded(table).select(column).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    out[rows["place"].to_numpy()] = rows["n"].to_numpy()
-    return out
-
-
-def rare(table: DataFrame, column: str, counts, bits: int = SKETCH, percent: int = PERCENT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Postings ``key, nid, pos, size``: the keys of each node's prefix, rarest first. Columns of ``keep`` go with them."""
-    least = least_agreeing(percent)
-    kinds = dict(table.dtypes)
-
-    def run(parts):
-        table = counts.value
-        for part in parts:
-            keys, edge = _keys(part, column)
-            often = table[keys >> np.uint64(64 - bits)]
-            out, size = [], np.diff(edge)
-            need = np.full(len(size), least) if column == "sig" else -(-percent * size // 100)
-            for a, b, n in zip(edge.tolist(), edge[1:].tolist(), (size - need + 1).tolist()):
-                out.append(np.lexsort((keys[a:b], often[a:b]))[:n])
-            if out:
-                taken = np.array([len(x) for x in out])
-                row = np.repeat(np.arange(len(out)), taken)
-                at = np.concatenate(out) + edge[row]
-                pos = np.arange(len(row)) - np.repeat(np.cumsum(taken) - taken, taken)
-                made = [keys[at].view(np.int64), part.column("nid").to_numpy()[row], pos, size[row].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, made), *(part.column(c).take(pa.array(row)) for c in keep)], names=["key", "nid", "pos", "size", *keep])
-
-    schema = ", ".join(["key long, nid long, pos long, size long", *(f"{c} {kinds[c]}" for c in keep)])
-    return bounded(table).select("nid", column, *keep).mapInArrow(run, schema)
+def rarest(each: DataFrame, need) -> DataFrame:
+    """Of rows ``nid, size, key`` those of each node's prefix with ``pos``, their place in the order of rarity: nodes
+    that share ``need`` of their ``size`` keys share one of these. Keys of one node alone are left out. Further columns stay."""
+    held = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = cut(each.join(held, "key"))
+    node = Window.partitionBy("nid")
+    pos = F.col("size") - F.count(F.lit(1)).over(node) + F.row_number().over(node.orderBy("n", "key")) - 1
+    return cut(shared.withColumn("pos", pos).filter(F.col("pos") <= F.col("size") - need).drop("n"))
 
 
 def _long_enough(a: str, b: str, percent: int):
@@ -237,8 +188,8 @@ def _apart(posts: DataFrame, percent: int) -> DataFrame:
 
 def joined(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``node, component`` of all nodes that are linked with another: the least node of each component."""
-    sc = docs.sparkSession.sparkContext
-    posted = rare(nodes, "sig", sc.broadcast(sketch(nodes, "sig")), percent=percent)
+    each = nodes.select("nid", F.posexplode("sig").alias("place", "value")).select("nid", F.lit(K).alias("size"), F.xxhash64("place", "value").alias("key"))
+    posted = rarest(each, F.lit(least_agreeing(percent)))
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "nid"))["nid"].alias("hub")).filter("n > 1")
     shared = cut(posted.select("key", "nid").join(lists, "key").filter("nid <> hub"))
     met = cut(shared.select(F.least("nid", "hub").alias("nid_a"), F.greatest("nid", "hub").alias("nid_b")).distinct())
@@ -257,7 +208,8 @@ def joined(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFra
     if open_.isEmpty():
         return first
     whole = cut(sets.select("nid", "shingles").join(open_, "nid"))
-    posts = cut(rare(whole, "shingles", sc.broadcast(sketch(whole, "shingles")), percent=percent, keep=("part",)))
+    each = whole.select("nid", "part", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
+    posts = rarest(each, F.ceil(F.col("size") * percent / 100))
     more = cut(_confirmed(_apart(posts, percent), sets, percent))
     if more.isEmpty():
         return first
