@@ -114,12 +114,12 @@ def site_posteriors(judged: DataFrame, prior: float) -> DataFrame:
 
 def judge(docs: DataFrame, model: Model, host: Column, path: Column, prior: float = 0.8, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``host, path, evidence, host_posterior, path_posterior, posterior, kept``. The
-    texts are read twice rather than shuffled: once for the sums, once for the verdicts."""
+    texts are read once: evidence is written with the columns of ``keep`` (name only those you need), and both the sums
+    and the verdicts come from there. ``prior`` is the share of good documents expected before any is seen."""
     named = docs.drop("host", "path").withColumns({"host": host.cast("string"), "path": path.cast("string")})
-    first = evidence(named.select("host", "path", text), model, text, ["host", "path"])
-    sites = cut(site_posteriors(first, prior))
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("host", "path")]
-    again = evidence(named, model, text, [*kept, "host", "path"])
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("host", "path", "evidence")]
+    again = cut(evidence(named, model, text, [*kept, "host", "path"]))
+    sites = cut(site_posteriors(again.select("host", "path", "evidence"), prior))
     small = sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_posterior", "path_posterior")
     if sites.count() <= BROADCAST_SITES:
         joined = again.join(F.broadcast(small), F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ._arrow import add
-from ._words import LINE, SPACED, Texts
+from ._words import LINE, LOWER, SPACED, Texts
 
 LEAST_WORDS, WINDOW, MOST_REPEATED, MOST_LOST = 20, 8, 30, 0.5
 #: Symbols that count, closing marks, and openings of boilerplate lines.
@@ -72,16 +72,20 @@ class Judged:
         same = np.zeros(len(words.code), bool)
         same[1:] = (words.code[1:] == words.code[:-1]) & (self.line_of[1:] == self.line_of[:-1])
         droning = (n >= 4) & (2 * np.bincount(self.line_of, same, len(n)) > n)
-        fails = unfinished | navigation | decorated | shouting | droning
-        size = self.high - self.low
-        for k in np.flatnonzero(~fails & (size <= 200)).tolist():
-            head = data[self.low[k] : self.high[k]].tobytes().lstrip().lower()
-            fails[k] = head.startswith(_NOTICES)
-        return fails
+        first = words.low[np.concatenate([[0], end[:-1] + 1])]
+        return unfinished | navigation | decorated | shouting | droning | self.begins(first, BOILERPLATE)
+
+    def begins(self, first: np.ndarray, phrases: tuple[str, ...]) -> np.ndarray:
+        """Which lines begin with one of the phrases at byte ``first``, in either case."""
+        out = np.zeros(len(first), bool)
+        for phrase in phrases:
+            on = np.flatnonzero(first + len(phrase) <= self.high)
+            for k, byte in enumerate(phrase.encode()):
+                on = on[LOWER[self.texts.bytes[first[on] + k]] == byte]
+            out[on] = True
+        return out
 
 
-_NOTICES = tuple(x.encode() for x in BOILERPLATE)
-
 
 def measure(judged: Judged) -> list:
     """The columns of ``MEASURES``."""

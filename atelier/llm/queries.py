@@ -17,10 +17,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
     """Documents are sites' pages here: their source is the host, source and language the path."""
-    sample, _ = toxicity.labelled(docs, read(spark, sf_dir, "labels"), most_each=1500, label="quality")
+    sample, good = toxicity.labelled(docs, read(spark, sf_dir, "labels"), most_each=1500, label="quality")
     model = quality_model.train(sample)
     host = F.col("source")
-    return quality_model.judge(docs, model, host, F.concat_ws("/", host, F.col("lang")), keep=keep)
+    return quality_model.judge(docs, model, host, F.concat_ws("/", host, F.col("lang")), min(max(0.5 if good is None else good, 0.01), 0.99), keep=keep)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))  # a null id is in no fold
     model = toxicity.train(*toxicity.labelled(docs, labels.filter(~held_out), most_each=1500))
     scored = toxicity.score(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

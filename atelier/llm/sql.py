@@ -24,7 +24,7 @@ judged AS (SELECT doc_id, k, len(w) AS n,
     OR (2 * length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > len(w) AND length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) >= 3)
     OR (len(w) >= 3 AND length(regexp_replace(line, '[^A-Z]', '', 'g')) > length(regexp_replace(line, '[^a-z]', '', 'g')))
     OR (len(w) >= 4 AND 2 * len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) > len(w))
-    OR (strlen(line) <= 200 AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    OR (regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '^[\x09-\x0D\x20]*(all rights reserved|licensed under|released under|this work is licensed|copyright|terms of service|privacy policy|cookie policy|sign up for|subscribe to our newsletter)')) AS fails
   FROM worded),
 lost AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE fails) AS n_lines_removed, coalesce(sum(n) FILTER (WHERE fails), 0) AS n_words_removed FROM judged GROUP BY doc_id),

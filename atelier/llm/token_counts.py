@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.scratch import cut
 from ._arrow import add
 
 #: Lengths of a block of the two-level sums.
-BLOCK = 1024
+BLOCK = 256
 
 
 @lru_cache(maxsize=2)
@@ -55,8 +56,9 @@ def histogram(counted: DataFrame, length: str = "n_tokens") -> DataFrame:
 
 def suffix_sums(counts: DataFrame) -> DataFrame:
     """For each length L that occurs, as a context limit: documents and tokens up to L and beyond
-    it, tokens left after cutting at L, and the share of documents no longer than L."""
-    rows = counts.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("mass", F.col("n_tokens") * F.col("n_docs"))
+    it, tokens left after cutting at L, and the share of documents no longer than L. ``counts`` is
+    written once, as both levels read it."""
+    rows = cut(counts).withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("mass", F.col("n_tokens") * F.col("n_docs"))
     totals = rows.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum("mass").alias("mass"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     # a row for each block of lengths: bounded by the longest document, not by the corpus

@@ -123,16 +123,17 @@ def _folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(sample: list[tuple[str | None, int]], share: float | None = None) -> Model:
+def train(sample: list[tuple[str | None, int]], share: float | None = None, ordinary_texts: int = 200, ordinary_bytes: int = ORDINARY) -> Model:
     """Dictionaries and calibration from (text, label) rows, whose order does not matter. ``share`` is that of
-    label 1 among all rows that the sample stands for, by which scores are set right."""
+    label 1 among all rows that the sample stands for, by which scores are set right. The ordinary dictionary holds
+    the words of ``ordinary_texts`` of the sample's ordinary texts, at most ``ordinary_bytes`` of them."""
     toxic = sorted(t.lower() for t, y in sample if y and t)
     ordinary = sorted(t.lower() for t, y in sample if not y and t)
     own = sum(bool(y) for _, y in sample) / max(1, len(sample))
     odds = _odds(own if share is None else share)
     if not toxic or not ordinary:
         return Model(b" " * 64, b" " * 64, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), odds)
-    base = " ".join(w for t in sorted(ordinary, key=hash_of)[:200] for w in WORD.findall(t)).encode()[:ORDINARY]
+    base = " ".join(w for t in sorted(ordinary, key=hash_of)[:ordinary_texts] for w in WORD.findall(t)).encode()[:ordinary_bytes]
     stands_out = "\n".join(_contrast(toxic, ordinary)).encode()
     model = Model(base, base + b"\n" + stands_out + b"\n", np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), odds)
     rows = sorted((t or "", int(bool(y))) for t, y in sample)
@@ -165,15 +166,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25
     return w[:-1], float(w[-1])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most_each: int, label: str = "toxic", key: str = "doc_id", text: str = "text", longest: int = 100_000) -> tuple[list[tuple[str | None, int]], float | None]:
+def labelled(docs: DataFrame, labels: DataFrame, most_each: int, label: str = "toxic", key: str = "doc_id", text: str = "text", longest: int = 20_000) -> tuple[list[tuple[str | None, int]], float | None]:
     """At most ``most_each`` labelled texts of each label, by the lowest hash of their ids, and the share of label 1
-    among all labels (None without labels). Texts of more than ``longest`` characters are no part of the sample,
-    so that its size is bounded."""
-    marks = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).filter("_label is not null and _key is not null").dropDuplicates(["_key"])
+    among all labels (None without labels). Texts of more than ``longest`` characters are no part of the sample, and of
+    repeated rows of an id the least text is, so that the sample's size is bounded. Ids with both labels are left out."""
+    marks = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).filter("_label is not null and _key is not null")
+    marks = marks.groupBy("_key").agg(F.min("_label").alias("_label"), F.max("_label").alias("_other")).filter("_label = _other").drop("_other")
     found = []
     for value in (0, 1):
         some = marks.filter(F.col("_label") == value).orderBy(F.xxhash64("_key"), "_key").limit(most_each)
-        found += docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.coalesce(F.length("_text"), F.lit(0)) <= longest).join(F.broadcast(some), "_key").select("_text", "_label").collect()
+        texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.coalesce(F.length("_text"), F.lit(0)) <= longest)
+        found += texts.join(F.broadcast(some), "_key").groupBy("_key", "_label").agg(F.min("_text").alias("_text")).select("_text", "_label").collect()
     return [(r["_text"], r["_label"]) for r in found], marks.agg(F.avg("_label")).first()[0]
 
 

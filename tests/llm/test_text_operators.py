@@ -120,6 +120,15 @@ def test_quality_rules(spark):
     assert quality_rules.judge(docs(spark, [])).count() == 0
 
 
+def test_boilerplate_lines_of_any_length(spark):
+    prose = "This is a plain sentence of some length here, and another follows it with further words in it, so that it stays."
+    for n in (100, 199, 201, 5000):
+        notice = "  All Rights RESERVED " + "by someone, " * (n // 12) + "end."
+        r = quality_rules.judge(docs(spark, [prose + "\n" + notice])).first()
+        assert (r["n_lines"], r["n_lines_removed"]) == (2, 1), n
+    assert quality_rules.judge(docs(spark, [prose + "\nAll rights"])).first()["n_lines_removed"] == 0
+
+
 def windows_by_hand(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     doc, hit, found = words(text), set(), set()
@@ -231,6 +240,31 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.train([]).bias < 0 and not toxicity.train([("x", 1)]).weights.any()
 
 
+def test_toxicity_by_hand():
+    """Every window compressed by itself, and the logistic formula written out."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(["ta", "re", "mi", "on", "el"]) for _ in range(rng.randint(1, 4)))
+    rows = [(" ".join("vexbrute" if i % 3 == 0 and rng.random() < 0.1 else word() for _ in range(40)), int(i % 3 == 0)) for i in range(120)]
+    model = toxicity.train(rows)
+    texts = [t for t, _ in rows[:20]] + ["", "É vexbrute!", "x" * 15, "y" * 32, "z" * 33, "vexbrute " * 400]
+    ordinary, toxic = toxicity._compressor(model.ordinary), toxicity._compressor(model.toxic)
+    got = toxicity.evidence(Texts.of(pa.array(texts)), ordinary, toxic)
+    for text, row in zip(texts, got):
+        data = toxicity._folded(np.frombuffer(text.encode() + b"\n", np.uint8))[:-1].tobytes()
+        starts = [0] if 0 < len(data) <= 32 else list(range(0, len(data) - 16, 16)) if data else []
+        saved = [len(ordinary.compress(data[a : a + 32])) - len(toxic.compress(data[a : a + 32])) for a in starts]
+        gain = sum(max(s - 1, 0) for s in saved)
+        want = [math.log1p(gain), math.sqrt(gain / max(1, len(saved))), max([0, *saved]), math.log1p(len(saved)), *(math.log1p(sum(s >= k for s in saved)) for k in toxicity.MUCH)]
+        assert row.tolist() == pytest.approx(want)
+
+
+def test_labelled_sample(spark):
+    table = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, "x" * 50), (4, "d"), (None, "e")], SCHEMA)
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 1), (2, 0), (3, 1), (4, 1), (5, None), (None, 1)], "doc_id bigint, toxic int")
+    sample, share = toxicity.labelled(table, labels, most_each=10, longest=40)
+    assert sorted(sample) == [("a", 0), ("d", 1)] and share == pytest.approx(2 / 3)
+
+
 def test_held_out_toxicity_of_the_query(spark, folder):
     from atelier.llm.queries import QUERIES
 
@@ -260,6 +294,27 @@ def test_quality_model(spark):
     assert quality_model.train([]).weights.tolist() == [0.0] * 8
 
 
+def test_posteriors_by_hand(spark):
+    rng = random.Random(3)
+    rows = [(h, f"{h}/{p}", rng.gauss(m, 2)) for h, m, n in (("a", -3, 40), ("b", 2, 90), ("c", 1, 3), (None, 4, 8)) for p in "xy" for _ in range(n if p == "x" else 2)]
+    got = {(r["host"], r["path"]): r for r in quality_model.site_posteriors(spark.createDataFrame(rows, "host string, path string, evidence double"), 0.6).collect()}
+    good = {}
+    for h, p, e in rows:
+        good.setdefault(h, {}).setdefault(p, []).append(1 / (1 + math.exp(-(e + math.log(0.6 / 0.4)))))
+    of = {h: [s for v in ps.values() for s in v] for h, ps in good.items()}
+    total = sum(map(len, of.values()))
+    mean = sum(map(sum, of.values())) / total
+    strength = lambda between: min(max(mean * (1 - mean) / between - 1, 2), 1000)
+    k = strength(sum(len(v) * (sum(v) / len(v) - mean) ** 2 for v in of.values()) / total)
+    host = {h: (k * mean + sum(v)) / (k + len(v)) for h, v in of.items()}
+    k = strength(sum(len(v) * (sum(v) / len(v) - host[h]) ** 2 for h, ps in good.items() for v in ps.values()) / total)
+    assert len(got) == 8
+    for h, ps in good.items():
+        for p, v in ps.items():
+            assert got[h, p]["host_posterior"] == pytest.approx(host[h], abs=1e-5)
+            assert got[h, p]["path_posterior"] == pytest.approx((k * host[h] + sum(v)) / (k + len(v)), abs=1e-5)
+
+
 def test_sparse_sites_shrink_more(spark):
     rows = [("big", "big/a", -5.0)] * 200 + [("small", "small/a", -5.0)] * 2 + [("good", "good/a", 5.0)] * 300
     table = spark.createDataFrame(rows, "host string, path string, evidence double")
