@@ -20,7 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    return queries.quality(spark, docs, sf_dir).filter("kept").select(*COLUMNS)
+    return queries.quality(spark, docs, sf_dir, keep=COLUMNS).filter("kept").select(*COLUMNS)
 
 
 #: Ids up to which the removed documents are broadcast (16 MB); beyond, texts are joined by a shuffle.
