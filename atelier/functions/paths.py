@@ -134,10 +134,11 @@ def slug(name: Column) -> Column:
     return F.when(made == "", "pack").otherwise(made)
 
 
-def ancestors(path: Column, most: int) -> Column:
-    """The folders above a file from the root ('') down, ``most`` levels below the root at most."""
+def ancestors(path: Column, most: int | None = None) -> Column:
+    """The folders above a file from the root ('') down: all, or ``most`` levels below the root."""
     parts = F.split(path, "/")
-    levels = F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(most)))
+    deepest = F.size(parts) - 1
+    levels = F.sequence(F.lit(0), deepest if most is None else F.least(deepest, F.lit(most)))
     return F.transform(levels, lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 

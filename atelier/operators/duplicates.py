@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, values
 from .components import components
+from .scratch import cut
 
 NEAR_DISTANCE, PACK_JACCARD, LISTED = 5, 0.5, 500
 
@@ -51,6 +52,43 @@ def near_pairs(hashed: DataFrame, distance: int = NEAR_DISTANCE, key: str = "id"
     return met.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), dist.alias("dist")).distinct().unionByName(same)
 
 
+def near_links(images: DataFrame, distance: int = NEAR_DISTANCE) -> DataFrame:
+    """``a, b, dist`` of images (id, phash, sha256, group_id) that are near but no copies: of different content, not in
+    one group (group 0 or null is none), within the distance. Images of equal hash, content and group are
+    linked alike, and the least id stands for them. Those of equal hash are linked with the least of them, or,
+    where that is their copy or variant, with the others, so that a hash that very many images share costs no pair of each two."""
+    rows = images.filter("phash is not null").select(F.col("id").alias("k"), F.col("phash").alias("h"), F.col("sha256").alias("s"), F.coalesce("group_id", F.lit(0)).alias("g"))
+    nodes = rows.groupBy("h", "s", "g").agg(F.min("k").alias("k"))
+    apart = lambda x, y: (F.col(f"{x}.s") != F.col(f"{y}.s")) & ((F.col(f"{x}.g") == 0) | (F.col(f"{x}.g") != F.col(f"{y}.g")))
+    split = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("h", low).bitwiseAND((1 << width) - 1).alias("v")) for i, (low, width) in enumerate(bands(64, distance))))
+    posted = nodes.select("*", F.inline(split))
+    x, y = posted.alias("x"), posted.alias("y")
+    dist = values.hamming(F.col("x.h"), F.col("y.h"))
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.h") < F.col("y.h")) & apart("x", "y") & (dist <= distance))
+    near = met.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), dist.alias("dist")).distinct()
+    hubs = nodes.groupBy("h").agg(F.min_by(F.struct("k", "s", "g"), "k").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    others = nodes.join(hubs, "h").filter("k <> hub.k")
+    lone = F.col("s") == F.col("hub.s")
+    lone = lone | ((F.col("g") != 0) & (F.col("g") == F.col("hub.g")))
+    equal = others.filter(~lone).select(F.col("hub.k").alias("a"), F.col("k").alias("b"), F.lit(0).alias("dist"))
+    x, y = others.filter(lone).select("h", "k", "s", "g").alias("x"), others.select("h", "k", "s", "g").alias("y")
+    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & apart("x", "y")).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.lit(0).alias("dist"))
+    return near.unionByName(equal).unionByName(rest)
+
+
+def near_findings(images: DataFrame, distance: int = NEAR_DISTANCE) -> DataFrame:
+    """``cluster_id, members, bytes, max_distance`` of images that near links connect, named by the least id;
+    ``bytes`` are those of all but the largest. ``images`` has id, phash, sha256, group_id and size."""
+    links = cut(near_links(images, distance))
+    part = components(links, "a", "b", "k", "cluster_id")
+    same = ["phash", "sha256", "g"]
+    rows = images.withColumn("g", F.coalesce("group_id", F.lit(0)))
+    named = rows.groupBy(*same).agg(F.min("id").alias("k")).join(part, "k").select(*same, "cluster_id")
+    size = rows.join(named, same).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("members"), (F.sum("size") - F.max("size")).alias("bytes"))
+    far = links.join(part, links["a"] == part["k"]).groupBy("cluster_id").agg(F.max("dist").alias("max_distance"))
+    return size.join(far, "cluster_id")
+
+
 def near_clusters(pairs: DataFrame) -> DataFrame:
     """``cluster_id, members, max_distance``: connected pairs, named by the least id; the distance is the
     longest link's."""

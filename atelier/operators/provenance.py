@@ -32,7 +32,7 @@ def in_order(table: DataFrame) -> DataFrame:
 
 def risks(packs: DataFrame, table: DataFrame) -> DataFrame:
     """Packs with the reason they need attention, '' where none does."""
-    both = packs.join(F.broadcast(table.select(F.col("id").alias("license_id"), "spdx", "commercial", "attribution")), "license_id", "left")
+    both = packs.join(table.select(F.col("id").alias("license_id"), "spdx", "commercial", "attribution"), "license_id", "left")
     reason = (
         F.when(F.coalesce("spdx", F.lit("")) == "", "no licence").when(~F.col("commercial"), "not cleared for commercial use")
         .when(F.col("attribution") & (F.trim(F.coalesce("attribution_text", F.lit(""))) == ""), "attribution required, none written").otherwise("")
@@ -50,7 +50,7 @@ def summaries(packs: DataFrame, table: DataFrame, which: str = "all") -> DataFra
 def credits(uses: DataFrame, packs: DataFrame, table: DataFrame) -> DataFrame:
     """Distinct lines of a project's active uses: licence (unknown last), author, pack."""
     lines = uses.filter("removed_at is null").join(packs.select(F.col("id").alias("pack_id"), F.col("name").alias("pack"), "author", "license_id"), "pack_id")
-    named = lines.join(F.broadcast(table.select(F.col("id").alias("license_id"), F.col("spdx").alias("licence"))), "license_id", "left")
+    named = lines.join(table.select(F.col("id").alias("license_id"), F.col("spdx").alias("licence")), "license_id", "left")
     return named.select("project_id", "licence", "author", "pack").distinct()
 
 

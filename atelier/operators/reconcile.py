@@ -17,8 +17,10 @@ class EmptyListing(ValueError):
 
 def compared(index: DataFrame, listing: DataFrame) -> DataFrame:
     """A full outer join by path with a ``status`` for each: unchanged, reappeared, metadata_only,
-    content_changed, fresh or absent. Both have path, size, mtime, sha256; the index has id and missing_since."""
-    old = index.select("path", "id", "missing_since", *(F.col(c).alias(f"old_{c}") for c in ("size", "mtime", "sha256")))
+    content_changed, fresh or absent. Both have path, size, mtime, sha256; the index has id, missing_since and, if it
+    was written by ``snapshot``, content_changed_at."""
+    at = F.col("content_changed_at") if "content_changed_at" in index.columns else F.lit(None)
+    old = index.select("path", "id", "missing_since", at.cast("long").alias("content_changed_at"), *(F.col(c).alias(f"old_{c}") for c in ("size", "mtime", "sha256")))
     both = old.join(listing.select("path", "size", "mtime", "sha256").withColumn("_listed", F.lit(True)), "path", "full")
     same = (F.col("size") == F.col("old_size")) & (F.col("mtime") == F.col("old_mtime"))
     status = (
@@ -30,15 +32,15 @@ def compared(index: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def moves(status: DataFrame) -> DataFrame:
-    """``id, old_path, path``: absent files paired one to one with fresh files of the same content, each
+    """``id, old_path, path, content_changed_at``: absent files paired one to one with fresh files of the same content, each
     in order of path."""
     # contents that only left or only came are out before any ranking
-    gone = status.filter("status = 'absent' and missing_since is null").select("id", F.col("path").alias("old_path"), F.col("old_sha256").alias("sha"))
+    gone = status.filter("status = 'absent' and missing_since is null").select("id", "content_changed_at", F.col("path").alias("old_path"), F.col("old_sha256").alias("sha"))
     come = status.filter("status = 'fresh'").select("path", F.col("sha256").alias("sha"))
     rank = lambda path: F.row_number().over(Window.partitionBy("sha").orderBy(path))
     left = gone.join(come.select("sha"), "sha", "left_semi").withColumn("k", rank("old_path"))
     right = come.join(gone.select("sha"), "sha", "left_semi").withColumn("k", rank("path"))
-    return left.join(right, ["sha", "k"]).select("id", "old_path", "path")
+    return left.join(right, ["sha", "k"]).select("id", "old_path", "path", "content_changed_at")
 
 
 def resolved(index: DataFrame, listing: DataFrame, ignored: list[str] = paths.IGNORED) -> DataFrame:
@@ -49,7 +51,7 @@ def resolved(index: DataFrame, listing: DataFrame, ignored: list[str] = paths.IG
         raise EmptyListing("no files are listed, but the index has some")
     status = compared(index, listing)
     pairs = moves(status)
-    came = pairs.select("path", F.col("id").alias("moved_id"))
+    came = pairs.select("path", F.col("id").alias("moved_id"), F.col("content_changed_at").alias("moved_changed_at"))
     left = pairs.select(F.col("old_path").alias("path")).withColumn("_left", F.lit(True))
     both = status.join(came, "path", "left").join(left, "path", "left")
     absent = (
@@ -57,7 +59,7 @@ def resolved(index: DataFrame, listing: DataFrame, ignored: list[str] = paths.IG
         .when(paths.is_ignored(F.col("path"), ignored), "purged").otherwise("missing")
     )
     final = F.when(F.col("status") == "fresh", F.when(F.col("moved_id").isNotNull(), "moved").otherwise("added")).when(F.col("status") == "absent", absent).otherwise(F.col("status"))
-    return both.withColumn("status", final).withColumn("id", F.coalesce("id", "moved_id")).drop("moved_id", "_left")
+    return both.withColumn("status", final).withColumns({"id": F.coalesce("id", "moved_id"), "content_changed_at": F.coalesce("content_changed_at", "moved_changed_at")}).drop("moved_id", "moved_changed_at", "_left")
 
 
 def counts(found: DataFrame) -> DataFrame:
@@ -66,14 +68,14 @@ def counts(found: DataFrame) -> DataFrame:
 
 def snapshot(found: DataFrame, now: int) -> DataFrame:
     """The next index. Missing rows stay with the time they went missing; purged rows and the old places
-    of moved ones go; ``content_changed_at`` holds only if the content changed now. Added rows have no id yet."""
+    of moved ones go; ``content_changed_at`` is now if the content changed, else what it was. Added rows have no id yet."""
     kept = found.filter("status not in ('gone', 'purged')")
     lost = F.col("status").isin("missing", "still_missing")
     pick = lambda c: F.when(lost, F.col(f"old_{c}")).otherwise(F.col(c)).alias(c)
     return kept.select(
         "id", "path", pick("size"), pick("mtime"), pick("sha256"),
         F.when(F.col("status") == "missing", F.lit(now)).when(F.col("status") == "still_missing", F.col("missing_since")).alias("missing_since"),
-        F.when(F.col("status") == "content_changed", F.lit(now)).alias("content_changed_at"),
+        F.when(F.col("status") == "content_changed", F.lit(now)).otherwise(F.col("content_changed_at")).cast("long").alias("content_changed_at"),
     )
 
 
@@ -93,7 +95,7 @@ def rebuilt(listing: DataFrame, packs: DataFrame) -> DataFrame:
     each indexable file below a pack (``pack`` paths; the outermost that holds it)."""
     name = paths.base_name(F.col("path"))
     files = listing.filter(paths.is_asset(name) & ~paths.is_ignored(F.col("path")) & ~paths.is_reserved(F.col("path")))
-    above = files.select("path", F.explode(paths.ancestors(F.col("path"), 64)).alias("pack")).join(packs.select("pack").distinct(), "pack")
+    above = files.select("path", F.explode(paths.ancestors(F.col("path"))).alias("pack")).join(packs.select("pack").distinct(), "pack")
     owner = above.groupBy("path").agg(F.min_by("pack", F.length("pack")).alias("pack"))
     rows = files.join(owner, "path").withColumn("rel_path", F.expr("substr(path, length(pack) + 2)"))
     ext = paths.ext(F.col("path"))

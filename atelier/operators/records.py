@@ -41,9 +41,9 @@ def junk_totals(junk: DataFrame) -> DataFrame:
     return junk.groupBy("kind").agg(F.count(F.lit(1)).alias("items"), F.sum("size").alias("bytes")).orderBy(F.desc("bytes"), "kind")
 
 
-def below(files: DataFrame, targets: DataFrame, path: str = "path", most: int = 64) -> DataFrame:
+def below(files: DataFrame, targets: DataFrame, path: str = "path") -> DataFrame:
     """``target, path`` of the files at or below each target path: ancestors of files meet targets on equality."""
-    up = F.array_append(paths.ancestors(F.col(path), most), F.col(path))
+    up = F.array_append(paths.ancestors(F.col(path)), F.col(path))
     return files.select(F.col(path).alias("_path"), F.explode(F.array_distinct(up)).alias("target")).filter("target <> ''").join(targets.select("target").distinct(), "target").select("target", F.col("_path").alias("path"))
 
 

@@ -69,12 +69,12 @@ class Catalogue:
         return e.select(F.col("vec_id").alias("asset_id"), rows.alias("s")).select("asset_id", "s.*")
 
     def hashes(self) -> DataFrame:
-        """The signs of the 64 numbers as the bits of a hash, first lowest."""
+        """The signs of 24 numbers, spread over the bits of a hash; each vector is an image with a content, group and size."""
         bits = F.lit(0).cast("long")
-        for i in range(64):
-            one = -(1 << 63) if i == 63 else 1 << i
+        for i in range(24):
+            one = 1 << i * 8 // 3
             bits = bits.bitwiseOR(F.when(F.element_at("embedding", i + 1) > 0, F.lit(one).cast("long")).otherwise(F.lit(0).cast("long")))
-        return self.table("embeddings").select(F.col("vec_id").alias("id"), bits.alias("phash"))
+        return self.table("embeddings").select(F.col("vec_id").alias("id"), bits.alias("phash"), (F.col("vec_id") % 40).alias("sha256"), F.col("label").alias("group_id"), (F.col("vec_id") % 97 + 1).alias("size"))
 
     def files(self) -> DataFrame:
         """Host and path of each page as a path below folders."""
@@ -87,7 +87,7 @@ class Catalogue:
         folder = F.concat(F.lit("c"), F.col("o_custkey") % 20)
         old = o.filter(key % 10 != 0).select(
             key.alias("id"), F.concat_ws("/", folder, F.when(key % 23 == 0, F.lit(".Trash")), key.cast("string")).alias("path"), F.col("o_totalprice").cast("long").alias("size"), values.epoch("o_orderdate").alias("mtime"), sha.alias("sha256"),
-            F.when(key % 19 == 0, F.lit(T0)).alias("missing_since"),
+            F.when(key % 19 == 0, F.lit(T0)).alias("missing_since"), F.when(key % 3 == 0, F.lit(T0) + key).alias("content_changed_at"),
         )
         changed, touched = key % 11 == 0, key % 13 == 0
         new = o.filter((key % 10 != 1) & (key % 23 != 0)).select(
@@ -134,10 +134,10 @@ SQL = {
         UNION ALL SELECT p_partkey, 'object:' || split_part(p_name, ' ', 2) || ':' || lower(p_type), 'auto_type' FROM part UNION ALL SELECT p_partkey, 'disable:true', 'manual' FROM part WHERE p_partkey % 29 = 0""",
     "pack_tags": """SELECT s_suppkey AS pack_id, 'license:l' || (s_nationkey % 5) AS tag FROM supplier UNION ALL SELECT s_suppkey, 'theme:' || CASE WHEN s_suppkey % 2 = 0 THEN 'red' ELSE 'old' END FROM supplier""",
     "swatches": "SELECT vec_id AS asset_id, k AS rank, " + ", ".join(f"greatest(least(floor((embedding[3 * k + {i + 1}]::DOUBLE * 4 + 1) * 127.5), 255), 0)::INTEGER AS {c}" for i, c in enumerate("rgb")) + ", [0.5, 0.3, 0.197, 0.003][k + 1]::DOUBLE AS ratio FROM embeddings, range(4) AS t(k)",
-    "hashes": "SELECT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS signs FROM embeddings",
+    "hashes": "SELECT vec_id AS id, list_transform(embedding[1:24], lambda x: x > 0) AS signs, vec_id % 40 AS sha256, label AS group_id, vec_id % 97 + 1 AS size FROM embeddings",
     "files": r"SELECT page_id, url, regexp_replace(regexp_extract(url, '://([^?#]*)', 1), '/+$', '') AS path FROM pages",
     "old": f"""SELECT o_orderkey AS id, 'c' || (o_custkey % 20) || '/' || CASE WHEN o_orderkey % 23 = 0 THEN '.Trash/' ELSE '' END || o_orderkey AS path, CAST(trunc(o_totalprice) AS BIGINT) AS size, epoch(o_orderdate)::BIGINT AS mtime,
-        'h' || o_custkey || '-' || o_orderpriority AS sha256, CASE WHEN o_orderkey % 19 = 0 THEN {T0} END AS missing_since FROM orders WHERE o_orderkey % 10 <> 0""",
+        'h' || o_custkey || '-' || o_orderpriority AS sha256, CASE WHEN o_orderkey % 19 = 0 THEN {T0} END AS missing_since, CASE WHEN o_orderkey % 3 = 0 THEN {T0} + o_orderkey END AS content_changed_at FROM orders WHERE o_orderkey % 10 <> 0""",
     "new": """SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'moved' ELSE 'c' || (o_custkey % 20) END || '/' || o_orderkey AS path, CAST(trunc(o_totalprice) AS BIGINT) AS size,
         epoch(o_orderdate)::BIGINT + CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN 60 ELSE 0 END AS mtime, 'h' || o_custkey || '-' || o_orderpriority || CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE '' END AS sha256
         FROM orders WHERE o_orderkey % 10 <> 1 AND o_orderkey % 23 <> 0""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, values
 from ..operators import activity, duplicates, features, provenance, reconcile, records, search, tags
 from .catalogue import T0, Catalogue
-from .registry import _FEW_PACKS, _PIXELS, ORACLES, _all_held, _held, _pixels, query
+from .registry import _PIXELS, _held, _pixels, query
 
 NAMES = ["hero.png", "README.md", ".gitkeep", "a.ZIP", "noext", "Pack.tar.GZ", "x.glb", "y.mtl", "Thumbs.db", "z.import", "LICENSE", "q.wav"]
 FOLDS = ["PNG", "2 Objects", "fbx(unity)", "Objects", "__MACOSX", "01_intro", "2d", "raw", "PSD_parts", "@eaDir"]
@@ -149,9 +149,9 @@ def hash_distance(c: Catalogue) -> DataFrame:
     return c.assets().select("id", ((F.col("kind") == "image") & (F.coalesce("frame_count", F.lit(0)) > 1)).alias("sheet"), values.hamming(F.col("id"), F.col("id") * 3).alias("dist"))
 
 
-@query("SELECT pack_id, CASE WHEN count(DISTINCT split_part(rel_path, '/', 1)) = 1 THEN min(split_part(rel_path, '/', 1)) ELSE '' END AS prefix FROM assets WHERE starts_with(rel_path, 'small/') OR pack_id < 3 GROUP BY pack_id", "assets")
+@query("SELECT pack_id, CASE WHEN count(DISTINCT split_part(rel_path, '/', 1)) = 1 THEN min(split_part(rel_path, '/', 1)) ELSE '' END AS prefix FROM assets GROUP BY pack_id", "assets")
 def flatten_prefix(c: Catalogue) -> DataFrame:
-    return c.assets().filter("startswith(rel_path, 'small/') or pack_id < 3").groupBy("pack_id").agg(paths.flatten_prefix(F.col("rel_path")).alias("prefix"))
+    return c.assets().groupBy("pack_id").agg(paths.flatten_prefix(F.col("rel_path")).alias("prefix"))
 
 
 @query(f"SELECT count(*) FILTER (WHERE provenance_state <> 'complete') AS needed, max({T0} + id) AS last FROM packs", "packs")
@@ -162,7 +162,7 @@ def provenance_count(c: Catalogue) -> DataFrame:
 @query("SELECT id, filename, ext FROM assets WHERE sha256 IN (SELECT sha256 FROM assets WHERE id = 7)", "assets")
 def same_content(c: Catalogue) -> DataFrame:
     one = c.assets().filter("id = 7").select("sha256")
-    return c.assets().join(F.broadcast(one), "sha256", "left_semi").select("id", "filename", "ext")
+    return c.assets().join(one, "sha256", "left_semi").select("id", "filename", "ext")
 
 
 @query("SELECT a.id, f.n AS copies FROM assets a LEFT JOIN (SELECT sha256, count(*) AS n FROM assets WHERE missing_since IS NULL GROUP BY sha256) f USING (sha256)", "assets")
@@ -224,7 +224,7 @@ def asset_tag_transfer(c: Catalogue) -> DataFrame:
 
 
 @query(
-    """WITH base AS (SELECT DISTINCT l_suppkey AS p, l_partkey AS c FROM lineitem), held AS (SELECT * FROM (SELECT p, c FROM base UNION ALL SELECT p + 1000000, c FROM base WHERE c % 4 <> 0 UNION ALL SELECT p + 2000000, c FROM base WHERE p % 3 = 0) WHERE p % 1000000 < 40), sizes AS (SELECT p, count(*) AS n, sum(c % 100)::BIGINT AS bytes FROM held GROUP BY p),
+    """WITH base AS (SELECT DISTINCT l_suppkey AS p, l_partkey AS c FROM lineitem), held AS (SELECT * FROM (SELECT p, c FROM base UNION ALL SELECT p + 1000000, c FROM base WHERE c % 4 <> 0 UNION ALL SELECT p + 2000000, c FROM base WHERE p % 3 = 0)), sizes AS (SELECT p, count(*) AS n, sum(c % 100)::BIGINT AS bytes FROM held GROUP BY p),
     kept AS (SELECT p, CASE WHEN p % 5 = 0 THEN 1000 ELSE 0 END + CASE WHEN p % 2 = 0 THEN 100 ELSE 0 END + CASE WHEN p % 7 = 0 THEN 0 ELSE 50 END + p % 4 AS k FROM sizes),
     met AS (SELECT x.p AS a, y.p AS b, count(*) AS shared FROM held x JOIN held y ON x.c = y.c AND x.p < y.p GROUP BY ALL),
     judged AS (SELECT a, b, shared, m.n AS na, k.n AS nb, m.bytes AS ba, k.bytes AS bb, ka.k AS ka, kb.k AS kb FROM met JOIN sizes m ON m.p = a JOIN sizes k ON k.p = b JOIN kept ka ON ka.p = a JOIN kept kb ON kb.p = b WHERE shared = m.n OR shared = k.n OR shared / (m.n + k.n - shared)::DOUBLE >= 0.5),
@@ -236,11 +236,6 @@ def pack_findings(c: Catalogue) -> DataFrame:
     return _findings(_held(c))
 
 
-@query(ORACLES["pack_findings"].replace(_FEW_PACKS, ""))
-def pack_findings_all(c: Catalogue) -> DataFrame:
-    return _findings(_all_held(c))
-
-
 def _findings(held: DataFrame) -> DataFrame:
     p = F.col("pack_id")
     packs = held.select("pack_id").distinct().select("pack_id", (p % 5 == 0).alias("used"), (p % 2 == 0).alias("complete"), F.when(p % 7 == 0, "raw/x").otherwise("x").alias("path"), (p % 4).alias("tags"))

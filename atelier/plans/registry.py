@@ -395,10 +395,10 @@ def sniff_url(c: Catalogue) -> DataFrame:
 
 # ---- reconciliation -------------------------------------------------------------------------
 
-_STATUS = """joined AS (SELECT coalesce(o.path, n.path) AS path, o.id, o.missing_since, o.size AS osize, o.mtime AS omtime, o.sha256 AS osha, n.size AS nsize, n.mtime AS nmtime, n.sha256 AS nsha, o.path IS NULL AS fresh, n.path IS NULL AS absent FROM old o FULL JOIN new n ON o.path = n.path),
-    gone AS (SELECT id, path, osha AS sha, row_number() OVER (PARTITION BY osha ORDER BY path) AS k FROM joined WHERE absent AND missing_since IS NULL), come AS (SELECT path, nsha AS sha, row_number() OVER (PARTITION BY nsha ORDER BY path) AS k FROM joined WHERE fresh),
-    moves AS (SELECT gone.id, gone.path AS old_path, come.path FROM gone JOIN come USING (sha, k)),
-    found AS (SELECT j.path, coalesce(j.id, m.id) AS id, missing_since, osize, omtime, osha, nsize, nmtime, nsha, CASE WHEN fresh THEN CASE WHEN m.id IS NULL THEN 'added' ELSE 'moved' END
+_STATUS = """joined AS (SELECT coalesce(o.path, n.path) AS path, o.id, o.missing_since, o.size AS osize, o.mtime AS omtime, o.sha256 AS osha, n.size AS nsize, n.mtime AS nmtime, n.sha256 AS nsha, o.path IS NULL AS fresh, n.path IS NULL AS absent, o.content_changed_at AS changed_at FROM old o FULL JOIN new n ON o.path = n.path),
+    gone AS (SELECT id, changed_at, path, osha AS sha, row_number() OVER (PARTITION BY osha ORDER BY path) AS k FROM joined WHERE absent AND missing_since IS NULL), come AS (SELECT path, nsha AS sha, row_number() OVER (PARTITION BY nsha ORDER BY path) AS k FROM joined WHERE fresh),
+    moves AS (SELECT gone.id, gone.changed_at, gone.path AS old_path, come.path FROM gone JOIN come USING (sha, k)),
+    found AS (SELECT j.path, coalesce(j.id, m.id) AS id, coalesce(j.changed_at, m.changed_at) AS changed_at, missing_since, osize, omtime, osha, nsize, nmtime, nsha, CASE WHEN fresh THEN CASE WHEN m.id IS NULL THEN 'added' ELSE 'moved' END
         WHEN absent THEN CASE WHEN g.id IS NOT NULL THEN 'gone' WHEN missing_since IS NOT NULL THEN 'still_missing' WHEN contains(j.path, '.Trash') THEN 'purged' ELSE 'missing' END
         WHEN nsize = osize AND nmtime = omtime THEN CASE WHEN missing_since IS NULL THEN 'unchanged' ELSE 'reappeared' END WHEN nsha <> osha THEN 'content_changed' ELSE 'metadata_only' END AS status
         FROM joined j LEFT JOIN moves m ON j.path = m.path AND fresh LEFT JOIN moves g ON g.old_path = j.path AND absent)"""
@@ -411,12 +411,12 @@ def recon_status(c: Catalogue) -> DataFrame:
 
 @query(f"WITH {_STATUS} SELECT id, old_path, path FROM moves", "old", "new")
 def recon_moves(c: Catalogue) -> DataFrame:
-    return reconcile.moves(reconcile.compared(*c.index()))
+    return reconcile.moves(reconcile.compared(*c.index())).select("id", "old_path", "path")
 
 
 @query(
     f"""WITH {_STATUS} SELECT id, path, CASE WHEN status IN ('missing', 'still_missing') THEN osize ELSE nsize END AS size, CASE WHEN status IN ('missing', 'still_missing') THEN omtime ELSE nmtime END AS mtime, CASE WHEN status IN ('missing', 'still_missing') THEN osha ELSE nsha END AS sha256,
-    CASE WHEN status = 'missing' THEN 1700000000 WHEN status = 'still_missing' THEN missing_since END AS missing_since, CASE WHEN status = 'content_changed' THEN 1700000000 END AS content_changed_at FROM found WHERE status NOT IN ('gone', 'purged')""",
+    CASE WHEN status = 'missing' THEN 1700000000 WHEN status = 'still_missing' THEN missing_since END AS missing_since, CASE WHEN status = 'content_changed' THEN 1700000000 ELSE changed_at END AS content_changed_at FROM found WHERE status NOT IN ('gone', 'purged')""",
     "old", "new",
 )
 def recon_snapshot(c: Catalogue) -> DataFrame:
@@ -447,41 +447,37 @@ def dup_favoured(c: Catalogue) -> DataFrame:
     return duplicates.favoured(c.copies())
 
 
-_NEAR = "SELECT x.id AS a, y.id AS b, (SELECT count(*) FROM range(1, 65) AS t(i) WHERE x.signs[i] <> y.signs[i])::INTEGER AS dist FROM hashes x JOIN hashes y ON x.id < y.id"
+_DIST = "len(list_filter(list_zip(x.signs, y.signs), lambda p: p[1] <> p[2]))::INTEGER"
 
 
-@query("SELECT * FROM (SELECT x.id AS a, y.id AS b, len(list_filter(list_zip(x.signs, y.signs), lambda p: p[1] <> p[2]))::INTEGER AS dist FROM hashes x JOIN hashes y ON x.id < y.id) WHERE dist <= 20", "hashes")
+@query(
+    f"""WITH same AS (SELECT signs, min(id) AS r FROM hashes GROUP BY signs) SELECT x.r AS a, y.r AS b, {_DIST} AS dist FROM same x JOIN same y ON x.r < y.r WHERE {_DIST} <= 5
+    UNION ALL SELECT r, id, 0 FROM hashes JOIN same USING (signs) WHERE id <> r""",
+    "hashes",
+)
 def dup_near_pairs(c: Catalogue) -> DataFrame:
-    return duplicates.near_pairs(c.hashes(), 20)
+    return duplicates.near_pairs(c.hashes())
 
 
 @query(
-    """RECURSIVE WITH links AS (SELECT a, b, dist FROM (SELECT x.id AS a, y.id AS b, len(list_filter(list_zip(x.signs, y.signs), lambda p: p[1] <> p[2]))::INTEGER AS dist FROM hashes x JOIN hashes y ON x.id < y.id) WHERE dist <= 17),
-    both_ AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach(n, l) AS (SELECT a, a FROM both_ UNION SELECT b, l FROM reach JOIN both_ ON a = n), part AS (SELECT n, min(l) AS c FROM reach GROUP BY n)
-    SELECT c AS cluster_id, count(DISTINCT n) AS members, max(dist) AS max_distance FROM part LEFT JOIN links ON a = n GROUP BY c""",
+    f"""RECURSIVE WITH links AS (SELECT a, b, dist FROM (SELECT x.id AS a, y.id AS b, {_DIST} AS dist FROM hashes x JOIN hashes y ON x.id < y.id AND x.sha256 <> y.sha256 AND (x.group_id = 0 OR x.group_id <> y.group_id)) WHERE dist <= 5),
+    both_ AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach(n, l) AS (SELECT a, a FROM both_ UNION SELECT b, l FROM reach JOIN both_ ON a = n), part AS (SELECT n, min(l) AS c FROM reach GROUP BY n),
+    far AS (SELECT c, max(dist) AS max_distance FROM part JOIN links ON a = n GROUP BY c)
+    SELECT c AS cluster_id, count(*) AS members, (sum(size) - max(size))::BIGINT AS bytes, any_value(max_distance) AS max_distance FROM part JOIN hashes ON id = n JOIN far USING (c) GROUP BY c""",
     "hashes",
 )
 def dup_near_clusters(c: Catalogue) -> DataFrame:
-    return duplicates.near_clusters(duplicates.near_pairs(c.hashes(), 17))
+    return duplicates.near_findings(c.hashes())
 
 
-#: What the SQL of pack_containment and pack_findings leaves out of the packs.
-_FEW_PACKS = " WHERE p % 1000000 < 40"
-
-
-def _all_held(c: Catalogue) -> DataFrame:
+def _held(c: Catalogue) -> DataFrame:
     """What packs hold: suppliers' parts, and beside each pack those not divisible by four, and all again for every third."""
     held = c.table("lineitem").select(F.col("l_suppkey").alias("pack_id"), F.col("l_partkey").alias("sha256")).distinct()
     return held.unionByName(held.filter("sha256 % 4 <> 0").withColumn("pack_id", F.col("pack_id") + 1_000_000)).unionByName(held.filter("pack_id % 3 = 0").withColumn("pack_id", F.col("pack_id") + 2_000_000))
 
 
-def _held(c: Catalogue) -> DataFrame:
-    """The packs below 40 only, as the SQL of the two queries has it; ``pack_containment_all`` and ``pack_findings_all`` take all."""
-    return _all_held(c).filter("pack_id % 1000000 < 40")
-
-
 @query(
-    """WITH base AS (SELECT DISTINCT l_suppkey AS p, l_partkey AS c FROM lineitem), held AS (SELECT * FROM (SELECT p, c FROM base UNION ALL SELECT p + 1000000, c FROM base WHERE c % 4 <> 0 UNION ALL SELECT p + 2000000, c FROM base WHERE p % 3 = 0) WHERE p % 1000000 < 40), sizes AS (SELECT p, count(*) AS n FROM held GROUP BY p),
+    """WITH base AS (SELECT DISTINCT l_suppkey AS p, l_partkey AS c FROM lineitem), held AS (SELECT * FROM (SELECT p, c FROM base UNION ALL SELECT p + 1000000, c FROM base WHERE c % 4 <> 0 UNION ALL SELECT p + 2000000, c FROM base WHERE p % 3 = 0)), sizes AS (SELECT p, count(*) AS n FROM held GROUP BY p),
     met AS (SELECT x.p AS a, y.p AS b, count(*) AS shared FROM held x JOIN held y ON x.c = y.c AND x.p < y.p GROUP BY ALL), judged AS (SELECT a, b, shared, shared / (m.n + k.n - shared)::DOUBLE AS j, m.n AS na, k.n AS nb FROM met JOIN sizes m ON m.p = a JOIN sizes k ON k.p = b)
     SELECT a, b, CASE WHEN shared = na AND shared = nb THEN 'identical' WHEN shared = na THEN 'a_in_b' WHEN shared = nb THEN 'b_in_a' ELSE 'overlap' END AS kind, shared, round(j, 6) AS jaccard FROM judged WHERE shared = na OR shared = nb OR j >= 0.5"""
 )
@@ -489,11 +485,6 @@ def pack_containment(c: Catalogue) -> DataFrame:
     return duplicates.pack_overlaps(_held(c))
 
 
-@query(ORACLES["pack_containment"].replace(_FEW_PACKS, ""))
-def pack_containment_all(c: Catalogue) -> DataFrame:
-    return duplicates.pack_overlaps(_all_held(c))
-
-
 @query("SELECT DISTINCT s.id + 1 AS pack_id, t.tag FROM packs s JOIN pack_tags t ON t.pack_id = s.id WHERE s.id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM pack_tags x WHERE x.pack_id = s.id + 1 AND x.tag = t.tag)", "packs", "pack_tags")
 def pack_transfer(c: Catalogue) -> DataFrame:
     moves = c.packs().filter("id % 2 = 0").select(F.col("id").alias("from_pack"), (F.col("id") + 1).alias("to_pack"))

@@ -38,7 +38,7 @@ def packs(files: DataFrame, sidecar: str = "pack.asset.json") -> DataFrame:
     a pack within a pack belongs to the outer one."""
     name, folder = paths.base_name(F.col("path")), paths.parent_dir(F.col("path"))
     own = files.groupBy(folder.alias("dir")).agg(F.max(name == sidecar).alias("marked"), F.max(paths.is_asset(name)).alias("assets"))
-    dirs = files.select(F.explode(paths.ancestors(F.col("path"), 64)).alias("dir")).filter("dir <> ''").distinct()
+    dirs = files.select(F.explode(paths.ancestors(F.col("path"))).alias("dir")).filter("dir <> ''").distinct()
     sub = dirs.groupBy(paths.parent_dir(F.col("dir")).alias("dir")).agg((2 * F.count_if(paths.is_format_folder(paths.base_name(F.col("dir")))) > F.count(F.lit(1))).alias("formats"))
     all_ = dirs.join(own, "dir", "left").join(sub, "dir", "left").filter("coalesce(marked, false) or coalesce(assets, false) or coalesce(formats, false)").select("dir")
     above = all_.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("dir", "/"))), lambda n: F.array_join(F.slice(F.split("dir", "/"), 1, n), "/"))).alias("up"))
@@ -100,7 +100,7 @@ def junk(files: DataFrame, known_hashes: DataFrame, sidecar: str = "pack.asset.j
 
 def marked_folders(files: DataFrame, sidecar: str = "pack.asset.json") -> DataFrame:
     """``dir``: every folder above a sidecar file."""
-    return files.filter(paths.base_name(F.col("path")) == sidecar).select(F.explode(paths.ancestors(F.col("path"), 64)).alias("dir")).filter("dir <> ''").distinct()
+    return files.filter(paths.base_name(F.col("path")) == sidecar).select(F.explode(paths.ancestors(F.col("path"))).alias("dir")).filter("dir <> ''").distinct()
 
 
 def write_report(report: DataFrame, folder: str) -> None:
