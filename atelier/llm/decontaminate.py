@@ -3,214 +3,198 @@
 An item's windows are its runs of ``WINDOW`` words (an item of fewer words is one window). A
 window is a set of five-word shingles (shorter windows are one shingle), and it occurs in a
 document only where all of them do, so its prefix of necessary shingles is a single one: the
-rarest. Rarity is counted over all documents. Documents are joined on these prefix shingles
-alone; a candidate place must leave room for the whole window within the document (length and
-positional bounds), and the words there must equal the window's words, byte for byte.
-
-Items go through the join in blocks of at most ``BLOCK`` bytes of text, so what is broadcast
-does not grow with the benchmark; documents are never shuffled. A null text has no words; an
-item without an id marks words but can't be listed; repeated items count once; repeated
-documents give repeated rows. Empty tables on either side give no hits. Extra columns are kept
-unless an output column bears their name.
+rarest. Rarity is counted over all documents, in a table of fixed size. Documents and windows are
+joined on these prefix shingles alone; a candidate place must leave room for the whole window within the
+document (length and positional bounds), and the words there must equal the window's words, byte for byte.
+
+Documents are read twice whatever the benchmark's size: once to count shingles, once to look for places of prefix
+shingles, which a Bloom filter of fixed size lets through. Windows are tables that Spark joins; nothing of either side is
+gathered, but for what the findings of one text are. Places are told by the text they are in: equal texts have equal findings, and are joined back by two
+hashes of the text (128 bits). A shingle's rows are salted, so that a passage that very many documents hold is dealt to several tasks.
+
+A null text has no words; an item without an id marks words but can't be listed; repeated items count
+once; repeated documents give repeated rows. Empty tables on either side give no hits. Extra
+columns are kept unless an output column bears their name.
 """
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.scratch import cut
 from ._arrow import add, bounded
-from ._words import ALNUM, BASE, Runs, Texts, mixed
-
-WINDOW, SHINGLE, BLOCK = 10, 5, 2 << 20
-FOUND = T.StructType([
-    T.StructField("_spans", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.StringType())),
-    T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
+from ._words import ALNUM, Runs, Texts, batches
+
+WINDOW, SHINGLE = 10, 5
+#: Bits of the hash by which shingles are counted and let through: a table of 2^COUNTED counters, a Bloom filter of 2^PASSED bits.
+COUNTED, PASSED = 20, 27
+#: Rows of one shingle are dealt to so many tasks.
+SALTS = 16
+#: Texts with findings up to which they are broadcast (16 bytes each); beyond, texts are joined by a shuffle.
+BROADCAST_TEXTS = 500_000
+FINDINGS = ("n_words", "n_hit", "_items", "_spans")
+WINDOWS = T.StructType([T.StructField("window", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+PLACES = T.StructType([
+    T.StructField("n_words", T.LongType()),
+    T.StructField("places", T.ArrayType(T.StructType([T.StructField("shingle", T.LongType()), T.StructField("at", T.LongType()), T.StructField("left", T.ArrayType(T.BinaryType())), T.StructField("right", T.ArrayType(T.BinaryType()))]))),
 ])
 
 
-@dataclass
-class Block:
-    """The windows of some items. ``shingles[n]`` are the sorted hashes of those of n words."""
+def _edges(words: Runs, texts: int) -> np.ndarray:
+    """The first word of each text, and the end."""
+    return np.searchsorted(words.text, np.arange(texts + 1))
+
 
-    words: np.ndarray  # hashes of each window's words, WINDOW columns
-    size: np.ndarray  # words of each window
-    text: list[bytes]  # its words, joined by blanks
-    items: list[list[str]]  # ids of the items that hold it
-    shingles: dict[int, np.ndarray]
-    of: dict[int, np.ndarray]  # for each window and offset, the place of its shingle
+def windows_of(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """``window, size, shingles, item``: each item's distinct windows, their words joined by blanks, and the hashes
+    of a window's shingles in order (all of as many words as the window has, five at most)."""
 
-    def rarest(self, counts: dict[int, np.ndarray]) -> "Prefixes":
-        """The necessary prefix of each window, in the order of rarity (count, then place)."""
+    def step(part):
+        texts = Texts.of(part.column("text")).lowered()
+        words = texts.runs(ALNUM)
+        edge, out = _edges(words, len(texts)).tolist(), [[] for _ in range(part.num_rows)]
         by_size = {}
-        for n, table in self.of.items():
-            mine = np.flatnonzero(np.minimum(self.size, SHINGLE) == n)
-            if len(mine):
-                often = counts[n][table[mine]] * (len(self.shingles[n]) + 1.0) + table[mine]
-                offset = often.argmin(1)
-                key = table[mine, offset]
-                order = np.argsort(key, kind="stable")
-                by_size[n] = (mine[order], offset[order], np.searchsorted(key[order], np.arange(len(self.shingles[n]) + 1)))
-        return Prefixes(self, by_size)
-
-
-@dataclass
-class Prefixes:
-    block: Block
-    by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-
-    def places(self, texts: Texts, words: Runs) -> tuple[np.ndarray, np.ndarray]:
-        """First words of all occurrences of windows, and which windows they are."""
-        block, last = self.block, np.concatenate([np.cumsum(words.per_text()), [0]])
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for n, (window, offset, edge) in self.by_size.items():
+        for n in range(1, SHINGLE + 1):
             first, code = words.windows(n)
-            at, shingle = _lookup(code, block.shingles[n])
-            count = edge[shingle + 1] - edge[shingle]
-            at, shingle, count = at[count > 0], shingle[count > 0], count[count > 0]
-            pick = np.repeat(edge[shingle] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            begin, w = np.repeat(first[at], count) - offset[pick], window[pick]
-            text = np.repeat(words.text[first[at]], count)
-            start = last[text - 1]
-            fits = (begin >= start) & (begin + block.size[w] <= last[text])
-            begin, w = begin[fits], w[fits]
-            for k in range(WINDOW):
-                here = (k >= block.size[w]) | (words.code[np.minimum(begin + k, len(words.code) - 1)] == block.words[w, k])
-                begin, w = begin[here], w[here]
-            same = [b" ".join(texts.bytes[words.low[k] : words.high[k]].tobytes() for k in range(b, b + block.size[i])) == block.text[i] for b, i in zip(begin.tolist(), w.tolist())]
-            same = np.array(same, bool)
-            out.append((begin[same], w[same]))
-        return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def _lookup(code: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where values of a sorted table stand in ``code``, and their places in the table."""
-    coarse = np.zeros(1 << 20, bool)
-    coarse[table >> np.uint64(44)] = True
-    at = np.flatnonzero(coarse[code >> np.uint64(44)])
-    place = np.minimum(np.searchsorted(table, code[at]), len(table) - 1)
-    hit = table[place] == code[at] if len(table) else np.zeros(0, bool)
-    return at[hit], place[hit]
-
-
-def _windows(words: list[np.ndarray], n: int) -> np.ndarray:
-    code = np.zeros(len(words[0]), np.uint64)
-    for k in range(n):
-        code = code * BASE + words[k]
-    return mixed(code)
-
-
-def block_of(rows: list[tuple[str | None, str | None]]) -> Block:
-    """Windows of (item id, text) rows."""
-    texts = Texts.of(pa.array([t for _, t in rows], pa.large_string())).lowered()
-    words = texts.runs(ALNUM)
-    edge = np.searchsorted(words.text, np.arange(len(texts) + 1)).tolist()
-    found: dict[bytes, list] = {}
-    for (item, _), a, b in zip(rows, edge, edge[1:]):
-        for k in range(a, max(a + 1, b - WINDOW + 1)) if b > a else ():
-            end = min(b, k + WINDOW)
-            text = b" ".join(texts.bytes[words.low[i] : words.high[i]].tobytes() for i in range(k, end))
-            ids = found.setdefault(text, [words.code[k:end], set()])[1]
-            if item is not None:
-                ids.add(item)
-    order = sorted(found)
-    size = np.array([len(found[t][0]) for t in order], np.int64)
-    code = np.zeros((len(order), WINDOW), np.uint64)
-    for i, t in enumerate(order):
-        code[i, : size[i]] = found[t][0]
-    shingles, of = {}, {}
-    for n in sorted(set(np.minimum(size, SHINGLE).tolist())):
-        spots = WINDOW - SHINGLE + 1 if n == SHINGLE else 1
-        every = np.stack([_windows([code[:, o + k] for k in range(n)], n) for o in range(spots)], 1)
-        mine = np.minimum(size, SHINGLE) == n
-        real = mine[:, None] & (np.arange(spots)[None, :] + n <= size[:, None])
-        shingles[n] = np.unique(every[real])
-        place = np.searchsorted(shingles[n], every)
-        first = np.broadcast_to(np.searchsorted(shingles[n], every[:, :1]), place.shape)
-        of[n] = np.where(real, place, first)  # a window of six to nine words has fewer shingles
-        of[n] = np.minimum(of[n], max(0, len(shingles[n]) - 1))
-    return Block(code, size, order, [sorted(found[t][1]) for t in order], shingles, of)
-
-
-def counted(docs: DataFrame, block: Block, text: str = "text") -> dict[int, np.ndarray]:
-    """How often each shingle of the block occurs in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(block.shingles)
+            by_size[n] = dict(zip(first.tolist(), code.view(np.int64).tolist()))
+        for i, (a, b) in enumerate(zip(edge, edge[1:])):
+            n, seen = min(SHINGLE, b - a), set()
+            for k in range(a, max(a + 1, b - WINDOW + 1)) if b > a else ():
+                end = min(b, k + WINDOW)
+                window = b" ".join(texts.bytes[words.low[j] : words.high[j]].tobytes() for j in range(k, end))
+                if window not in seen:
+                    seen.add(window)
+                    out[i].append({"window": window, "size": end - k, "shingles": [by_size[n][j] for j in range(k, end - n + 1)]})
+        return [out]
+
+    rows = items.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).distinct()
+    made = add(rows, "text", T.StructType([T.StructField("w", T.ArrayType(WINDOWS))]), lambda: step, ["item"])
+    return made.select("item", F.inline("w"))
+
+
+def _bits(values: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of the values with two places each (high and low bits), aggregated as 64-bit words: of a size that
+    the number of values does not change."""
+    both = F.array(F.shiftrightunsigned("v", 64 - bits), F.col("v").bitwiseAND((1 << bits) - 1))
+    place = F.col("place")
+    words = values.select(F.explode(both).alias("place")).select(F.shiftrightunsigned(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("b"))
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy()
+    return out
 
-    def run(parts):
-        from ._words import batches
 
-        total = {n: np.zeros(len(t), np.int64) for n, t in shared.value.items()}
+def _passing(code: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets through."""
+    table, size = bitmap.view(np.uint64), len(bitmap) * 64
+    has = lambda place: (table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    some = np.flatnonzero(has(code >> np.uint64(65 - size.bit_length())))
+    return some[has(code[some] & np.uint64(size - 1))]
+
+
+def counted(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], text: str) -> DataFrame:
+    """``place, n``: how often shingles that the bitmap lets through occur in all documents, by the high bits of their hash."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(parts):
+        total = np.zeros(1 << COUNTED, np.int64)
         for part in parts:
             for piece in batches(part, text):
                 words = Texts.of(piece.column(text)).lowered().runs(ALNUM)
-                for n, table in shared.value.items():
-                    total[n] += np.bincount(_lookup(words.windows(n)[1], table)[1], minlength=len(table))
-        for n, t in total.items():
-            place = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), n)), pa.array(place), pa.array(t[place])], names=["size", "place", "n"])
-
-    rows = bounded(docs).select(text).mapInArrow(run, "size long, place long, n long").groupBy("size", "place").agg(F.sum("n").alias("n")).toArrow().to_pydict()
-    out = {n: np.zeros(len(t), np.int64) for n, t in block.shingles.items()}
-    for n, place, count in zip(rows["size"], rows["place"], rows["n"]):
-        out[n][place] = count
-    return out
+                for n in sizes:
+                    code = words.windows(n)[1]
+                    np.add.at(total, code[_passing(code, shared.value)] >> np.uint64(64 - COUNTED), 1)
+        place = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(total[place])], names=["place", "n"])
 
+    return bounded(docs).select(text).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
 
-def _blocks(items: DataFrame, item: str, text: str):
-    """Blocks of bounded size: items dealt by a hash."""
-    size = items.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
-    n = 1 + size // (BLOCK // 2)
-    for k in range(n):
-        some = items.filter(F.pmod(F.xxhash64(F.col(item), F.col(text)), F.lit(n)) == k)
-        yield block_of([(r[0], r[1]) for r in some.select(F.col(item).cast("string"), F.col(text)).collect()])
 
+def prefixes(windows: DataFrame, often: DataFrame) -> DataFrame:
+    """``window, size, shingle, offset``: each window's rarest shingle and where in the window it begins."""
+    each = windows.select("window", "size", F.posexplode("shingles").alias("offset", "shingle"))
+    with_n = each.join(often, F.shiftrightunsigned("shingle", 64 - COUNTED) == F.col("place"), "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "offset"))
+    return with_n.groupBy("window", "size").agg(rarest.alias("r")).select("window", "size", "r.shingle", "r.offset")
 
-def find(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``_spans`` (first word and word after the last of each occurrence), ``_items``,
-    ``n_words`` and ``n_hit``."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in FOUND.names]
-    out, first = docs.select(*dict.fromkeys([*kept, text])), True
-    for block in _blocks(items, item, item_text):
-        if not first:
-            out = cut(out)
-        prefixes = out.sparkSession.sparkContext.broadcast(block.rarest(counted(out, block, text)) if len(block.size) else Prefixes(block, {}))
-        out, first = add(out, text, FOUND, _finder(prefixes, text, first), [*kept, text], reads=[] if first else ["_spans", "_items"]), False
-    return out
 
+def places(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], text: str, keep: list[str]) -> DataFrame:
+    """``docs`` with ``n_words`` and ``places``: where a shingle begins that the bitmap lets through, with the words before it
+    (nearest last) and from it on, as many as a window may need."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-def _finder(prefixes, text: str, first: bool):
     def start():
         def step(part):
             texts = Texts.of(part.column(text)).lowered()
             words = texts.runs(ALNUM)
-            spans = [[] for _ in range(part.num_rows)] if first else part.column("_spans").to_pylist()
-            items = [[] for _ in range(part.num_rows)] if first else part.column("_items").to_pylist()
-            n_words = words.per_text()
-            begin, window = prefixes.value.places(texts, words)
-            start = np.cumsum(n_words) - n_words
-            block = prefixes.value.block
-            for b, w, t in zip(begin.tolist(), window.tolist(), words.text[begin].tolist()):
-                spans[t] += (b - int(start[t]), b - int(start[t]) + int(block.size[w]))
-                items[t] += block.items[w]
-            hit = np.zeros(part.num_rows, np.int64)
-            for t, s in enumerate(spans):
-                if s:
-                    cover = np.zeros(int(n_words[t]) + 1, np.int64)
-                    np.add.at(cover, s[0::2], 1)
-                    np.add.at(cover, s[1::2], -1)
-                    hit[t] = np.count_nonzero(np.cumsum(cover) > 0)
-            return [spans, [sorted(set(i)) for i in items], n_words, hit]
+            edge, out = _edges(words, len(texts)), [[] for _ in range(part.num_rows)]
+            word = lambda k: texts.bytes[words.low[k] : words.high[k]].tobytes()
+            for n in sizes:
+                first, code = words.windows(n)
+                for i in _passing(code, shared.value).tolist():
+                    k = int(first[i])
+                    t = int(words.text[k])
+                    a, b = int(edge[t]), int(edge[t + 1])
+                    out[t].append({
+                        "shingle": int(code[i].view(np.int64)), "at": k - a, "left": [word(j) for j in range(max(a, k - WINDOW + SHINGLE), k)], "right": [word(j) for j in range(k, min(b, k + WINDOW))],
+                    })
+            return [words.per_text(), out]
 
         return step
 
-    return start
+    return add(docs, text, PLACES, start, keep)
+
+
+def _digest(text: str) -> Column:
+    value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(7), value).alias("b"))
+
+
+def findings(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Two tables: ``_text, n_words`` and the columns of ``keep`` of each document, ``_text`` being two hashes of its text; and of
+    each text with an occurrence ``_text, n_hit, _items, _spans`` (first word and word after the last of each)."""
+    windows = cut(windows_of(items, item, item_text))
+    sizes = sorted(r[0] for r in windows.select(F.least("size", F.lit(SHINGLE))).distinct().collect())  # five at most
+    every = _bits(windows.select(F.explode("shingles").alias("v")), PASSED)
+    prefix = cut(prefixes(windows.select("window", "size", "shingles").distinct(), counted(docs, every, sizes, text)))
+    wanted = _bits(prefix.select(F.col("shingle").alias("v")), PASSED)
+    rows = docs.withColumn("_text", _digest(text))
+    seen = cut(places(rows, wanted, sizes, text, [*keep, "_text"]))
+    once = seen.filter(F.size("places") > 0).groupBy("_text").agg(F.first("places").alias("places"))
+    each = once.select("_text", F.inline("places")).withColumn("salt", F.pmod(F.xxhash64("_text", "at"), F.lit(SALTS)))
+    dealt = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    before = F.slice("left", F.greatest(F.size("left") - F.col("offset") + 1, F.lit(1)), F.col("offset"))
+    words = F.concat(before, F.slice("right", F.lit(1), F.greatest(F.col("size") - F.col("offset"), F.lit(0))))
+    met = each.join(dealt, ["shingle", "salt"]).filter("size(left) >= offset and size(right) >= size - offset")
+    joined = F.aggregate(F.slice(words, 2, WINDOW), F.element_at(words, 1), lambda a, w: F.concat(a, F.lit(b" "), w))
+    same = met.filter(joined == F.col("window")).select("_text", (F.col("at") - F.col("offset")).alias("first"), "size", "window").distinct()
+    held = windows.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hits = cut(same.join(held, "window"))
+    # words covered: of each occurrence those beyond all occurrences that begin before it
+    line = Window.partitionBy("_text").orderBy("first", "size").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("first") + F.col("size")
+    fresh = F.greatest(end - F.greatest("first", F.coalesce(F.max(end).over(line), F.lit(0))), F.lit(0))
+    spans = hits.withColumn("fresh", fresh).groupBy("_text").agg(F.sum("fresh").alias("n_hit"), F.flatten(F.array_sort(F.collect_list(F.array("first", end)))).alias("_spans"))
+    names = hits.select("_text", F.explode("items").alias("i")).groupBy("_text").agg(F.array_sort(F.collect_set("i")).alias("_items"))
+    return seen.drop("places"), cut(spans.join(names, "_text", "left"))
+
+
+def find(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``n_words``, ``n_hit``, ``_items`` (sorted) and ``_spans``. Columns of ``keep`` are written once (name only those you need)."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in (*FINDINGS, "_text", "places")]
+    seen, found = findings(docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*kept, text]))), items, text, item, item_text, tuple(kept))
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return _with(seen, found).select(*(F.col(f"`{c}`") for c in kept), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), empty("_items", "array<string>"), empty("_spans", "array<bigint>"))
+
+
+def _with(rows: DataFrame, found: DataFrame, how: str = "left") -> DataFrame:
+    return rows.join(F.broadcast(found) if found.count() <= BROADCAST_TEXTS else found, "_text", how)
 
 
 def report(docs: DataFrame, items: DataFrame, keep: list[str]) -> DataFrame:
@@ -221,9 +205,11 @@ def report(docs: DataFrame, items: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents without any window of the benchmark."""
-    return find(docs, items).filter("n_hit = 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+    _, found = findings(docs.select(text), items, text)
+    hold = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), _digest(text).alias("_text"))
+    return _with(hold, found.select("_text"), "left_anti").select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def digest(ids: list[str]) -> str:

@@ -150,12 +150,17 @@ def test_decontamination(spark, monkeypatch):
     texts = [say(60) for _ in range(25)]
     texts += [say(8) + " " + items[rng.randrange(30)][1] + "; " + say(8) for _ in range(25)] + [items[30][1], "Twice  twice twice", None, "", "end of " + items[3][1]]
     table, bench = docs(spark, texts).withColumn("_items", F.lit(1)), spark.createDataFrame(items, "item_id int, text string")
-    for block in (1 << 20, 600):  # in one block and in several
-        monkeypatch.setattr(decontaminate, "BLOCK", block)
-        rows = {r["doc_id"]: r for r in decontaminate.report(table, bench, ["doc_id"]).collect()}
-        for i, t in enumerate(texts):
-            n, hit, found = windows_by_hand(t, items)
-            assert (rows[i]["n_words"], rows[i]["n_hit"], rows[i]["n_items"], rows[i]["items_sha256"], rows[i]["contaminated"]) == (n, hit, len(found), decontaminate.digest(found), hit > 0), (block, i)
+    table, bench = table.unionByName(table.filter("doc_id > 45")), bench.unionByName(bench.crossJoin(spark.range(300)).select("item_id", "text"))
+    for passed, few in ((27, 500_000), (9, 0)):  # a filter that lets most shingles through, and findings joined by a shuffle
+        monkeypatch.setattr(decontaminate, "PASSED", passed)
+        monkeypatch.setattr(decontaminate, "BROADCAST_TEXTS", few)
+        rows = decontaminate.report(table, bench, ["doc_id"]).collect()
+        assert len(rows) == table.count()
+        for r in rows:
+            n, hit, found = windows_by_hand(texts[r["doc_id"]], items)
+            assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (n, hit, len(found), decontaminate.digest(found), hit > 0), (passed, r)
+        kept = sorted(r["doc_id"] for r in decontaminate.clean(table, bench).collect())
+        assert kept == sorted(r["doc_id"] for r in rows if not r["contaminated"])
     assert decontaminate.report(docs(spark, texts), bench.limit(0), ["doc_id"]).filter("contaminated").count() == 0
     assert decontaminate.report(docs(spark, []), bench, ["doc_id"]).count() == 0
     assert decontaminate.clean(docs(spark, texts), bench).columns == ["doc_id", "text"]
