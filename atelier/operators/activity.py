@@ -59,3 +59,10 @@ def retained(rows: DataFrame, at: str, cutoff: int) -> DataFrame:
     if cutoff <= 0:
         raise ValueError("a cutoff is needed")
     return rows.filter(F.col(at) >= cutoff)
+
+
+def signed_in(sessions_: DataFrame, users: DataFrame, now: int) -> DataFrame:
+    """Sessions that have neither expired nor idled out, with their users; sessions of unknown users drop out.
+    Sessions have user_id, expires_at and idle_expires_at, users id, name and role."""
+    live = sessions_.filter((F.col("expires_at") > now) & (F.col("idle_expires_at") > now))
+    return live.join(users.select(F.col("id").alias("user_id"), "name", "role"), "user_id")

@@ -154,3 +154,38 @@ def transferred_asset_tags(asset_tags: DataFrame, assets: DataFrame, moves: Data
     given = source.join(asset_tags.filter("source = 'manual'").select("asset_id", "tag"), "asset_id").select(F.col("to_pack").alias("pack_id"), "sha256", "tag").distinct()
     gained = assets.select("pack_id", "sha256", F.col("id").alias("asset_id")).join(given, ["pack_id", "sha256"]).select("asset_id", "tag")
     return gained.join(asset_tags.select("asset_id", "tag"), ["asset_id", "tag"], "left_anti")
+
+
+def exact_findings(copies: DataFrame) -> DataFrame:
+    """``sha256, copies, bytes, keep_id`` of present files with copies, the most bytes first, with the copy that is worth keeping."""
+    there = copies.filter("missing_since is null")
+    return exact(there).join(favoured(there).select("sha256", "keep_id"), "sha256").orderBy(F.desc("bytes"), "sha256")
+
+
+def report(assets: DataFrame, found: DataFrame, near: DataFrame, packs: DataFrame) -> DataFrame:
+    """One row: files, findings of each kind, the bytes that removal of files or packs frees, and the larger of these two,
+    as both tell of the same bytes. From ``exact_findings``, ``near_findings`` and ``pack_findings``."""
+    total = lambda t, name: t.agg(F.count(F.lit(1)).alias(f"{name}_findings"), F.coalesce(F.sum("bytes"), F.lit(0)).alias(f"{name}_bytes"))
+    rows = assets.filter("missing_since is null").agg(F.count(F.lit(1)).alias("assets"))
+    for part in (total(found, "exact"), total(near, "near").drop("near_bytes"), total(packs, "pack")):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.agg(*(F.max(c).alias(c) for c in rows.columns)).withColumn("reclaimable", F.greatest("exact_bytes", "pack_bytes"))
+
+
+def unmatched(asset_tags: DataFrame, assets: DataFrame, moves: DataFrame) -> DataFrame:
+    """``from_pack, to_pack, n``: files with a tag set by hand whose content the other pack lacks, so that the tag would be lost."""
+    by_hand = asset_tags.filter("source = 'manual'").select(F.col("asset_id").alias("id")).distinct()
+    source = assets.join(by_hand, "id", "left_semi").select(F.col("pack_id").alias("from_pack"), "id", "sha256").join(moves.filter("from_pack <> to_pack"), "from_pack")
+    target = assets.select(F.col("pack_id").alias("to_pack"), "sha256")
+    return source.join(target, ["to_pack", "sha256"], "left_anti").groupBy("from_pack", "to_pack").agg(F.count(F.lit(1)).alias("n"))
+
+
+def curated(packs: DataFrame, moves: DataFrame, fields: list[str]) -> DataFrame:
+    """Packs after provenance is handed on (``moves``: from_pack, to_pack, one source a target): only empty ``fields`` are filled, the
+    licence only where there is none; a pack that waited for its provenance is complete if its source was and it has a link and a licence now."""
+    source = packs.select(F.col("id").alias("from_pack"), F.col("license_id").alias("_license"), F.col("provenance_state").alias("_state"), *(F.col(c).alias(f"_{c}") for c in fields))
+    both = packs.join(moves.filter("from_pack <> to_pack").withColumnRenamed("to_pack", "id"), "id", "left").join(source, "from_pack", "left")
+    filled = {c: F.when(F.coalesce(F.col(c), F.lit("")) == "", F.coalesce(F.col(f"_{c}"), F.col(c))).otherwise(F.col(c)) for c in fields}
+    out = both.withColumns(filled | {"license_id": F.coalesce("license_id", "_license")})
+    done = (F.col("provenance_state") == "needs_provenance") & (F.col("_state") == "complete") & (F.col("source_url") != "") & F.col("license_id").isNotNull()
+    return out.withColumn("provenance_state", F.when(done, "complete").otherwise(F.col("provenance_state"))).select(*packs.columns)

@@ -73,3 +73,33 @@ def last_token(query: str) -> str:
     if not query or query[-1].isspace() or query.count('"') % 2:
         return ""
     return query.split()[-1]
+
+
+#: What a search can be completed with, the most useful first, and what is shown for it where that differs.
+KEYWORDS = [
+    ("type:", "type:"), ("style:pixel-art", "style:pixel-art"), ("has:alpha", "has:alpha"), ("has:animation", "has:animation"), ("has:source-file", "has:source-file"),
+    ("dim:32x32", "32x32"), ("width:>=64", "width:>=64"), ("colors:<=16", "colors:<=16"), ("frames:>1", "frames:>1"), ("tris:<5000", "tris:<5000"), ("materials:>1", "materials:>1"),
+    ("duration:<2000", "duration:<2000"), ("color:#8b3a3a", "color:#8b3a3a"), ("added:>2026-01", "added:>2026-01"), ("license:cc0", "license:cc0"),
+]
+
+
+def suggestions(assets: DataFrame, asset_tags: DataFrame, packs: DataFrame, query: str, most: int = SUGGESTED) -> DataFrame:
+    """``grp, value, n, place`` for the last token of a query, at most ``most`` of each group: keywords in their order, tags
+    by how many assets have them, packs by their present files, and names of present files, the shortest first (n is
+    null for these and for keywords). A token with a colon names a field and gets keywords only; no token, nothing."""
+    token = last_token(query).lower()
+    words = [k for k, shown in KEYWORDS if token and (k.lower().startswith(token) or shown.lower().startswith(token))][:most]
+    schema = "grp string, value string, n bigint, place int"
+    out = assets.sparkSession.createDataFrame([("keyword", k, None, i) for i, k in enumerate(words)], schema)
+    if not token or ":" in token:
+        return out
+    present, starts = assets.filter("missing_since is null"), lambda c: F.lower(c).startswith(token)
+    tags = asset_tags.filter(starts(F.col("tag")) | starts(F.expr("substr(tag, instr(tag, ':') + 1)"))).groupBy(F.col("tag").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    held = present.groupBy("pack_id").agg(F.count(F.lit(1)).alias("n"))
+    named = packs.filter(starts(F.col("name"))).select(F.col("id").alias("pack_id"), F.col("name").alias("value"))
+    filled = named.join(held, "pack_id", "left").select("value", F.coalesce("n", F.lit(0)).alias("n"))
+    files = present.filter(starts(F.col("filename"))).select(F.col("filename").alias("value")).distinct().withColumn("n", F.lit(None).cast("long"))
+    for name, rows, order in (("tag", tags, [F.desc("n"), "value"]), ("pack", filled, [F.desc("n"), "value"]), ("filename", files, [F.length("value"), "value"])):
+        top = rows.orderBy(*order).limit(most)
+        out = out.unionByName(top.select(F.lit(name).alias("grp"), "value", "n", (F.row_number().over(Window.orderBy(*order)) - 1).alias("place")))
+    return out

@@ -75,3 +75,15 @@ def stats(assets: DataFrame) -> DataFrame:
 
 def kinds(assets: DataFrame) -> DataFrame:
     return assets.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def hidden(assets: DataFrame, asset_tags: DataFrame, tag: str = "disable:true") -> DataFrame:
+    """``disabled``: how many present files carry the tag that hides them."""
+    off = asset_tags.filter(F.col("tag") == tag).select(F.col("asset_id").alias("id"))
+    return assets.filter("missing_since is null").join(off, "id", "left_semi").agg(F.count(F.lit(1)).alias("disabled"))
+
+
+def groups_after(groups: DataFrame, filename: str, primary_id: int, limit: int | None = None) -> DataFrame:
+    """The next page of groups by the name of what shows them (``groups`` as from ``groups.primaries``), and one row more."""
+    later = (F.col("filename") > filename) | ((F.col("filename") == filename) & (F.col("primary_id") > primary_id))
+    return groups.filter(later).orderBy("filename", "primary_id").limit(page_size(limit) + 1)

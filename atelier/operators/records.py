@@ -67,3 +67,8 @@ def tag_completions(tags: DataFrame, aliases: DataFrame, prefix: str, most: int
     own = tags.filter(starts("tag")).select("tag")
     other = aliases.filter(starts("alias")).select("tag")
     return own.union(other).distinct().orderBy("tag").limit(min(most if most > 0 else 20, 50))
+
+
+def latest_first(saved: DataFrame, at: str = "updated_at", name: str = "name") -> DataFrame:
+    """Saved rows, the last updated first, then by name."""
+    return saved.orderBy(F.desc(at), name)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, values
-from ..operators import activity, duplicates, features, provenance, reconcile, records, search, tags
+from ..operators import activity, duplicates, facets, features, groups, listing, provenance, reconcile, records, search, tags
+from ..sources import library
 from .catalogue import T0, Catalogue
 from .registry import _PIXELS, _held, _pixels, query
 
@@ -247,3 +248,125 @@ def index_rebuilt(c: Catalogue) -> DataFrame:
     files = _named(c).select(F.concat_ws("/", F.lit("c"), F.col("id").cast("string"), "path").alias("path"), (F.col("id") % 100).alias("size"), F.lit(1).alias("mtime"))
     packs = c.table("customer").filter("c_custkey % 2 = 0").select(F.concat(F.lit("c/"), F.col("c_custkey")).alias("pack"))
     return reconcile.rebuilt(files, packs).select("pack", "rel_path", "ext", "size")
+
+
+# ---- findings, hand-overs and lists ----------------------------------------------------------
+
+
+@query(
+    f"""WITH words(value, shown, place) AS (VALUES {", ".join(f"('{k}', '{v}', {i})" for i, (k, v) in enumerate(facets.KEYWORDS))}), there AS (SELECT * FROM assets WHERE missing_since IS NULL),
+    tag AS (SELECT tag AS value, count(*) AS n FROM asset_tags WHERE starts_with(lower(tag), 's') OR starts_with(lower(substr(tag, instr(tag, ':') + 1)), 's') GROUP BY tag ORDER BY n DESC, value LIMIT 6),
+    pack AS (SELECT name AS value, count(there.id) AS n FROM packs LEFT JOIN there ON pack_id = packs.id WHERE starts_with(lower(name), 's') GROUP BY packs.id, name ORDER BY n DESC, value LIMIT 6),
+    file AS (SELECT DISTINCT filename AS value, length(filename) AS len FROM there WHERE starts_with(lower(filename), 's') ORDER BY len, value LIMIT 6)
+    SELECT 'keyword' AS grp, value, NULL::BIGINT AS n, (row_number() OVER (ORDER BY place) - 1)::INTEGER AS place FROM words WHERE starts_with(value, 's') OR starts_with(shown, 's')
+    UNION ALL SELECT 'tag', value, n, (row_number() OVER (ORDER BY n DESC, value) - 1)::INTEGER FROM tag UNION ALL SELECT 'pack', value, n, (row_number() OVER (ORDER BY n DESC, value) - 1)::INTEGER FROM pack
+    UNION ALL SELECT 'filename', value, NULL, (row_number() OVER (ORDER BY len, value) - 1)::INTEGER FROM file""",
+    "assets", "asset_tags", "packs",
+)
+def suggest_search(c: Catalogue) -> DataFrame:
+    return facets.suggestions(c.assets(), c.asset_tags(), c.packs(), "type:model S")
+
+
+_KEEP = "CASE WHEN used THEN 1000 ELSE 0 END + CASE WHEN complete THEN 100 ELSE 0 END + CASE WHEN in_raw THEN 0 ELSE 50 END + CASE WHEN is_primary AND variants > 1 THEN 25 ELSE 0 END - len(string_split(path, '/'))"
+
+
+@query(
+    f"""WITH there AS (SELECT *, {_KEEP} AS score FROM copies WHERE missing_since IS NULL)
+    SELECT sha256, count(*) AS copies, ((count(*) - 1) * max(size))::BIGINT AS bytes, arg_min(id, (-score, first_seen_at, path, id)) AS keep_id FROM there GROUP BY sha256 HAVING count(*) > 1 ORDER BY bytes DESC, sha256""",
+    "copies",
+)
+def dup_exact_findings(c: Catalogue) -> DataFrame:
+    return duplicates.exact_findings(c.copies())
+
+
+@query(
+    """WITH there AS (SELECT * FROM copies WHERE missing_since IS NULL), found AS (SELECT (count(*) - 1) * max(size) AS b FROM there GROUP BY sha256 HAVING count(*) > 1), packs_ AS (SELECT id % 5 AS b FROM packs), e AS (SELECT count(*) AS n, sum(b)::BIGINT AS b FROM found), p AS (SELECT count(*) AS n, sum(b)::BIGINT AS b FROM packs_)
+    SELECT (SELECT count(*) FROM there) AS assets, e.n AS exact_findings, coalesce(e.b, 0) AS exact_bytes, (SELECT count(*) FROM packs_ WHERE b = 0) AS near_findings, p.n AS pack_findings, coalesce(p.b, 0) AS pack_bytes, greatest(coalesce(e.b, 0), coalesce(p.b, 0)) AS reclaimable FROM e, p""",
+    "copies", "packs",
+)
+def dup_report(c: Catalogue) -> DataFrame:
+    packs = c.packs().select((F.col("id") % 5).alias("bytes"))
+    return duplicates.report(c.copies(), duplicates.exact_findings(c.copies()), packs.filter("bytes = 0"), packs)
+
+
+@query(
+    """WITH moves AS (SELECT id AS from_pack, id + 1 AS to_pack FROM packs WHERE id % 2 = 0), tagged AS (SELECT DISTINCT a.id, a.pack_id, a.sha256 FROM assets a JOIN asset_tags t ON t.asset_id = a.id WHERE t.source = 'manual')
+    SELECT from_pack, to_pack, count(*) AS n FROM tagged JOIN moves ON pack_id = from_pack WHERE NOT EXISTS (SELECT 1 FROM assets x WHERE x.pack_id = to_pack AND x.sha256 = tagged.sha256) GROUP BY ALL""",
+    "packs", "assets", "asset_tags",
+)
+def transfer_unmatched(c: Catalogue) -> DataFrame:
+    moves = c.packs().filter("id % 2 = 0").select(F.col("id").alias("from_pack"), (F.col("id") + 1).alias("to_pack"))
+    return duplicates.unmatched(c.asset_tags(), c.assets(), moves)
+
+
+@query(
+    """WITH p AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'u' || id ELSE '' END AS source_url, CASE WHEN id % 4 = 0 THEN '' ELSE 'a' || id END AS author, CASE WHEN id % 5 <> 0 THEN license_id END AS license_id, CASE WHEN id % 2 = 0 THEN 'complete' ELSE 'needs_provenance' END AS provenance_state FROM packs),
+    filled AS (SELECT t.id, CASE WHEN t.source_url = '' THEN coalesce(s.source_url, t.source_url) ELSE t.source_url END AS source_url, CASE WHEN t.author = '' THEN coalesce(s.author, t.author) ELSE t.author END AS author, coalesce(t.license_id, s.license_id) AS license_id, t.provenance_state AS was, s.provenance_state AS theirs
+        FROM p t LEFT JOIN p s ON s.id = t.id - 1 AND s.id % 2 = 0)
+    SELECT id, source_url, author, license_id, CASE WHEN was = 'needs_provenance' AND theirs = 'complete' AND source_url <> '' AND license_id IS NOT NULL THEN 'complete' ELSE was END AS provenance_state FROM filled""",
+    "packs",
+)
+def transfer_provenance(c: Catalogue) -> DataFrame:
+    key = F.col("id")
+    packs = c.packs().select(
+        "id", F.when(key % 3 == 0, F.concat(F.lit("u"), key)).otherwise("").alias("source_url"), F.when(key % 4 == 0, "").otherwise(F.concat(F.lit("a"), key)).alias("author"),
+        F.when(key % 5 != 0, F.col("license_id")).alias("license_id"), F.when(key % 2 == 0, "complete").otherwise("needs_provenance").alias("provenance_state"),
+    )
+    moves = packs.filter("id % 2 = 0").select(key.alias("from_pack"), (key + 1).alias("to_pack"))
+    return duplicates.curated(packs, moves, ["source_url", "author"])
+
+
+@query("SELECT count(*) AS disabled FROM assets WHERE missing_since IS NULL AND id IN (SELECT asset_id FROM asset_tags WHERE tag = 'disable:true')", "assets", "asset_tags")
+def stats_hidden(c: Catalogue) -> DataFrame:
+    return listing.hidden(c.assets(), c.asset_tags())
+
+
+@query(
+    """WITH shown AS (SELECT pack_id, group_key, arg_min(id, (missing_since IS NOT NULL, precedence, rel_path, id)) AS primary_id, count(*) AS variants FROM assets GROUP BY pack_id, group_key)
+    SELECT primary_id, filename, g.group_key FROM shown g JOIN assets a ON a.id = primary_id JOIN packs p ON p.id = g.pack_id WHERE filename > 'old_bolt.glb' OR filename = 'old_bolt.glb' AND primary_id > 100 ORDER BY filename, primary_id LIMIT 101""",
+    "assets", "packs",
+)
+def keyset_groups(c: Catalogue) -> DataFrame:
+    return listing.groups_after(groups.primaries(groups.regroup(c.assets()), c.assets(), c.packs()), "old_bolt.glb", 100).select("primary_id", "filename", "group_key")
+
+
+@query("SELECT event_id AS id, user_id, c_name AS name, c_mktsegment AS role FROM events JOIN customer ON c_custkey = user_id WHERE floor(epoch(ts))::BIGINT + 86400 > 1705000000 AND floor(epoch(ts))::BIGINT + 3600 > 1705000000")
+def sessions_of_users(c: Catalogue) -> DataFrame:
+    at = values.epoch("ts")
+    sessions = c.table("events").select(F.col("event_id").alias("id"), "user_id", (at + 86_400).alias("expires_at"), (at + 3600).alias("idle_expires_at"))
+    users = c.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("role"))
+    return activity.signed_in(sessions, users, 1_705_000_000).select("id", "user_id", "name", "role")
+
+
+@query("SELECT id, name, id % 7 AS updated_at FROM packs ORDER BY updated_at DESC, name", "packs")
+def saved_searches(c: Catalogue) -> DataFrame:
+    return records.latest_first(c.packs().select("id", "name", (F.col("id") % 7).alias("updated_at")))
+
+
+_LEFTOVERS = """CASE id % 6 WHEN 0 THEN 'p/__MACOSX/' || id WHEN 1 THEN 'p/' || id || '/.DS_Store' WHEN 2 THEN 'p/' || id || '.png' WHEN 3 THEN 'x/_derived/' || sha256 || '/t.webp' WHEN 4 THEN 'x/_derived/' || sha256(id::VARCHAR) || '/t.webp' ELSE 'p/pack.asset.json' END"""
+
+
+@query(
+    f"""WITH files_ AS (SELECT {_LEFTOVERS} AS path, CASE WHEN id % 4 = 0 THEN 0 ELSE id END AS size FROM assets)
+    SELECT path, CASE WHEN contains(path, '__MACOSX/') THEN 'macos' WHEN ends_with(path, '.DS_Store') THEN 'system' WHEN size = 0 AND path <> 'p/pack.asset.json' THEN 'empty' ELSE 'orphan' END AS kind, size FROM files_
+    WHERE contains(path, '__MACOSX/') OR ends_with(path, '.DS_Store') OR (size = 0 AND path <> 'p/pack.asset.json') OR (contains(path, '_derived/') AND split_part(path, '/', 3) NOT IN (SELECT sha256 FROM assets))""",
+    "assets",
+)
+def junk_found(c: Catalogue) -> DataFrame:
+    key, text = F.col("id"), F.col("id").cast("string")
+    join = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    path = (
+        F.when(key % 6 == 0, join("p/__MACOSX/", text)).when(key % 6 == 1, join("p/", text, "/.DS_Store")).when(key % 6 == 2, join("p/", text, ".png"))
+        .when(key % 6 == 3, join("x/_derived/", F.col("sha256"), "/t.webp")).when(key % 6 == 4, join("x/_derived/", F.sha2(text, 256), "/t.webp")).otherwise("p/pack.asset.json")
+    )
+    return library.junk(c.assets().select(path.alias("path"), F.when(key % 4 == 0, 0).otherwise(key).alias("size")), c.assets().select("sha256"))
+
+
+@query("SELECT DISTINCT 'f/' || id AS path, 'empty_folder' AS kind, 0::BIGINT AS size FROM packs WHERE id % 3 <> 0 AND id % 5 <> 0", "packs")
+def junk_empty_folders(c: Catalogue) -> DataFrame:
+    """Every third folder holds a file, every fifth a folder with a file."""
+    folder = F.concat(F.lit("f/"), F.col("id").cast("string"))
+    inner = c.packs().filter("id % 5 = 0").select(F.concat(folder, F.lit("/in")).alias("dir"))
+    folders = c.packs().select(folder.alias("dir")).unionByName(inner)
+    files = c.packs().filter("id % 3 = 0").select(F.concat(folder, F.lit("/a.png")).alias("path")).unionByName(inner.select(F.concat("dir", F.lit("/b.png")).alias("path")))
+    return library.empty_folders(folders, files)

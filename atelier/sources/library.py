@@ -110,3 +110,10 @@ def write_report(report: DataFrame, folder: str) -> None:
 
 def read_report(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(folder)
+
+
+def empty_folders(folders: DataFrame, files: DataFrame) -> DataFrame:
+    """``path, kind, size`` of folders (``dir``) with neither a file nor a folder in them; reserved ones at the top are left alone."""
+    used = files.select(paths.parent_dir(F.col("path")).alias("dir")).union(folders.select(paths.parent_dir(F.col("dir")))).distinct()
+    left = folders.filter((F.col("dir") != "") & ~paths.is_reserved(F.concat("dir", F.lit("/x")))).join(used, "dir", "left_anti")
+    return left.select(F.col("dir").alias("path"), F.lit("empty_folder").alias("kind"), F.lit(0).cast("long").alias("size"))
