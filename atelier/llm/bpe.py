@@ -3,7 +3,9 @@
 Each task keeps an in-memory DuckDB with the vocabulary and its merge table (left id,
 right id, merged id; a merge's rank is the merged id). A word is a row per token; one
 recursive query joins neighbouring tokens with the merge table and contracts each word's
-leftmost pair of the lowest rank (and with it the equal pairs further right), until no pair of any word can be merged. An ordered
+leftmost pair of the lowest rank, until no pair of any word can be merged. Words of ``LONG`` characters and more, of
+which one pair a step would take as many steps as they have characters, are contracted by the same rule with all of
+a step's equal pairs at once: the ids are the same, only the number of steps differs. An ordered
 aggregation over token positions decodes. Every distinct word is contracted once and
 remembered (at most ``REMEMBERED`` of them), so a task's memory does not grow with its rows.
 

@@ -73,6 +73,18 @@ def test_bpe_query_and_round_trip(spark, encoding):
     assert bpe.digests(docs(spark, []), RANKS, PATTERN).count() == 0
 
 
+def test_both_contractions_give_the_same_ids(monkeypatch, encoding):
+    """Words about the length at which the other form of the query takes over, and any length with either form."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices(kind, k=n)) for kind in ("ab", "a", "-=", "aab", "abcdefghij", "xyé") for n in (1, 2, 3, 22, 23, 24, 25, 40) for _ in range(3)] + ["ab" * 3000, "q" * 4001]
+    want = [encoding.encode_ordinary(w) for w in words]
+    for long in (bpe.LONG, 1, 10**6):
+        monkeypatch.setattr(bpe, "LONG", long)
+        some = [k for k, w in enumerate(words) if long < 10**6 or len(w) < 100]
+        ids, edge = bpe.Codec(RANKS, PATTERN).encode(pa.array([words[k] for k in some]))
+        assert [ids[a:b].tolist() for a, b in zip(edge, edge[1:])] == [want[k] for k in some], long
+
+
 def test_memory_of_the_codec_is_bounded(monkeypatch, encoding):
     monkeypatch.setattr(bpe, "REMEMBERED", 50)
     own = bpe.Codec(RANKS, PATTERN)
