@@ -115,6 +115,26 @@ def test_components_of_a_long_chain_in_random_order(spark):
         components.components(chain, "a", "b", rounds=2)
 
 
+def test_near_findings(spark):
+    """Copies and variants are no near images; a hash that many share; the longest link and the bytes."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(63) for _ in range(6)]
+    rows = [(i, rng.choice(base) ^ (1 << rng.randrange(12) if rng.random() < 0.6 else 0), f"s{rng.randrange(25)}", rng.choice([None, 0, 1, 2]), rng.randrange(1, 99)) for i in range(90)]
+    rows += [(100 + i, 7, f"t{i % 9}", i % 4, 5) for i in range(30)] + [(200, None, "x", 0, 1), (201, 1 << 40, "y", 3, 1), (202, 1 << 40, "z", 3, 1), (203, 3 << 50, "w", 0, 1), (204, 3 << 50, "w", 0, 1)]
+    links = [(a, b, (a[1] ^ b[1]).bit_count()) for a, b in itertools.combinations([r for r in rows if r[1] is not None], 2) if a[2] != b[2] and not (a[3] and a[3] == b[3]) and (a[1] ^ b[1]).bit_count() <= 5]
+    name = {r[0]: r[0] for r in rows}
+    for a, b, _ in links:
+        old, new = max(name[a[0]], name[b[0]]), min(name[a[0]], name[b[0]])
+        name = {k: new if v == old else v for k, v in name.items()}
+    want = {}
+    for c in {name[a[0]] for a, _, _ in links}:
+        sizes = [r[4] for r in rows if name[r[0]] == c]
+        want[c] = (len(sizes), sum(sizes) - max(sizes), max(d for a, _, d in links if name[a[0]] == c))
+    table = spark.createDataFrame(rows, "id int, phash bigint, sha256 string, group_id int, size int")
+    got = {r["cluster_id"]: (r["members"], r["bytes"], r["max_distance"]) for r in duplicates.near_findings(table).collect()}
+    assert got == want and duplicates.near_findings(table.limit(0)).count() == 0
+
+
 def test_near_pairs_lose_none(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(12)]
