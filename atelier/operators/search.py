@@ -132,11 +132,12 @@ def in_folder(folder: str, path: str = "library_path") -> Where:
     return Where([(F.col(path) == clean) | F.col(path).startswith(clean + "/")])
 
 
-def tagged(tag: str, assets: DataFrame, asset_tags: DataFrame, pack_tags: DataFrame, closure: DataFrame) -> Where:
-    """The tag or one below it, on the asset or on its pack."""
-    below = closure.filter(F.col("ancestor") == tag).select(F.col("descendant").alias("tag"))
-    direct = asset_tags.join(below, "tag", "left_semi").select("asset_id")
-    packs = pack_tags.join(below, "tag", "left_semi").select("pack_id").distinct()
+def tagged(tag: str, assets: DataFrame, asset_tags: DataFrame, pack_tags: DataFrame) -> Where:
+    """The tag (of two parts at least) or one below it, on the asset or on its pack. A tag's name begins with those
+    above it, so the condition is a filter that reaches the scan."""
+    below = ((F.col("tag") == tag) | F.col("tag").startswith(f"{tag}:")) & F.lit(":" in tag)
+    direct = asset_tags.filter(below).select("asset_id")
+    packs = pack_tags.filter(below).select("pack_id").distinct()
     return _in(direct.union(assets.join(packs, "pack_id", "left_semi").select("id")))
 
 

@@ -103,8 +103,7 @@ _TAGGED = "id IN (SELECT asset_id FROM asset_tags WHERE " + _BELOW + ") OR pack_
 
 
 def _tagged(c: Catalogue, tag: str) -> search.Where:
-    every = c.asset_tags().select("tag").union(c.pack_tags().select("tag")).distinct()
-    return search.tagged(tag, c.assets(), c.asset_tags(), c.pack_tags(), tags.closure(every))
+    return search.tagged(tag, c.assets(), c.asset_tags(), c.pack_tags())
 
 
 @query(f"SELECT id FROM assets WHERE {_TAGGED.format('object:bolt')}", "assets", "asset_tags", "pack_tags")

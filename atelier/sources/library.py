@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..operators.scratch import cut
 
+#: Changed files that are opened by one reader.
+READ_AT_ONCE = 5000
 SIDECAR = "name string, source_url string, author string, license string, tags array<string>, notes string, updated_at long"
 
 
@@ -16,7 +21,10 @@ def listing(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """``path, size, mtime`` of all files below a folder, without ignored and reserved ones; ``sha256`` too if
     the content is asked for (else it is not read). Spark's reader passes over empty files and names that
     begin with a dot or underscore."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return _files(spark, spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root, content)
+
+
+def _files(spark: SparkSession, found: DataFrame, root: str, content: bool) -> DataFrame:
     top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
     path = F.substring_index("path", top, -1)
     out = found.select(path.alias("path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"), *([F.sha2("content", 256).alias("sha256")] if content else []))
@@ -25,12 +33,16 @@ def listing(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
 
 def rehashed(spark: SparkSession, root: str, index: DataFrame) -> DataFrame:
     """A listing with hashes, reading only files whose size or time differs from the index: the others
-    take the hash they have there."""
+    take the hash they have there. Sizes and times are compared first; the files that differ are then opened by their
+    paths, ``READ_AT_ONCE`` of them at a time, as a path list is all that a reader takes."""
     now = listing(spark, root)
     known = index.select("path", F.col("size").alias("_s"), F.col("mtime").alias("_m"), "sha256")
-    same = now.join(known, "path").filter("size = _s and mtime = _m").select("path", "size", "mtime", "sha256")
-    changed = listing(spark, root, content=True).join(same.select("path"), "path", "left_anti")
-    return same.unionByName(changed)
+    out = now.join(known, "path").filter("size = _s and mtime = _m").select("path", "size", "mtime", "sha256")
+    changed = cut(now.join(out.select("path"), "path", "left_anti").select("path")).toLocalIterator()
+    while some := [r["path"] for r in itertools.islice(changed, READ_AT_ONCE)]:
+        places = [root.rstrip("/") + "/" + re.sub(r"([{}*?\[\]\\])", r"\\\1", p) for p in some]  # no patterns
+        out = out.unionByName(cut(_files(spark, spark.read.format("binaryFile").load(places), root, True)))
+    return out
 
 
 def packs(files: DataFrame, sidecar: str = "pack.asset.json") -> DataFrame:

@@ -13,13 +13,12 @@ def test_search_end_to_end(spark):
     assets = spark.createDataFrame([(1, 1, "weapons/wooden_sword.png", "image", 32), (2, 1, "weapons/laser_gun.png", "image", None), (3, 2, "sfx/explosion.wav", "audio", None)], "id int, pack_id int, library_path string, kind string, width int")
     own = spark.createDataFrame([(1, "type:melee:sword"), (3, "type:sfx:impact")], "asset_id int, tag string")
     packs = spark.createDataFrame([(2, "license:cc0")], "pack_id int, tag string")
-    closure = tags.closure(own.select("tag").union(packs.select("tag")))
     text = ["library_path"]
 
     def ids(where):
         return sorted(r["id"] for r in search.matching(assets, where).collect())
 
-    tagged = lambda t: search.tagged(t, assets, own, packs, closure)
+    tagged = lambda t: search.tagged(t, assets, own, packs)
     assert ids(search.kind("audio")) == ids(tagged("type:sfx:impact")) == ids(tagged("license:cc0")) == [3]
     assert ids(search.word(text, "wood")) == ids(tagged("type:melee")) == [1]
     assert ids(~search.kind("audio")) == [1, 2]

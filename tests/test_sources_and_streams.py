@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from atelier.sources import library
 from atelier.streaming import watch
@@ -18,13 +19,21 @@ def tree(tmp_path):
     return tmp_path
 
 
-def test_listing(spark, tree):
+def test_listing(spark, tree, monkeypatch):
     got = {r["path"]: (r["size"], r["sha256"]) for r in library.listing(spark, f"file://{tree}", content=True).collect()}
     assert set(got) == {"a/hero.png", "a/PNG/x.png", "b/PSD/y.psd", "c/deep/z.wav", "c/pack.asset.json"}
     assert got["a/hero.png"] == (1, hashlib.sha256(b"1").hexdigest())
     assert {r["pack"] for r in library.packs(library.listing(spark, f"file://{tree}")).collect()} == {"a", "b", "c"}
     index = library.listing(spark, f"file://{tree}", content=True)
     assert sorted(map(tuple, library.rehashed(spark, f"file://{tree}", index).collect())) == sorted(map(tuple, index.collect()))
+    # what is the same keeps the hash of the index, unread; what differs or is new is read
+    monkeypatch.setattr(library, "READ_AT_ONCE", 2)
+    kept, touched = sorted(r["path"] for r in index.collect())[:2]
+    (tree / touched).write_bytes(b"other content")
+    (tree / "a/odd [x]{1}*?.png").write_bytes(b"odd")
+    stale = index.withColumn("sha256", F.when(F.col("path") == kept, "stored").otherwise(F.col("sha256")))
+    now = {r["path"]: r["sha256"] for r in library.rehashed(spark, f"file://{tree}", stale).collect()}
+    assert now[kept] == "stored" and now[touched] == hashlib.sha256(b"other content").hexdigest() and now["a/odd [x]{1}*?.png"] == hashlib.sha256(b"odd").hexdigest() and len(now) == index.count() + 1
 
 
 def test_sidecars(spark, tree):
