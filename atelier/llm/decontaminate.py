@@ -33,7 +33,7 @@ from ._words import ALNUM, Runs, Texts, batches
 
 WINDOW, SHINGLE = 10, 5
 #: Bits of the hash by which shingles are counted and let through: a table of 2^COUNTED counters, a Bloom filter of 2^PASSED bits.
-COUNTED, PASSED = 20, 27
+COUNTED, PASSED = 20, 25
 #: Rows of one shingle are dealt to so many tasks.
 SALTS = 16
 #: Texts with findings up to which they are broadcast (16 bytes each); beyond, texts are joined by a shuffle.
