@@ -7,6 +7,7 @@ cost of a batch is linear and no Python loop runs over words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,8 +49,21 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: The C library's own call that returns freed memory, where it has one.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return what is no longer used to the system: Arrow and the C library keep it otherwise, so
+    that each idle Python worker would stay as large as its largest slice made it."""
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
+
+
 def batches(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Slices of the batch with about ``most`` bytes of text each, a single row at least."""
+    """Slices of the batch with about ``most`` bytes of text each, a single row at least. What the work on a slice
+    leaves is given back before the next."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total = np.cumsum(sizes, dtype=np.int64)
     begin = 0
@@ -57,6 +71,7 @@ def batches(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[p
         done = total[begin - 1] if begin else 0
         end = max(begin + 1, int(np.searchsorted(total, done + most, "right")))
         yield batch.slice(begin, end - begin)
+        give_back()
         begin = end
 
 
