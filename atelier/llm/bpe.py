@@ -7,7 +7,7 @@ leftmost pair of the lowest rank, until no pair of any word can be merged. Words
 which one pair a step would take as many steps as they have characters, are contracted by the same rule with all of
 a step's equal pairs at once: the ids are the same, only the number of steps differs. An ordered
 aggregation over token positions decodes. Every distinct word is contracted once and
-remembered (at most ``REMEMBERED`` of them), so a task's memory does not grow with its rows.
+remembered (at most ``remembered`` of them, and as many of the last generation), so a task's memory does not grow with its rows.
 
 Nulls and empty texts have no tokens. Any text is encoded whole, however long; repeated
 rows give repeated results; an empty table gives an empty result. Extra columns are kept
@@ -136,7 +136,8 @@ class Lists:
 class Codec:
     """The vocabulary in DuckDB, and what this task has encoded so far."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remembered: int | None = None):
+        self.remembered = remembered
         self.ranks = ranks = _ranks(path)
         self.words = regex.compile(pattern)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": "", "preserve_insertion_order": False})
@@ -207,9 +208,10 @@ class Codec:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts end to end, and where each text's begin (and the last end)."""
-        if max(len(self.stretches) >> 1, self.known.used >> 3) > REMEMBERED:
+        remembered = self.remembered or REMEMBERED
+        if max(len(self.stretches) >> 1, self.known.used >> 3) > remembered:
             self.forget()
-        if len(self.of_word) > REMEMBERED:
+        if len(self.of_word) > remembered:
             self.forget_words()
         texts = Texts.of(column)
         data, count = texts.bytes, np.diff(texts.start) - 1
@@ -239,14 +241,14 @@ class Codec:
         return out
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str, int | None], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, remembered: int | None = None) -> Codec:
     """One codec a worker process."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    if (path, pattern, remembered) not in _CODECS:
+        _CODECS[path, pattern, remembered] = Codec(path, pattern, remembered)
+    return _CODECS[path, pattern, remembered]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -282,15 +284,17 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", out: st
 DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
-def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, remembered: int | None = None) -> DataFrame:
     """Encode each text and decode its ids; return the number of ids, the digest of the ids as
-    little-endian unsigned 32-bit integers and that of the decoded bytes."""
+    little-endian unsigned 32-bit integers and that of the decoded bytes. ``remembered`` (``REMEMBERED`` unless given) trades memory
+    of each worker (some 200 bytes a word) for time; the results are the same."""
 
     def start():
         def step(part):
-            ids, edge = codec(path, pattern).encode(part.column(text))
+            held = codec(path, pattern, remembered)
+            ids, edge = held.encode(part.column(text))
             raw = memoryview(ids.astype("<u4").tobytes())
-            decoded = codec(path, pattern).decode(ids, edge)
+            decoded = held.decode(ids, edge)
             bounds = (4 * edge).tolist()
             return [np.diff(edge), [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(bounds, bounds[1:])], [hashlib.sha256(x).hexdigest() for x in decoded]]
 
