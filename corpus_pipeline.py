@@ -49,9 +49,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 
+#: Words that a worker remembers in the last stage: fewer than by default, as the stages before leave executors less memory.
+REMEMBERED_WORDS = 100_000
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``, the ids decoded again for the last."""
-    return bpe.digests(docs, queries.RANKS, public_tokenizers.PATTERN, keep=["doc_id"])
+    return bpe.digests(docs, queries.RANKS, public_tokenizers.PATTERN, keep=["doc_id"], remembered=REMEMBERED_WORDS)
 
 
 STAGES = [
