@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_duplicates, quality_model, quality_rules, secrets, sharding, token_counts, toxicity, url_filters
+from . import bpe, decontaminate, near_duplicates, neighbours, quality_model, quality_rules, secrets, sharding, token_counts, toxicity, url_filters, vector_codes
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -70,10 +70,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neighbours.numbered(read(spark, sf_dir, "embeddings"))
+    return neighbours.search(rows.filter("id % 50 = 0"), neighbours.index(rows), k=5, factor=1.0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_quality_rules, op3_hilbert_sharding, op4_secret_scans, op5_url_filters,
         op6_byte_bpe, op7_decontaminate, op8_minhash, op9_token_counts, op10_toxicity,
+        op12_neighbours, op13_vector_codes,
     )
 }

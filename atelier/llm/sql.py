@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secrets, sharding, url_filters
+from . import secrets, sharding, url_filters, vector_codes
 
 #: Words as op2 and op8 take them.
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -182,7 +182,38 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP12 = """
+WITH rows AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+valid AS (SELECT *, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) AS norm FROM rows
+  WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+scored AS (SELECT q.r, q.vec_id AS query_id, c.r AS s, c.vec_id,
+    list_reduce(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]), lambda a, b: a + b) / (q.norm * c.norm) AS score
+  FROM valid q JOIN valid c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, s) AS rank FROM scored) WHERE rank <= 5
+"""
+
+
+def op13() -> str:
+    """Rounds of assigning and moving, one after the other, by all distances."""
+    c = vector_codes
+    nearest = lambda books: f"(SELECT r, part, arg_min({{'d': d, 'entry': entry}}, {{'d': d, 'entry': entry}}) AS best FROM (SELECT p.r, p.part, e.entry, list_sum(list_transform(list_zip(p.v, e.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d FROM parts p JOIN {books} e USING (part)) GROUP BY ALL)"
+    rounds = [f"books_0 AS MATERIALIZED (SELECT part, r - 1 AS entry, v FROM parts WHERE r <= {c.ENTRIES})"]
+    for k in range(c.ROUNDS):
+        rounds.append(f"""given_{k} AS MATERIALIZED {nearest(f"books_{k}")},
+        means_{k} AS (SELECT part, entry, list(mean ORDER BY pos) AS v FROM (SELECT part, g.best.entry AS entry, pos, floor(sum(p.v[pos]) / count(*))::BIGINT AS mean
+            FROM given_{k} g JOIN parts p USING (r, part), unnest(range(1, len(p.v) + 1)) AS u(pos) GROUP BY ALL) GROUP BY ALL),
+        books_{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM books_{k} b LEFT JOIN means_{k} m USING (part, entry))""")
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor({c.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, part, list_slice(v, part * w + 1, (part + 1) * w) AS v FROM (SELECT r, v, len(v) // {c.PARTS} AS w, unnest(range({c.PARTS})) AS part FROM kept)),
+{", ".join(rounds)},
+last AS (SELECT r, string_agg(lower(lpad(to_hex(best.entry), 2, '0')), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM {nearest(f"books_{c.ROUNDS}")} GROUP BY r),
+numbers AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM books_{c.ROUNDS})
+SELECT vec_id, label, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN last USING (r), numbers"""
+
+
 ORACLES: dict[str, str] = {
     "op2_quality_rules": OP2, "op3_hilbert_sharding": op3(), "op4_secret_scans": op4(), "op5_url_filters": op5(),
-    "op7_decontaminate": OP7, "op8_minhash": OP8,
+    "op7_decontaminate": OP7, "op8_minhash": OP8, "op12_neighbours": OP12, "op13_vector_codes": op13(),
 }
