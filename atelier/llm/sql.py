@@ -7,6 +7,9 @@ from . import secrets, sharding, url_filters, vector_codes
 #: Words as op2 and op8 take them.
 SPACED = r"[^\x20\x09-\x0D]+"
 
+#: The table of the checksum that documents are chosen by.
+CRCS = "crcs AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
 OP2 = rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{SPACED}') AS w FROM docs)),
@@ -86,7 +89,7 @@ def op3() -> str:
     code = lambda c: f"('0x' || rpad(substr(hex(encode({c})), 1, 14), 14, '0'))::BIGINT"
     scale = lambda c: f"coalesce((({c} - min({c}) OVER ()) // greatest(1, ((max({c}) OVER () - min({c}) OVER () + 1) + {(1 << bits) - 1}) // {1 << bits}))::BIGINT, 0)"
     return f"""
-WITH crcs AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+WITH {CRCS},
 bytes AS (SELECT documents.*, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::BIGINT) AS b FROM documents),
 numbers AS (SELECT doc_id, len(b) + 1 AS size, xor(list_reduce(list_concat([4294967295], b), lambda c, k: xor(c >> 8, t[(xor(c, k) & 255) + 1])), 4294967295) AS crc,
     {code("source")} AS a0, {code("lang")} AS a1, floor(log2(n_chars + 1) * 1024)::BIGINT AS a2 FROM bytes, crcs),
@@ -182,6 +185,26 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+#: Pairs of equal six words in a text; stretches of them, one after the other, are what agrees a period apart.
+OP11 = rf"""
+WITH {CRCS},
+chosen AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, k: xor(c >> 8, t[(xor(c, k) & 255) + 1])), 4294967295) AS h FROM documents, crcs),
+places AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM chosen),
+texts AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) ELSE w END AS w FROM places),
+words AS MATERIALIZED (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM texts),
+sixes AS MATERIALIZED (SELECT doc_id, i, hash(list_slice(w, i + 1, i + 6)) AS h, list_slice(w, i + 1, i + 6) AS six FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 5, 0))) AS i FROM texts)),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM sixes x JOIN sixes y ON x.doc_id = y.doc_id AND x.h = y.h AND x.i < y.i WHERE x.six = y.six),
+stretches AS (SELECT doc_id, q, min(i) AS s, max(i) - min(i) + 6 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM pairs) GROUP BY doc_id, q, part),
+runs AS MATERIALIZED (SELECT doc_id, s, length, min(q) AS q FROM stretches WHERE length >= greatest(12, 2 * q) GROUP BY ALL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + length)) AS i FROM runs),
+left_over AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+lists AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS list, max({{'l': length, 's': -s, 'q': -q}}) AS best FROM runs GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, (-best.s)::BIGINT AS start, best.l::BIGINT AS length, (-best.q)::BIGINT AS period, (1000 * best.l // -best.q)::BIGINT AS exponent_milli,
+    sha256(coalesce(list, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256, len(w)::BIGINT AS n_words
+FROM texts LEFT JOIN lists USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
+
 OP12 = """
 WITH rows AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
 valid AS (SELECT *, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) AS norm FROM rows
@@ -215,5 +238,5 @@ SELECT vec_id, label, code, error, (sum(error) OVER (PARTITION BY label))::BIGIN
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": OP2, "op3_hilbert_sharding": op3(), "op4_secret_scans": op4(), "op5_url_filters": op5(),
-    "op7_decontaminate": OP7, "op8_minhash": OP8, "op12_neighbours": OP12, "op13_vector_codes": op13(),
+    "op7_decontaminate": OP7, "op8_minhash": OP8, "op11_periodic_runs": OP11, "op12_neighbours": OP12, "op13_vector_codes": op13(),
 }
