@@ -36,6 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one for files that are no tables; it goes as the tables of ``cut`` do."""
+    if (app := spark.sparkContext.applicationId) not in _OPEN:
+        _OPEN.add(app)
+        atexit.register(release, spark)
+    return f"{shared_dir(spark).rstrip('/')}/atelier/{app}/{name}-{uuid.uuid4().hex}"
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for steps that need partitions to stay as they are."""
     spark = df.sparkSession

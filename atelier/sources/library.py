@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,38 +9,49 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators.scratch import cut
+from . import tree
 
-#: Changed files that are opened by one reader.
-READ_AT_ONCE = 5000
 SIDECAR = "name string, source_url string, author string, license string, tags array<string>, notes string, updated_at long"
 
 
 def listing(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """``path, size, mtime`` of all files below a folder, without ignored and reserved ones; ``sha256`` too if
-    the content is asked for (else it is not read). Spark's reader passes over empty files and names that
-    begin with a dot or underscore."""
-    return _files(spark, spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root, content)
-
-
-def _files(spark: SparkSession, found: DataFrame, root: str, content: bool) -> DataFrame:
-    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
-    path = F.substring_index("path", top, -1)
-    out = found.select(path.alias("path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"), *([F.sha2("content", 256).alias("sha256")] if content else []))
-    return out.filter(~paths.is_ignored(F.col("path")) & ~paths.is_reserved(F.col("path")))
+    """``path, size, mtime`` of all files below a folder, empty and hidden ones as well, without ignored ones and reserved folders at the top; ``sha256`` too if
+    the content is asked for (else it is not read). A file that can't be read has no hash."""
+    files = tree.walk(spark, root).filter("kind = 'file'").select("path", "size", "mtime")
+    return tree.hashed(files, root) if content else files
 
 
 def rehashed(spark: SparkSession, root: str, index: DataFrame) -> DataFrame:
     """A listing with hashes, reading only files whose size or time differs from the index: the others
-    take the hash they have there. Sizes and times are compared first; the files that differ are then opened by their
-    paths, ``READ_AT_ONCE`` of them at a time, as a path list is all that a reader takes."""
-    now = listing(spark, root)
-    known = index.select("path", F.col("size").alias("_s"), F.col("mtime").alias("_m"), "sha256")
-    out = now.join(known, "path").filter("size = _s and mtime = _m").select("path", "size", "mtime", "sha256")
-    changed = cut(now.join(out.select("path"), "path", "left_anti").select("path")).toLocalIterator()
-    while some := [r["path"] for r in itertools.islice(changed, READ_AT_ONCE)]:
-        places = [root.rstrip("/") + "/" + re.sub(r"([{}*?\[\]\\])", r"\\\1", p) for p in some]  # no patterns
-        out = out.unionByName(cut(_files(spark, spark.read.format("binaryFile").load(places), root, True)))
-    return out
+    take the hash they have there. Changed files stay a table, shared out by size, and tasks open them. One that can't be
+    read keeps the row that it has in the index, or is left out if it is new there."""
+    known = index.select("path", F.col("size").alias("_s"), F.col("mtime").alias("_m"), F.col("sha256").alias("_h"))
+    now = cut(listing(spark, root).join(known, "path", "left"))
+    same = F.coalesce((F.col("size") == F.col("_s")) & (F.col("mtime") == F.col("_m")), F.lit(False))
+    kept = now.filter(same).select("path", "size", "mtime", F.col("_h").alias("sha256"))
+    read = tree.hashed(now.filter(~same), root)
+    got = lambda c, old: F.when(F.col("sha256").isNull(), F.col(old)).otherwise(F.col(c)).alias(c)
+    return kept.unionByName(read.select("path", got("size", "_s"), got("mtime", "_m"), got("sha256", "_h")).filter("sha256 is not null"))
+
+
+def present_hashes(index: DataFrame, root: str) -> DataFrame:
+    """``path, sha256`` of the files that the index has as present, all read anew whatever their size and time; null where one can't be."""
+    return tree.hashed(index.filter("missing_since is null").select("path", "size"), root).select("path", "sha256")
+
+
+def clutter(spark: SparkSession, root: str, known_hashes: DataFrame, sidecar: str = "pack.asset.json", derived: str | None = None) -> DataFrame:
+    """``path, kind, size`` of all that may go below a folder: what ``junk`` finds, and folders with nothing in them. A folder that holds but ignored files is not
+    empty; ``__MACOSX`` trees are one row each, with the bytes of all they hold. Derivatives lie in a folder of their own, ``derived``."""
+    found = tree.walk(spark, root, ignored=True)
+    if derived is not None:
+        found = found.unionByName(tree.walk(spark, derived).filter("kind = 'file'").withColumn("path", F.concat(F.lit("_derived/"), "path")))
+    found = cut(found)
+    files, folders = found.filter("kind = 'file'"), found.filter("kind = 'folder'")
+    mac = F.regexp_extract("path", r"(?i)^((?:.*?/)?__macosx)(?:/|$)", 1)
+    marked = junk(files.select("path", "size"), known_hashes, sidecar)
+    whole = found.filter((mac != "") & F.col("kind").isin("file", "folder")).groupBy(mac.alias("path")).agg(F.lit("macos").alias("kind"), F.sum("size").alias("size"))
+    empty = folders.filter((F.col("entries") == 0) & (mac == "")).select("path", F.lit("empty_folder").alias("kind"), F.lit(0).cast("long").alias("size"))
+    return marked.filter("kind <> 'macos'").unionByName(whole).unionByName(empty)
 
 
 def packs(files: DataFrame, sidecar: str = "pack.asset.json") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from atelier.plans import more, registry  # noqa: F401
+from atelier.plans import files, more, registry  # noqa: F401
 
 from .compare import database, rows_of_spark, rows_of_sql
 
