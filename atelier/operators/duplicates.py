@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+import itertools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, values
@@ -10,6 +13,8 @@ from .components import components
 from .scratch import cut
 
 NEAR_DISTANCE, PACK_JACCARD, LISTED = 5, 0.5, 500
+#: Unlike hashes that may share a key by chance.
+PER_KEY = 16
 
 
 def exact(assets: DataFrame) -> DataFrame:
@@ -30,50 +35,73 @@ def favoured(copies: DataFrame) -> DataFrame:
     return out.select("sha256", F.col("b.id").alias("keep_id"), F.col("b.score").cast("int").alias("score"))
 
 
-def bands(bits: int, distance: int) -> list[tuple[int, int]]:
-    """(shift, width) of distance + 1 bands: of two hashes within the distance, one band is equal."""
-    n = distance + 1
-    edges = [bits * k // n for k in range(n + 1)]
-    return [(low, high - low) for low, high in zip(edges, edges[1:])]
+def band_sets(n: int, distance: int, bits: int = 64) -> list[tuple[int, int]]:
+    """(bands, mask) of each key that hashes are posted under, so that any two within the distance share one. Hashes are cut into distance + r bands,
+    of which r are equal at least: a key is r of the bands. The more hashes (``n``), the larger r, so that some ``PER_KEY`` unlike hashes share a
+    key by chance whatever their number; at r = 5 a key has 30 bits."""
+    r = next((r for r in range(1, 5) if n <= PER_KEY << r * (bits // (distance + r))), 5)
+    edges = [bits * k // (distance + r) for k in range(distance + r + 1)]
+    mask = [(1 << high) - (1 << low) for low, high in zip(edges, edges[1:])]
+    return [(sum(1 << i for i in chosen), sum(mask[i] for i in chosen)) for chosen in itertools.combinations(range(len(mask)), r)]
+
+
+def hash_pairs(hashes: DataFrame, distance: int = NEAR_DISTANCE, bits: int = 64, sets: list[tuple[int, int]] | None = None) -> DataFrame:
+    """``x, y, dist`` of all pairs of hashes (column ``h``, each once) within the distance, each pair once: hashes meet on equal bands (none is
+    lost) and are then compared in full. Of the keys that two share, only that of their first equal bands gives the pair, so
+    pairs need not be made distinct."""
+    sets = sets or band_sets(hashes.count(), distance, bits)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    keys = F.array(*(F.struct(F.lit(chosen).alias("bands"), F.col("h").bitwiseAND(F.lit(signed(mask)).cast("long")).alias("v")) for chosen, mask in sets))
+    posted = hashes.select("h", F.inline(keys))
+    x, y = posted.alias("x"), posted.alias("y")
+    differ = F.col("x.h").bitwiseXOR(F.col("y.h"))
+    count = max(chosen for chosen, _ in sets).bit_length()
+    single = [functools.reduce(int.__and__, [mask for chosen, mask in sets if chosen >> i & 1]) for i in range(count)]  # of one band
+    equal = functools.reduce(lambda a, b: a + b, (F.when(differ.bitwiseAND(F.lit(signed(m)).cast("long")) == 0, 1 << i).otherwise(0) for i, m in enumerate(single)))
+    upto = functools.reduce(lambda c, k: c.when(F.col("x.bands") == k, (1 << k.bit_length()) - 1), (chosen for chosen, _ in sets), F)
+    dist = values.hamming(F.col("x.h"), F.col("y.h"))
+    met = x.join(y, (F.col("x.bands") == F.col("y.bands")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.h") < F.col("y.h")) & (dist <= distance))
+    return met.filter(equal.bitwiseAND(upto) == F.col("x.bands")).select(F.col("x.h").alias("x"), F.col("y.h").alias("y"), dist.alias("dist"))
 
 
 def near_pairs(hashed: DataFrame, distance: int = NEAR_DISTANCE, key: str = "id", bits: str = "phash") -> DataFrame:
-    """``a, b, dist`` of all pairs within a Hamming distance: rows meet on an equal band (none is lost)
-    and are then compared in full. Equal hashes are compared once: of each hash the least id stands
+    """``a, b, dist`` of all pairs within a Hamming distance. Equal hashes are compared once: of each hash the least id stands
     for all, and the others are its pairs at distance 0."""
     rows = hashed.select(F.col(key).alias("k"), F.col(bits).alias("h")).filter("h is not null")
-    first = rows.groupBy("h").agg(F.min("k").alias("k"))
+    first = cut(rows.groupBy("h").agg(F.min("k").alias("k")))
     same = rows.join(first.withColumnRenamed("k", "r"), "h").filter("k <> r").select(F.col("r").alias("a"), F.col("k").alias("b"), F.lit(0).alias("dist"))
-    split = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("h", low).bitwiseAND((1 << width) - 1).alias("v")) for i, (low, width) in enumerate(bands(64, distance))))
-    posted = first.select("k", "h", F.inline(split))
-    x, y = posted.alias("x"), posted.alias("y")
-    dist = values.hamming(F.col("x.h"), F.col("y.h"))
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.k") < F.col("y.k")) & (dist <= distance))
-    return met.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), dist.alias("dist")).distinct().unionByName(same)
+    named = hash_pairs(first.select("h"), distance).join(first.select(F.col("h").alias("x"), F.col("k").alias("_x")), "x").join(first.select(F.col("h").alias("y"), F.col("k").alias("_y")), "y")
+    return named.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "dist").unionByName(same)
+
+
+def spokesmen(nodes: DataFrame) -> DataFrame:
+    """Of the nodes (h, s, g, k) of each hash at most 25, so that for any two contents and any two groups: if some node
+    of the hash has neither of them, one of these has neither.
+
+    Three of one content and of different groups are enough for that content, as two groups at most are shunned; so are three of
+    one group. Of the rest any 25 will do: no five of them that differ in both would mean that four contents and four groups
+    at most, of three nodes each, cover them, which are 24."""
+    first = lambda rows, by, order, n: rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
+    content = first(nodes, ("h", "s"), ("g",), 3)
+    grouped = first(content.filter("g <> 0"), ("h", "g"), ("s",), 3).unionByName(content.filter("g = 0"))
+    return first(grouped, ("h",), ("s", "g"), 25)
 
 
 def near_links(images: DataFrame, distance: int = NEAR_DISTANCE) -> DataFrame:
-    """``a, b, dist`` of images (id, phash, sha256, group_id) that are near but no copies: of different content, not in
-    one group (group 0 or null is none), within the distance. Images of equal hash, content and group are
-    linked alike, and the least id stands for them. Those of equal hash are linked with the least of them, or,
-    where that is their copy or variant, with the others, so that a hash that very many images share costs no pair of each two."""
+    """``a, b, dist``: links that connect what near images connect. Images (id, phash, sha256, group_id) are near if they are of different content, not in
+    one group (group 0 or null is none), and within the distance. Those of equal hash, content and group are linked alike, and the least id stands for
+    them: a node. Each node is linked to the ``spokesmen`` of each near hash, and of its own, that it is near to.
+
+    That connects any near nodes x and y: some spokesman k of x's hash is near y; y is near both x and k, so a spokesman of y's hash is near both as well, and
+    x, that one, k and y are a way. Each hash pair with a near pair has a link, so distances are told as well. A hash of n nodes costs 25 n, not n x n."""
     rows = images.filter("phash is not null").select(F.col("id").alias("k"), F.col("phash").alias("h"), F.col("sha256").alias("s"), F.coalesce("group_id", F.lit(0)).alias("g"))
-    nodes = rows.groupBy("h", "s", "g").agg(F.min("k").alias("k"))
-    apart = lambda x, y: (F.col(f"{x}.s") != F.col(f"{y}.s")) & ((F.col(f"{x}.g") == 0) | (F.col(f"{x}.g") != F.col(f"{y}.g")))
-    split = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("h", low).bitwiseAND((1 << width) - 1).alias("v")) for i, (low, width) in enumerate(bands(64, distance))))
-    posted = nodes.select("*", F.inline(split))
-    x, y = posted.alias("x"), posted.alias("y")
-    dist = values.hamming(F.col("x.h"), F.col("y.h"))
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.h") < F.col("y.h")) & apart("x", "y") & (dist <= distance))
-    near = met.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), dist.alias("dist")).distinct()
-    hubs = nodes.groupBy("h").agg(F.min_by(F.struct("k", "s", "g"), "k").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    others = nodes.join(hubs, "h").filter("k <> hub.k")
-    lone = F.col("s") == F.col("hub.s")
-    lone = lone | ((F.col("g") != 0) & (F.col("g") == F.col("hub.g")))
-    equal = others.filter(~lone).select(F.col("hub.k").alias("a"), F.col("k").alias("b"), F.lit(0).alias("dist"))
-    x, y = others.filter(lone).select("h", "k", "s", "g").alias("x"), others.select("h", "k", "s", "g").alias("y")
-    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & apart("x", "y")).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.lit(0).alias("dist"))
-    return near.unionByName(equal).unionByName(rest)
+    nodes = cut(rows.groupBy("h", "s", "g").agg(F.min("k").alias("k")))
+    hashes = cut(nodes.select("h").distinct())
+    pairs = cut(hash_pairs(hashes, distance))
+    ways = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "dist")).unionByName(hashes.select(F.col("h").alias("x"), F.col("h").alias("y"), F.lit(0).alias("dist")))
+    far = ways.join(spokesmen(nodes).select(F.col("h").alias("y"), F.col("s").alias("_s"), F.col("g").alias("_g"), F.col("k").alias("b")), "y")
+    near = (F.col("s") != F.col("_s")) & ((F.col("g") == 0) | (F.col("g") != F.col("_g")))
+    return nodes.join(far, (F.col("h") == F.col("x")) & near).select(F.col("k").alias("a"), "b", "dist")
 
 
 def near_findings(images: DataFrame, distance: int = NEAR_DISTANCE) -> DataFrame:
@@ -99,16 +127,44 @@ def near_clusters(pairs: DataFrame) -> DataFrame:
 
 
 def pack_overlaps(held: DataFrame, least: float = PACK_JACCARD, pack: str = "pack_id", content: str = "sha256") -> DataFrame:
-    """``a, b, kind, shared, jaccard`` of packs that are identical, one in the other, or share at least
-    ``least`` of their union. Packs meet on contents they share; sets are never gathered."""
-    rows = held.select(F.col(pack).alias("p"), F.col(content).alias("c")).distinct()
-    sizes = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    x, y = rows.alias("x"), rows.alias("y")
-    met = x.join(y, (F.col("x.c") == F.col("y.c")) & (F.col("x.p") < F.col("y.p"))).groupBy(F.col("x.p").alias("a"), F.col("y.p").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    both = met.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    """``a, b, kind, shared, jaccard`` of packs that are identical, one in the other, or share at least ``least`` of their union.
+
+    Contents are ordered by how many packs hold them, the rarest first. Packs of alike size meet on their prefixes: of two that share o contents, the first
+    n - o + l of either share l. Packs of more unlike size can only be one in the other, and the small one asks by its l rarest contents, all of which the
+    large one holds. A content of very many packs comes last, so it brings packs together only if they have little else. ``l`` grows with a pack, so that packs
+    which share a few contents by chance are dropped by counting, before whole sets are compared. A prefix ends with all contents of its last
+    cell (a frequency and a part of a hash), so cells are counted, and no pack is sorted as a whole. Null contents count as none."""
+    rows = cut(held.select(F.col(pack).alias("p"), F.col(content).alias("c")).filter("c is not null").distinct())
+    rare = rows.groupBy("c").agg((F.count(F.lit(1)) * 4 + F.pmod(F.xxhash64("c"), F.lit(4))).alias("g"))
+    ranked = rows.join(rare, "c")
+    up = lambda x: F.ceil(x - 1e-9)
+    cells = ranked.groupBy("p", "g").agg(F.count(F.lit(1)).alias("k"))
+    by_pack = Window.partitionBy("p")
+    sized = cells.select("p", "g", F.sum("k").over(by_pack.orderBy("g")).alias("upto"), F.sum("k").over(by_pack).alias("n"))
+    n, shared = F.col("n"), {"low": up(F.col("n") * (2 * least / (1 + least))), "high": up(F.col("n") * least), "in": F.col("n")}
+    asks = {name: 1 + F.floor(o / 20) for name, o in shared.items()}
+    ends = [F.min(F.when(F.col("upto") >= n - o + asks[name], F.struct("g", "upto"))).alias(f"end_{name}") for name, o in shared.items()]
+    packs = sized.groupBy("p", "n").agg(*ends).select("p", "n", *(F.col(f"end_{name}.g").alias(f"{name}_g") for name in shared), F.col("end_in.upto").alias("in_n"), *(asks[name].alias(f"{name}_l") for name in ("low", "high")))
+    posted = cut(ranked.join(packs, "p"))
+    side = lambda name, part: posted.filter(F.col("g") <= F.col(f"{name}_g")).alias(part)
+    pair = (F.col("x.p").alias("a"), F.col("y.p").alias("b"))
+    smaller = F.struct("x.n", "x.p") < F.struct("y.n", "y.p")
+    alike = side("low", "x").join(side("high", "y"), (F.col("x.c") == F.col("y.c")) & smaller & (F.col("x.n") >= least * F.col("y.n")))
+    alike = alike.groupBy(*pair).agg(F.count(F.lit(1)).alias("k"), F.first(F.least("x.low_l", "y.high_l")).alias("l")).filter("k >= l")
+    unlike = side("in", "x").join(posted.alias("y"), (F.col("x.c") == F.col("y.c")) & (F.col("x.n") < least * F.col("y.n")))
+    unlike = unlike.groupBy(*pair).agg(F.count(F.lit(1)).alias("k"), F.first("x.in_n").alias("l")).filter("k = l")
+    met = cut(alike.select("a", "b").unionByName(unlike.select("a", "b")))
+    of_a = met.join(rows.select(F.col("p").alias("a"), "c"), "a")
+    both = of_a.join(rows.select(F.col("p").alias("b"), "c"), ["b", "c"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    sizes = packs.select("p", "n")
+    both = both.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
     jaccard = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    kind = F.when((F.col("shared") == F.col("na")) & (F.col("shared") == F.col("nb")), "identical").when(F.col("shared") == F.col("na"), "a_in_b").when(F.col("shared") == F.col("nb"), "b_in_a").when(jaccard >= least, "overlap")
-    return both.select("a", "b", kind.alias("kind"), "shared", F.round(jaccard, 6).alias("jaccard")).filter("kind is not null")
+    first = F.col("a") < F.col("b")
+    kind = (
+        F.when((F.col("shared") == F.col("na")) & (F.col("shared") == F.col("nb")), "identical").when(F.col("shared") == F.col("na"), F.when(first, "a_in_b").otherwise("b_in_a"))
+        .when(F.col("shared") == F.col("nb"), F.when(first, "b_in_a").otherwise("a_in_b")).when(jaccard >= least, "overlap")
+    )
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), kind.alias("kind"), "shared", F.round(jaccard, 6).alias("jaccard")).filter("kind is not null")
 
 
 def transferred_tags(pack_tags: DataFrame, source: DataFrame) -> DataFrame:
@@ -117,11 +173,6 @@ def transferred_tags(pack_tags: DataFrame, source: DataFrame) -> DataFrame:
     return moved.join(pack_tags.select("pack_id", "tag"), ["pack_id", "tag"], "left_anti")
 
 
-def filled(target: dict, source: dict) -> dict:
-    """Provenance of a pack with its gaps filled from another."""
-    return {k: source.get(k) if target.get(k) in (None, "") else target[k] for k in {*target, *source}}
-
-
 def removal_plan(copies: DataFrame, targets: DataFrame, used: DataFrame) -> DataFrame:
     """``id, decision`` of files marked for removal: blocked while a project uses them, and when all
     remaining copies of a content are marked, the first by path stays."""

@@ -9,7 +9,7 @@ from ..functions import paths, values
 from ..operators import activity, duplicates, facets, features, groups, listing, provenance, reconcile, records, search, tags
 from ..sources import library
 from .catalogue import T0, Catalogue
-from .registry import _PIXELS, _held, _pixels, query
+from .registry import _PIXELS, ORACLES, _held, _pixels, query
 
 NAMES = ["hero.png", "README.md", ".gitkeep", "a.ZIP", "noext", "Pack.tar.GZ", "x.glb", "y.mtl", "Thumbs.db", "z.import", "LICENSE", "q.wav"]
 FOLDS = ["PNG", "2 Objects", "fbx(unity)", "Objects", "__MACOSX", "01_intro", "2d", "raw", "PSD_parts", "@eaDir"]
@@ -280,13 +280,12 @@ def dup_exact_findings(c: Catalogue) -> DataFrame:
 
 
 @query(
-    """WITH there AS (SELECT * FROM copies WHERE missing_since IS NULL), found AS (SELECT (count(*) - 1) * max(size) AS b FROM there GROUP BY sha256 HAVING count(*) > 1), packs_ AS (SELECT id % 5 AS b FROM packs), e AS (SELECT count(*) AS n, sum(b)::BIGINT AS b FROM found), p AS (SELECT count(*) AS n, sum(b)::BIGINT AS b FROM packs_)
-    SELECT (SELECT count(*) FROM there) AS assets, e.n AS exact_findings, coalesce(e.b, 0) AS exact_bytes, (SELECT count(*) FROM packs_ WHERE b = 0) AS near_findings, p.n AS pack_findings, coalesce(p.b, 0) AS pack_bytes, greatest(coalesce(e.b, 0), coalesce(p.b, 0)) AS reclaimable FROM e, p""",
-    "copies", "packs",
+    f"""SELECT (SELECT count(*) FROM documents WHERE doc_id % 31 <> 0) AS assets, e.n AS exact_findings, coalesce(e.b, 0) AS exact_bytes, n.n AS near_findings, p.n AS pack_findings, coalesce(p.b, 0) AS pack_bytes, greatest(coalesce(e.b, 0), coalesce(p.b, 0)) AS reclaimable
+    FROM (SELECT count(*) AS n, sum(bytes)::BIGINT AS b FROM ({ORACLES["dup_exact_findings"]})) e, (SELECT count(*) AS n FROM ({ORACLES["dup_near_clusters"]})) n, (SELECT count(*) AS n, sum(bytes)::BIGINT AS b FROM ({ORACLES["pack_findings"]})) p"""
 )
 def dup_report(c: Catalogue) -> DataFrame:
-    packs = c.packs().select((F.col("id") % 5).alias("bytes"))
-    return duplicates.report(c.copies(), duplicates.exact_findings(c.copies()), packs.filter("bytes = 0"), packs)
+    """Exact, near and pack findings, each by its own operator over its whole table."""
+    return duplicates.report(c.copies(), duplicates.exact_findings(c.copies()), duplicates.near_findings(c.hashes()), _findings(_held(c)))
 
 
 @query(

@@ -151,7 +151,6 @@ def test_packs_and_transfer(spark):
     held = spark.createDataFrame([(1, c) for c in "abcd"] + [(2, c) for c in "abcd"] + [(3, c) for c in "ab"] + [(4, c) for c in "abcxy"] + [(5, c) for c in "qrsa"], "pack_id int, sha256 string")
     got = {(r["a"], r["b"]): (r["kind"], r["shared"]) for r in duplicates.pack_overlaps(held).collect()}
     assert got == {(1, 2): ("identical", 4), (1, 3): ("b_in_a", 2), (2, 3): ("b_in_a", 2), (1, 4): ("overlap", 3), (2, 4): ("overlap", 3), (3, 4): ("a_in_b", 2)}
-    assert duplicates.filled({"author": "", "url": "u"}, {"author": "x", "url": "v"}) == {"author": "x", "url": "u"}
 
 
 def test_removal_keeps_the_last_copy(spark):
