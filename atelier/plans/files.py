@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reconcile
 from ..operators.scratch import cut, place
-from ..sources import library, tree
+from ..sources import library, tree, versions
 from .catalogue import Catalogue
 from .registry import query
 
@@ -76,3 +76,29 @@ def tree_verified(c: Catalogue) -> DataFrame:
 def tree_clutter(c: Catalogue) -> DataFrame:
     root, _ = _tree(c)
     return library.clutter(c.spark, root, c.assets().select("sha256"))
+
+
+@query(
+    """WITH old_tags AS (SELECT * FROM asset_tags), present AS (SELECT id, kind, size FROM assets WHERE missing_since IS NULL),
+    counts AS (SELECT asset_id AS id, count(*) AS n FROM asset_tags WHERE asset_id IN (SELECT id FROM present) GROUP BY asset_id)
+    SELECT 2 AS version, kind, count(*) AS assets, sum(n)::BIGINT AS tags, sum(size)::BIGINT AS bytes FROM present JOIN counts USING (id) GROUP BY kind
+    UNION ALL SELECT 1, kind, count(*), sum(n)::BIGINT, sum(size)::BIGINT FROM assets JOIN (SELECT asset_id AS id, count(*) AS n FROM old_tags GROUP BY asset_id) USING (id) GROUP BY kind""",
+    "assets", "asset_tags",
+)
+def index_versions(c: Catalogue) -> DataFrame:
+    """Assets and their tags, committed as one, then again without missing assets and their tags; both versions can be read."""
+    root = place(c.spark, "index")
+    first = versions.commit(versions.snapshot(c.spark, root), {"assets": c.assets(), "asset_tags": c.asset_tags()})
+
+    def present(base: versions.Snapshot) -> dict[str, DataFrame]:
+        kept = base.table("assets").filter("missing_since is null")
+        return {"assets": kept, "asset_tags": base.table("asset_tags").join(kept.select(F.col("id").alias("asset_id")), "asset_id", "left_semi")}
+
+    second = versions.update(c.spark, root, present)
+    return _by_kind(second).unionByName(_by_kind(versions.snapshot(c.spark, root, first.version)))
+
+
+def _by_kind(version: versions.Snapshot) -> DataFrame:
+    tags = version.table("asset_tags").groupBy(F.col("asset_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    found = version.table("assets").join(tags, "id").groupBy("kind").agg(F.count(F.lit(1)).alias("assets"), F.sum("n").alias("tags"), F.sum("size").alias("bytes"))
+    return found.select(F.lit(version.version).alias("version"), "kind", "assets", "tags", "bytes")
