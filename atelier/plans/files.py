@@ -1,13 +1,15 @@
-"""Queries over trees of files. The files are documents that Spark writes below the shared folder, each query its own tree."""
+"""Queries over what Spark writes below the shared folder: trees of files made of documents, versions of tables, the output of streams."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import values
 from ..operators import reconcile
 from ..operators.scratch import cut, place
 from ..sources import library, tree, versions
+from ..streaming import watch
 from .catalogue import Catalogue
 from .registry import query
 
@@ -98,6 +100,79 @@ def index_versions(c: Catalogue) -> DataFrame:
     return _by_kind(second).unionByName(_by_kind(versions.snapshot(c.spark, root, first.version)))
 
 
+# ---- streams, run over the whole table to its end -----------------------------------------------
+
+
+def _streamed(c: Catalogue, table: str, make) -> DataFrame:
+    """What a stream over a table has put out when it has read all of it."""
+    folder = place(c.spark, "stream")
+    watch.configure(c.spark)
+    source = c.spark.readStream.schema(c.table(table).schema).parquet(f"{c.folder}/{table}[.]parquet")  # a pattern, as a table may be one file
+    query = make(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return c.spark.read.parquet(f"{folder}/out")
+
+
+_TOUCHES = "touches AS (SELECT user_id::VARCHAR AS key, epoch(date_trunc('second', ts))::BIGINT AS sec, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('second', ts), event_id) AS k FROM events{})"
+
+
+def _fold(start: str, step: str, out: str, rows: str = "") -> str:
+    """SQL that goes through each key's rows in order of time, a step a row."""
+    return f"""WITH RECURSIVE {_TOUCHES.format(rows)}, turns AS (SELECT *, {start} FROM touches WHERE k = 1 UNION ALL SELECT * FROM (SELECT t.*, {step} FROM turns s JOIN touches t ON t.key = s.key AND t.k = s.k + 1)) SELECT {out} FROM turns"""
+
+
+@query(
+    _fold(
+        "sec AS start, 1 AS n", "CASE WHEN t.sec >= s.start + 86400 THEN t.sec ELSE s.start END AS start, CASE WHEN t.sec >= s.start + 86400 THEN 1 ELSE s.n + 1 END AS n", "key, sec AS \"at\", n > 2 AS blocked", " WHERE event_type <> 'click'",
+    )
+)
+def stream_limits(c: Catalogue) -> DataFrame:
+    """A day begins with a user's first failure, not with the clock; the third in it and later ones are blocked."""
+    failures = lambda events: events.filter("event_type <> 'click'").select(F.col("user_id").cast("string").alias("key"), values.epoch("ts").alias("at"))
+    return _streamed(c, "events", lambda events: watch.limits(failures(events), 2, 86_400))
+
+
+_OPEN, _END = "t.sec >= s.start + 518400", "(CASE WHEN t.sec >= s.start + 518400 THEN t.sec + 86400 ELSE s.finish END)"
+
+
+@query(
+    _fold(
+        "sec AS start, true AS valid, sec + 86400 AS finish",
+        f"CASE WHEN {_OPEN} THEN t.sec ELSE s.start END AS start, t.sec < {_END} AS valid, CASE WHEN t.sec < {_END} AND {_END} - t.sec < 43200 THEN least(t.sec + 86400, CASE WHEN {_OPEN} THEN t.sec ELSE s.start END + 259200) ELSE {_END} END AS finish",
+        "key, sec AS \"at\", valid, finish AS expires",
+    )
+)
+def stream_sessions(c: Catalogue) -> DataFrame:
+    """Sessions of a day's idle time that slide when less than half of it is left, three days at most; the key is free after six."""
+    touches = lambda events: events.select(F.col("user_id").cast("string").alias("key"), values.epoch("ts").alias("at"))
+    return _streamed(c, "events", lambda events: watch.slid_sessions(touches(events), 86_400, 259_200))
+
+
+@query(
+    f"SELECT job, at_ms, done FROM ({_fold('true AS told, sec AS last', 't.sec - s.last >= 21600 OR t.sec % 50 = 0 AS told, CASE WHEN t.sec - s.last >= 21600 OR t.sec % 50 = 0 THEN t.sec ELSE s.last END AS last', 'key AS job, sec * 1000 AS at_ms, CASE WHEN sec % 50 = 0 THEN 10 ELSE 1 END AS done, told')}) WHERE told"
+)
+def stream_throttled(c: Catalogue) -> DataFrame:
+    """Users as jobs that tell of their progress: six hours apart at least, and the end always."""
+    at = values.epoch("ts")
+    progress = lambda events: events.select(F.col("user_id").cast("string").alias("job"), (at * 1000).alias("at_ms"), F.when(at % 50 == 0, 10).otherwise(1).cast("long").alias("done"), F.lit(10).cast("long").alias("total"))
+    return _streamed(c, "events", lambda events: watch.throttled(progress(events), 6 * 3_600_000)).select("job", "at_ms", "done")
+
+
+@query(
+    """WITH polls AS (SELECT row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS poll, user_id::VARCHAR AS name, (event_id % 3)::BIGINT AS size FROM events),
+    marked AS (SELECT *, size = lag(size) OVER w AS alike, size IS DISTINCT FROM lag(size) OVER w AS fresh FROM polls WINDOW w AS (PARTITION BY name ORDER BY poll)),
+    runs AS (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY name ORDER BY poll) AS r FROM marked)
+    SELECT name, size, count(*) AS times FROM (SELECT DISTINCT name, size, r FROM runs WHERE alike) GROUP BY name, size"""
+)
+def stream_settled(c: Catalogue) -> DataFrame:
+    """Users as files, their events as polls that find one of three sizes: each stretch of equal sizes is told of once."""
+    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    polls = cut(c.table("events").select(turn.cast("long").alias("poll"), F.col("user_id").cast("string").alias("name"), (F.col("event_id") % 3).alias("size"), F.lit(1).cast("long").alias("mtime")))
+    folder = place(c.spark, "polls")
+    polls.write.parquet(f"{folder}/polls.parquet")
+    return _streamed(Catalogue(c.spark, folder), "polls", watch.settled).groupBy("name", "size").agg(F.count(F.lit(1)).alias("times"))
+
+
 def _by_kind(version: versions.Snapshot) -> DataFrame:
     tags = version.table("asset_tags").groupBy(F.col("asset_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     found = version.table("assets").join(tags, "id").groupBy("kind").agg(F.count(F.lit(1)).alias("assets"), F.sum("n").alias("tags"), F.sum("size").alias("bytes"))

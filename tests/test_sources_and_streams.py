@@ -61,6 +61,7 @@ def test_junk(spark):
 
 
 def run(spark, tmp_path, rows, schema, make, name):
+    watch.configure(spark)
     source = tmp_path / "in"
     for i, part in enumerate(rows):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
