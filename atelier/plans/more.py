@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, values
-from ..operators import activity, duplicates, facets, features, groups, listing, provenance, reconcile, records, search, tags
+from ..operators import activity, duplicates, facets, features, groups, listing, provenance, reconcile, records, removal, search, tags
 from ..sources import library
 from .catalogue import T0, Catalogue
 from .registry import _PIXELS, ORACLES, _held, _pixels, query
@@ -288,6 +288,34 @@ def dup_report(c: Catalogue) -> DataFrame:
     return duplicates.report(c.copies(), duplicates.exact_findings(c.copies()), duplicates.near_findings(c.hashes()), _findings(_held(c)))
 
 
+@query(
+    """RECURSIVE WITH c AS (SELECT id, path, sha256, size FROM copies WHERE missing_since IS NULL), folders AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS path FROM c),
+    targets AS (SELECT path AS t, false AS is_folder FROM c WHERE id % 3 = 0 UNION ALL SELECT path, true FROM folders WHERE NOT starts_with(path, 'raw/')), held AS (SELECT t, c.* FROM targets JOIN c ON c.path = t OR starts_with(c.path, t || '/')),
+    sizes AS (SELECT t, sum(size)::BIGINT AS bytes, count(*) AS files FROM held GROUP BY t), blocked AS (SELECT t, string_agg(DISTINCT 'p' || (id % 2), ', ' ORDER BY 'p' || (id % 2)) AS projects FROM held WHERE id % 101 = 0 GROUP BY t),
+    cover AS (SELECT t, sha256, count(*) AS n FROM held WHERE t NOT IN (SELECT t FROM blocked) GROUP BY ALL), every AS (SELECT sha256, count(*) AS n FROM c GROUP BY sha256),
+    base AS (SELECT sha256, any_value(every.n) - sum(cover.n) AS stay FROM cover JOIN every USING (sha256) GROUP BY sha256 HAVING any_value(every.n) < 1 + sum(cover.n)), critical AS (SELECT cover.*, stay FROM cover JOIN base USING (sha256)),
+    ranked AS (SELECT t, row_number() OVER (ORDER BY t) AS i FROM (SELECT DISTINCT t FROM critical)),
+    turns(i, refused) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL
+        SELECT i + 1, CASE WHEN bool_or(now < 1) THEN list_append(any_value(refused), any_value(t)) ELSE any_value(refused) END FROM (
+            SELECT turns.i, any_value(turns.refused) AS refused, a.t, a.sha256, any_value(a.stay) + coalesce(sum(d.n) FILTER (WHERE list_contains(turns.refused, d.t)), 0) AS now
+            FROM turns JOIN ranked o ON o.i = turns.i + 1 JOIN critical a ON a.t = o.t JOIN critical d ON d.sha256 = a.sha256 GROUP BY turns.i, a.t, a.sha256) GROUP BY i),
+    last_ AS (SELECT unnest(arg_max(refused, i)) AS t FROM turns)
+    SELECT t AS path, is_folder, bytes, files, CASE WHEN projects IS NOT NULL OR l.t IS NOT NULL THEN 'refuse' ELSE 'do' END AS decision, CASE WHEN projects IS NOT NULL THEN 'in use by ' || projects WHEN l.t IS NOT NULL THEN 'the last copy of its content' END AS reason
+    FROM targets JOIN sizes USING (t) LEFT JOIN blocked USING (t) LEFT JOIN last_ l USING (t)""",
+    "copies",
+)
+def removal_of_folders(c: Catalogue) -> DataFrame:
+    """A third of all files and the folders that are not raw, marked at once: uses block, and each content keeps a copy."""
+    assets = c.copies().filter("missing_since is null").select("id", "path", "sha256", "size")
+    folders = assets.select(paths.parent_dir(F.col("path")).alias("path")).distinct()
+    entry = lambda t, kind, size: t.select(F.lit("library").alias("root"), "path", F.lit(kind).alias("kind"), size.cast("long").alias("size"))
+    targets = assets.filter("id % 3 = 0").select("path").unionByName(folders.filter(~F.col("path").startswith("raw/")))
+    targets = targets.select(F.lit("library").alias("root"), "path", F.lit("trash").alias("action"), F.lit("").alias("keep_path"))
+    uses = assets.filter("id % 101 = 0").select(F.col("id").alias("asset_id"), F.concat(F.lit("p"), F.col("id") % 2).alias("project"))
+    made = removal.plan(targets, entry(assets, "file", F.col("size")).unionByName(entry(folders, "folder", F.lit(0))), assets, uses)
+    return made.select("path", "is_folder", "bytes", "files", "decision", "reason")
+
+
 @query(
     """WITH moves AS (SELECT id AS from_pack, id + 1 AS to_pack FROM packs WHERE id % 2 = 0), tagged AS (SELECT DISTINCT a.id, a.pack_id, a.sha256 FROM assets a JOIN asset_tags t ON t.asset_id = a.id WHERE t.source = 'manual')
     SELECT from_pack, to_pack, count(*) AS n FROM tagged JOIN moves ON pack_id = from_pack WHERE NOT EXISTS (SELECT 1 FROM assets x WHERE x.pack_id = to_pack AND x.sha256 = tagged.sha256) GROUP BY ALL""",
