@@ -337,3 +337,15 @@ def test_sparse_sites_shrink_more(spark):
     table = spark.createDataFrame(rows, "host string, path string, evidence double")
     got = {r["host"]: r["path_posterior"] for r in quality_model.site_posteriors(table, 0.8).collect()}
     assert got["big"] < got["small"] < got["good"]
+
+
+def test_token_counts_of_very_long_texts(spark, encoding):
+    """Millions of blanks, newlines, letters and unspaced script; where the library can split the text itself, it says the same."""
+    n, rng = 5_000_000, random.Random(4)
+    blanks = lambda k: len(encoding._encode_single_piece(b" " * k))
+    letters, script = "".join(rng.choices("abcdefghij", k=n)), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(1_000_000))
+    short = "a" + " " * 12_000 + "b \n" + "\n" * 11_000 + " don't 中　 c" + "\t" * 10_001
+    texts = ["x" + " " * n + "y", " " * n, "\n" * n, letters, script, short, short.replace("\n", " ")]
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.lengths(docs(spark, texts), RANKS, PATTERN).collect()}
+    assert got[0] == 1 + blanks(n - 1) + len(encoding.encode_ordinary(" y")) and got[1] == blanks(n) and got[2] == len(encoding._encode_single_piece(b"\n" * n))
+    assert [got[i] for i in range(3, 7)] == [len(encoding.encode_ordinary(t)) for t in texts[3:]]
