@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..operators import reconcile
+from ..operators import reconcile, search, textindex
 from ..operators.scratch import cut, place
 from ..sources import library, tree, versions
 from ..streaming import watch
 from .catalogue import Catalogue
-from .registry import query
+from .registry import ORACLES, PLAIN_TEXT, query
 
 #: Where each document lies, and what it is called: hidden files, system files, reserved and ignored folders among them.
 _PATH = """CASE WHEN doc_id % 41 = 0 THEN '_trash/' WHEN doc_id % 37 = 0 THEN '__MACOSX/' WHEN doc_id % 31 = 0 THEN 'a/.git/' ELSE 'd' || (doc_id % 7) || '/' || lang || '/' END
@@ -100,6 +100,42 @@ def index_versions(c: Catalogue) -> DataFrame:
     return _by_kind(second).unionByName(_by_kind(versions.snapshot(c.spark, root, first.version)))
 
 
+# ---- a search index, built, changed and asked ---------------------------------------------------
+
+_NOW = "now AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'The and at last' WHEN doc_id % 7 = 0 THEN reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0)"
+
+
+def _index(c: Catalogue) -> str:
+    root = place(c.spark, "words")
+    textindex.build(c.spark, root, c.table("documents").select("doc_id", "text"), "doc_id", ["text"])
+    return root
+
+
+@query(ORACLES["fts_prefix"])
+def fts_index_prefix(c: Catalogue) -> DataFrame:
+    where = textindex.opened(versions.snapshot(c.spark, _index(c))).condition("The and at", prefix=True)
+    return search.matching(c.table("documents").select("doc_id"), where, "doc_id")
+
+
+@query(ORACLES["fts_phrase"])
+def fts_index_phrase(c: Catalogue) -> DataFrame:
+    where = textindex.opened(versions.snapshot(c.spark, _index(c))).condition("En laleenéelle la")
+    return search.matching(c.table("documents").select("doc_id"), where, "doc_id")
+
+
+@query(f"WITH {_NOW} SELECT doc_id FROM now WHERE contains({PLAIN_TEXT.format('text')}, ' the and at') AND NOT contains({PLAIN_TEXT.format('text')}, ' last ')")
+def fts_index_refreshed(c: Catalogue) -> DataFrame:
+    """Some texts change, twice for a few, some documents go; then all is made one table."""
+    root, key = _index(c), F.col("doc_id")
+    docs = c.table("documents").select("doc_id", "text")
+    now = docs.filter(key % 11 != 0).withColumn("text", F.when(key % 5 == 0, "The and at last").when(key % 7 == 0, F.reverse("text")).otherwise(F.col("text")))
+    none = docs.filter("false")
+    textindex.refresh(c.spark, root, docs.filter(key % 5 == 0).withColumn("text", F.lit("the and at first")), none, "doc_id", ["text"])
+    textindex.refresh(c.spark, root, now.filter((key % 5 == 0) | (key % 7 == 0)), docs.filter(key % 11 == 0), "doc_id", ["text"])
+    index = textindex.opened(textindex.compact(c.spark, root))
+    return search.matching(now.select("doc_id"), index.condition("the and at", prefix=True) & ~index.condition("last"), "doc_id")
+
+
 # ---- streams, run over the whole table to its end -----------------------------------------------
 
 
