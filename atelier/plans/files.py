@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..operators import reconcile, search, textindex
+from ..operators import features, reconcile, resample, search, textindex
 from ..operators.scratch import cut, place
-from ..sources import library, tree, versions
+from ..sources import library, media, tree, versions
 from ..streaming import watch
 from .catalogue import Catalogue
-from .registry import ORACLES, PLAIN_TEXT, query
+from .registry import _PIXELS, ORACLES, PLAIN_TEXT, _pixels, query
 
 #: Where each document lies, and what it is called: hidden files, system files, reserved and ignored folders among them.
 _PATH = """CASE WHEN doc_id % 41 = 0 THEN '_trash/' WHEN doc_id % 37 = 0 THEN '__MACOSX/' WHEN doc_id % 31 = 0 THEN 'a/.git/' ELSE 'd' || (doc_id % 7) || '/' || lang || '/' END
@@ -100,6 +100,46 @@ def index_versions(c: Catalogue) -> DataFrame:
     return _by_kind(second).unionByName(_by_kind(versions.snapshot(c.spark, root, first.version)))
 
 
+# ---- models and images ----------------------------------------------------------------------------
+
+
+@query("SELECT 'm' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.gltf' ELSE '.glb' END AS name, p_size::BIGINT AS vert_count, (p_partkey % 300 // 3)::BIGINT AS tri_count, 2 AS material_count, p_size / 2.0::DOUBLE AS bbox_y FROM part WHERE p_partkey % 5 <> 1 OR p_partkey % 3 = 0")
+def models_in_containers(c: Catalogue) -> DataFrame:
+    """Parts as models: two thirds in containers, some of which are cut short and have no rows."""
+    key, root = F.col("p_partkey"), place(c.spark, "models")
+    text = F.format_string(
+        '{"accessors":[{"count":%d,"type":"VEC3","min":[0,0,0],"max":[1,%s,3]},{"count":%d}],"materials":[{"name":"a"},{"name":"é"}],"meshes":[{"primitives":[{"attributes":{"POSITION":0},"indices":1}]}]}',
+        F.col("p_size"), (F.col("p_size") / 2).cast("string"), key % 300,
+    )
+    raw = F.encode(text, "utf-8")
+    number = lambda n: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(n.cast("long")), 8, "0"), at, 2) for at in (7, 5, 3, 1))))
+    whole = F.concat(F.lit(b"glTF"), number(F.lit(2)), number(F.length(raw) + 20), number(F.length(raw)), F.lit(b"JSON"), raw)
+    plain = key % 3 == 0
+    content = F.when(plain, raw).when(key % 5 == 1, F.call_function("substring", whole, F.lit(1), F.length(whole) - 3)).otherwise(whole)
+    tree.written(c.table("part").select(F.concat(F.lit("m"), key, F.when(plain, ".gltf").otherwise(".glb")).alias("path"), content.alias("content")), root).agg(F.sum("size")).first()
+    read = features.models(media.gltf_texts(c.spark, root).filter("error is null"))
+    return read.select(F.substring_index("id", "/", -1).alias("name"), "vert_count", "tri_count", "material_count", "bbox_y")
+
+
+def _weights(name: str, to: int) -> str:
+    """SQL of the filter's weights from 8 pixels to ``to``."""
+    reach = max(1.0, 8 / to)
+    t = f"abs((cell + 0.5) * {8 / to!r} - 0.5 - k) / {reach!r}"
+    return f"""{name} AS (SELECT cell, k, w / sum(w) OVER (PARTITION BY cell) AS w FROM (SELECT cell, k, CASE WHEN t < 1 THEN (1.5 * t - 2.5) * t * t + 1 WHEN t < 2 THEN ((-0.5 * t + 2.5) * t - 4) * t + 2 ELSE 0 END AS w
+        FROM (SELECT cell, k, ({t})::DOUBLE AS t FROM range({to}) AS a(cell), range(8) AS b(k))) WHERE w <> 0)"""
+
+
+@query(
+    f"""WITH {_PIXELS}, {_weights("wx", 9)}, {_weights("wy", 8)}, deep AS (SELECT img, x, y, {", ".join(f"({c} * 257 * a // 255) / 65535.0::DOUBLE AS {c}" for c in "rgb")}, a * 257 / 65535.0::DOUBLE AS a FROM pixels),
+    across AS (SELECT img, y, cell AS cx, {", ".join(f"sum({c} * w) AS {c}" for c in "rgba")} FROM deep JOIN wx ON x = k GROUP BY ALL), down AS (SELECT img, cx, cell AS cy, {", ".join(f"sum({c} * w) AS {c}" for c in "rgba")} FROM across JOIN wy ON y = k GROUP BY ALL),
+    bytes AS (SELECT img, cx, cy, {", ".join(f"floor(least(greatest(floor(65535 * least({c}, a) + 0.5), 0), 65535) / 256)::BIGINT AS {c}" for c in "rgb")} FROM down),
+    grey AS (SELECT img, cx, cy, (299 * 257 * r + 587 * 257 * g + 114 * 257 * b) // 1000 AS v FROM bytes), turns AS (SELECT img, cx, cy, v > lead(v) OVER (PARTITION BY img, cy ORDER BY cx) AS bit FROM grey)
+    SELECT img, lpad(lower(to_hex((sum(CASE WHEN bit THEN (1::HUGEINT << (63 - cy * 8 - cx)::INTEGER) ELSE 0 END))::UBIGINT)), 16, '0') AS phash FROM turns WHERE cx < 8 GROUP BY img"""
+)
+def image_hash_cubic(c: Catalogue) -> DataFrame:
+    return resample.difference_hash(_pixels(c)).select("img", F.lower(F.lpad(F.hex("phash"), 16, "0")).alias("phash"))
+
+
 # ---- a search index, built, changed and asked ---------------------------------------------------
 
 _NOW = "now AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'The and at last' WHEN doc_id % 7 = 0 THEN reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0)"

@@ -9,11 +9,28 @@ import zipfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SAMPLES = "clip string, i long, v double, rate int"
 ENTRIES = "archive string, name string, size long, packed long, error string"
 
 
+def gltf_texts(spark: SparkSession, root: str) -> DataFrame:
+    """``id, text, error`` of glTF models: the JSON of ``.gltf`` files and of the first chunk of ``.glb`` containers, for ``features.models``. A container
+    that is none, of another version than 2 or cut short has an error and no text."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gl{tf,b}").load(root)
+    c = F.col("content")
+    word = lambda at: F.conv(F.concat(*(F.hex(F.substring(c, at + k, 1)) for k in (4, 3, 2, 1))), 16, 10).cast("long")  # noqa: E731  little-endian, from byte ``at``
+    size = word(12)
+    error = (
+        F.when(F.length(c) < 20, "cut short").when(F.substring(c, 1, 4) != F.lit(b"glTF"), "no glTF container").when(word(4) != 2, "another version")
+        .when(F.substring(c, 17, 4) != F.lit(b"JSON"), "no JSON chunk").when((F.length(c) < word(8)) | (F.length(c) < size + 20), "cut short")
+    )
+    error = F.when(F.lower("path").endswith(".glb"), error)
+    text = F.when(F.lower("path").endswith(".glb"), F.decode(F.call_function("substring", c, F.lit(21), size.cast("int")), "utf-8")).otherwise(F.decode(c, "utf-8"))
+    return found.select(F.col("path").alias("id"), F.when(error.isNull(), text).alias("text"), error.alias("error"))
+
+
 def wav_samples(spark: SparkSession, root: str) -> DataFrame:
     """``clip, i, v, rate``: the mean of the channels of each PCM file, from -1 to 1. Files that are no
     such sound have no rows."""
