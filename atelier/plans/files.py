@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators import features, reconcile, resample, search, textindex
 from ..operators.scratch import cut, place
-from ..sources import library, media, tree, versions
+from ..sources import library, media, sprites, tree, versions
 from ..streaming import watch
 from .catalogue import Catalogue
 from .registry import _PIXELS, ORACLES, PLAIN_TEXT, _pixels, query
@@ -140,6 +144,45 @@ def image_hash_cubic(c: Catalogue) -> DataFrame:
     return resample.difference_hash(_pixels(c)).select("img", F.lower(F.lpad(F.hex("phash"), 16, "0")).alias("phash"))
 
 
+def _sprite(low: bytes, high: bytes) -> bytes:
+    """A sprite file of 8 by 8 pixels: two frames, two layers, the second frame linked and moved."""
+    chunk = lambda kind, body: struct.pack("<IH", len(body) + 6, kind) + body
+    layer = lambda opacity: chunk(sprites.LAYER, struct.pack("<6HB3xH", 1, 0, 0, 0, 0, 0, opacity, 0))
+    cel = lambda at, x, how, body: chunk(sprites.CEL, struct.pack("<HhhBHh5x", at, x, 0, 255, how, 0) + body)
+    full = lambda raw: struct.pack("<HH", 8, 8) + zlib.compress(raw)
+    frames = [[layer(255), layer(130), cel(0, 0, sprites.PACKED, full(low)), cel(1, 0, sprites.PACKED, full(high))], [cel(0, 0, sprites.LINKED, struct.pack("<H", 0)), cel(1, 3, sprites.LINKED, struct.pack("<H", 0))]]
+    bodies = [struct.pack("<IHHHHI", 16 + sum(map(len, f)), sprites.FRAME_MAGIC, len(f), 100, 0, len(f)) + b"".join(f) for f in frames]
+    return struct.pack("<IHHHHH114x", 0, sprites.FILE_MAGIC, 2, 8, 8, 32) + b"".join(bodies)
+
+
+_MUL = "((({0}) * ({1}) + 128 >> 8) + ({0}) * ({1}) + 128 >> 8)"
+
+
+@query(
+    f"""WITH {_PIXELS}, over_ AS (SELECT img, f, x + 3 * f AS x, y, g AS r2, b AS g2, r AS b2, {_MUL.format("(x * 37 + y * 11) % 256", "130")} AS a2 FROM pixels, range(2) AS t(f)),
+    both_ AS (SELECT img, f AS frame, x, y, r, g, b, a, coalesce(r2, 0) AS r2, coalesce(g2, 0) AS g2, coalesce(b2, 0) AS b2, coalesce(a2, 0) AS a2 FROM (SELECT * FROM pixels, range(2) AS t(f)) LEFT JOIN over_ USING (img, f, x, y)),
+    mixed AS (SELECT *, a + a2 - {_MUL.format("a", "a2")} AS m FROM both_)
+    SELECT img, frame::INTEGER AS frame, x::INTEGER AS x, y::INTEGER AS y, {", ".join(f"(CASE WHEN a2 = 0 THEN CASE WHEN a = 0 THEN 0 ELSE {c} END WHEN a = 0 THEN {c}2 ELSE {c} + trunc(({c}2 - {c}) * a2 / m::DOUBLE)::BIGINT END)::INTEGER AS {c}" for c in "rgb")},
+        (CASE WHEN a2 = 0 THEN a WHEN a = 0 THEN a2 ELSE m END)::INTEGER AS a FROM mixed"""
+)
+def sprite_layers(c: Catalogue) -> DataFrame:
+    """Vectors as sprites of two layers, written as files; the pixels of their frames."""
+    root = place(c.spark, "sprites")
+    cell = lambda *v: F.array(*(F.coalesce(x, F.lit(0)).cast("int") for x in v))
+    alpha = (F.col("x") * 37 + F.col("y") * 11) % 256
+    rows = _pixels(c).groupBy("img").agg(F.array_sort(F.collect_list(F.struct("y", "x", cell(F.col("r"), F.col("g"), F.col("b"), F.col("a")).alias("low"), cell(F.col("g"), F.col("b"), F.col("r"), alpha).alias("high")))).alias("p"))
+    flat = rows.select("img", F.flatten(F.transform("p", lambda s: s["low"])).alias("low"), F.flatten(F.transform("p", lambda s: s["high"])).alias("high"))
+
+    def files(batches):
+        for batch in batches:
+            made = [_sprite(bytes(low), bytes(high)) for low, high in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{img % 10}/v{img}.aseprite" for img in batch.column(0).to_pylist()]), pa.array(made, pa.binary())], ["path", "content"])
+
+    tree.written(flat.mapInArrow(files, "path string, content binary"), root).agg(F.sum("size")).first()
+    read = sprites.sprite_pixels(c.spark, root).filter("error is null")
+    return read.select(F.regexp_extract("img", r"v(\d+)[.]aseprite$", 1).cast("long").alias("img"), "frame", "x", "y", "r", "g", "b", "a")
+
+
 # ---- a search index, built, changed and asked ---------------------------------------------------
 
 _NOW = "now AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'The and at last' WHEN doc_id % 7 = 0 THEN reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0)"
