@@ -9,7 +9,8 @@ a step's equal pairs at once: the ids are the same, only the number of steps dif
 aggregation over token positions decodes. Every distinct word is contracted once and
 remembered (at most ``remembered`` of them, and as many of the last generation), so a task's memory does not grow with its rows.
 
-Nulls and empty texts have no tokens. Any text is encoded whole, however long; repeated
+Nulls and empty texts have no tokens. Texts are encoded whole, whatever their length; a single word of some million characters that is no run of few
+letters (unspaced script, sequence data) needs more memory than the queries have and ends in their error, and one of some hundred thousand takes minutes. Repeated
 rows give repeated results; an empty table gives an empty result. Extra columns are kept
 unless an output column bears their name.
 """

@@ -1,9 +1,9 @@
 """Toxicity by compression distance: is a window shorter after the toxic dictionary than
 after the ordinary one?
 
-Two zstandard dictionaries are trained from labelled texts: the ordinary one holds ordinary
-text, the toxic one the same text and after it the strings that stand out in toxic texts
-(the method's contrast: what both share costs the same, so a window of common words differs
+Two dictionaries are made of labelled texts and given to zstandard as raw content; its trainer makes neither (the
+README says why, with figures): the ordinary one is ordinary text, the toxic one the same text and after it the strings that stand
+out in toxic texts by a test of their counts (what both share costs the same, so a window of common words differs
 by nothing). Every text is cut into overlapping windows, each is compressed with both
 dictionaries, and the savings of the windows are the text's evidence. A logistic calibration
 on the labelled texts turns savings into a score, from which a threshold gives the verdict.
