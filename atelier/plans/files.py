@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import values
 from ..operators import features, reconcile, resample, search, textindex
 from ..operators.scratch import cut, place
-from ..sources import library, media, sprites, tree, versions
+from ..sources import images, library, media, sprites, tree, versions
 from ..streaming import watch
 from .catalogue import Catalogue
 from .registry import _PIXELS, ORACLES, PLAIN_TEXT, _pixels, query
@@ -183,6 +184,36 @@ def sprite_layers(c: Catalogue) -> DataFrame:
     return read.select(F.regexp_extract("img", r"v(\d+)[.]aseprite$", 1).cast("long").alias("img"), "frame", "x", "y", "r", "g", "b", "a")
 
 
+def _image(key: int, rgba: bytes) -> tuple[str, bytes]:
+    """Name and content of an image file of 8 by 8 pixels, of one of three kinds."""
+    cells = np.frombuffer(rgba, np.uint8).reshape(8, 8, 4)
+    if key % 3 == 0:
+        chunk = lambda kind, body: struct.pack(">I4s", len(body), kind) + body + struct.pack(">I", zlib.crc32(kind + body))
+        up = np.diff(cells.reshape(8, 32), axis=0, prepend=np.zeros((1, 32), np.uint8))
+        lines = zlib.compress(np.concatenate([np.full((8, 1), 2, np.uint8), up], 1).tobytes())
+        return f"v{key}.png", b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 8, 8, 8, 6, 0, 0, 0)) + chunk(b"IDAT", lines) + chunk(b"IEND", b"")
+    if key % 3 == 1:
+        return f"v{key}.tga", struct.pack("<BBBHHBHHHHBB", 0, 0, 10, 0, 0, 0, 0, 0, 8, 8, 32, 8) + b"".join(b"\x80" + cells[y, x, [2, 1, 0, 3]].tobytes() for y in range(7, -1, -1) for x in range(8))
+    return f"v{key}.psd", b"8BPS" + struct.pack(">H6xHIIHH", 1, 4, 8, 8, 8, 3) + bytes(12) + struct.pack(">H", 0) + cells.transpose(2, 0, 1).tobytes()
+
+
+@query(f"WITH {_PIXELS} SELECT img, x::INTEGER AS x, y::INTEGER AS y, r, g, b, a FROM pixels")
+def image_files(c: Catalogue) -> DataFrame:
+    """Vectors as image files of three kinds, written and read again."""
+    root = place(c.spark, "images")
+    cells = F.array_sort(F.collect_list(F.struct("y", "x", F.array(*(F.col(k).cast("int") for k in "rgba")).alias("c"))))
+    flat = _pixels(c).groupBy("img").agg(F.flatten(F.transform(cells, lambda s: s["c"])).alias("c"))
+
+    def files(batches):
+        for batch in batches:
+            made = [_image(img, bytes(cells)) for img, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{len(name)}/{name}" for name, _ in made], pa.string()), pa.array([data for _, data in made], pa.binary())], ["path", "content"])
+
+    tree.written(flat.mapInArrow(files, "path string, content binary"), root).agg(F.sum("size")).first()
+    read = images.image_pixels(c.spark, root).filter("error is null")
+    return read.select(F.regexp_extract("img", r"v(\d+)[.]\w+$", 1).cast("long").alias("img"), "x", "y", "r", "g", "b", "a")
+
+
 # ---- a search index, built, changed and asked ---------------------------------------------------
 
 _NOW = "now AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'The and at last' WHEN doc_id % 7 = 0 THEN reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0)"
