@@ -26,7 +26,7 @@ def exact(assets: DataFrame) -> DataFrame:
 def favoured(copies: DataFrame) -> DataFrame:
     """``sha256, keep_id, score`` of each content with copies: used ones first, then those of known
     provenance, outside raw folders, primaries of a group, and in shallow folders; ties go to the oldest."""
-    score = (
+    score = (  # fixed values: the weights
         F.when(F.col("used"), 1000).otherwise(0) + F.when(F.col("complete"), 100).otherwise(0) + F.when(paths.in_raw(F.col("path")), 0).otherwise(50)
         + F.when(F.col("is_primary") & (F.col("variants") > 1), 25).otherwise(0) - paths.depth(F.col("path"))
     )
@@ -188,6 +188,7 @@ def pack_findings(overlaps: DataFrame, packs: DataFrame, held: DataFrame) -> Dat
     """``candidate, container, kind, bytes`` of each relation between packs. A pack within another is the candidate to
     go; of identical ones it is the one with less to keep it by: use by projects, known provenance, a place outside
     raw folders, tags. ``packs`` has pack_id, used, complete, path, tags; ``held`` pack_id, sha256, size."""
+    # fixed values: the weights
     keep = F.when(F.col("used"), 1000).otherwise(0) + F.when(F.col("complete"), 100).otherwise(0) + F.when(paths.in_raw(F.col("path")), 0).otherwise(50) + F.col("tags")
     score = packs.select("pack_id", keep.alias("keep"))
     bytes_ = held.groupBy("pack_id").agg(F.sum("size").alias("bytes"))

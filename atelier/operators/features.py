@@ -13,6 +13,7 @@ from ..functions import values
 
 #: Colours up to which art counts as pixel art at once, and above which it does not.
 FEW, MANY, SOFT = 96, 256, 0.40
+#: What seams, square frames and content count for.
 SHEET_WEIGHTS = (0.6, 0.25, 0.15)
 
 

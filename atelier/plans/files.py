@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import struct
+import wave
+import zipfile
 import zlib
 
 import numpy as np
@@ -214,6 +217,91 @@ def image_files(c: Catalogue) -> DataFrame:
     return read.select(F.regexp_extract("img", r"v(\d+)[.]\w+$", 1).cast("long").alias("img"), "x", "y", "r", "g", "b", "a")
 
 
+# ---- sidecars, archives, sounds, reports ------------------------------------------------------------
+
+
+@query(
+    """WITH marks AS (SELECT pack_id AS id, tag FROM pack_tags WHERE tag LIKE 'theme:%'), listed AS (SELECT id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM marks GROUP BY id)
+    SELECT packs.id AS pack, name, author, 'l' || license_id AS license, CASE WHEN attribution_text <> '' THEN attribution_text END AS notes, coalesce(tags, '') AS tags, packs.id * 3 AS updated_at FROM packs LEFT JOIN listed USING (id)""",
+    "packs", "pack_tags",
+)
+def sidecars_read(c: Catalogue) -> DataFrame:
+    """Packs' metadata and the tags set by hand, written as a sidecar file in each pack's folder and read again."""
+    key = F.col("id")
+    notes = F.when(F.col("attribution_text") != "", F.col("attribution_text"))
+    packs = c.packs().select(key.cast("string").alias("pack"), "name", F.lit(None).cast("string").alias("source_url"), "author", F.concat(F.lit("l"), "license_id").alias("license"), notes.alias("notes"), (key * 3).alias("updated_at"))
+    marks = c.pack_tags().select(F.col("pack_id").cast("string").alias("pack"), "tag", F.when(F.col("tag").startswith("theme:"), "manual").otherwise("auto_path").alias("source"))
+    root = place(c.spark, "packs")
+    tree.written(library.sidecar_text(packs, marks).select(F.concat("pack", F.lit("/pack.asset.json")).alias("path"), F.col("json").alias("content")), root).agg(F.sum("size")).first()
+    found = library.sidecars(c.spark, root)
+    return found.select(F.substring_index("pack", "/", -1).cast("long").alias("pack"), "name", "author", "license", "notes", F.array_join("tags", ",").alias("tags"), "updated_at")
+
+
+def _archive(key: int, text: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(f"a/{key}.txt", text)
+        z.writestr("é.bin", bytes(key % 50))
+    return out.getvalue() if key % 9 else out.getvalue()[:40]
+
+
+@query(
+    """SELECT doc_id AS archive, 'a/' || doc_id || '.txt' AS name, strlen(coalesce(text, ''))::BIGINT AS size, false AS damaged FROM documents WHERE doc_id % 9 <> 0
+    UNION ALL SELECT doc_id, 'é.bin', doc_id % 50, false FROM documents WHERE doc_id % 9 <> 0 UNION ALL SELECT doc_id, NULL, NULL, true FROM documents WHERE doc_id % 9 = 0"""
+)
+def archives_listed(c: Catalogue) -> DataFrame:
+    """Documents in archives of two files each; one in nine is cut short."""
+
+    def files(batches):
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            made = [_archive(key, text or "") for key, text in zip(keys, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{key % 7}/{key}.zip" for key in keys], pa.string()), pa.array(made, pa.binary())], ["path", "content"])
+
+    root = place(c.spark, "archives")
+    tree.written(c.table("documents").select("doc_id", "text").mapInArrow(files, "path string, content binary"), root).agg(F.sum("size")).first()
+    found = media.zip_entries(c.spark, root)
+    return found.select(F.regexp_extract("archive", r"(\d+)[.]zip$", 1).cast("long").alias("archive"), "name", "size", F.col("error").isNotNull().alias("damaged"))
+
+
+@query("SELECT vec_id AS clip, i::BIGINT AS i, (floor(embedding[2 * i + 1]::DOUBLE * 9999) + floor(embedding[2 * i + 2]::DOUBLE * 9999)) / 2 / 32768 AS v, 8000 AS rate FROM embeddings, range(32) AS t(i)")
+def sounds_read(c: Catalogue) -> DataFrame:
+    """Vectors as sounds of two channels; the mean of both at each moment."""
+
+    def files(batches):
+        for batch in batches:
+            made = []
+            for values_ in batch.column(1).to_pylist():
+                out = io.BytesIO()
+                with wave.open(out, "wb") as w:
+                    w.setnchannels(2)
+                    w.setsampwidth(2)
+                    w.setframerate(8000)
+                    w.writeframes(struct.pack(f"<{len(values_)}h", *values_))
+                made.append(out.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([f"{key % 7}/{key}.wav" for key in batch.column(0).to_pylist()], pa.string()), pa.array(made, pa.binary())], ["path", "content"])
+
+    root = place(c.spark, "sounds")
+    level = F.transform("embedding", lambda x: F.floor(x.cast("double") * 9999).cast("int"))
+    tree.written(c.table("embeddings").select("vec_id", level.alias("v")).mapInArrow(files, "path string, content binary"), root).agg(F.sum("size")).first()
+    return media.wav_samples(c.spark, root).select(F.regexp_extract("clip", r"(\d+)[.]wav$", 1).cast("long").alias("clip"), "i", "v", "rate")
+
+
+@query("SELECT kind, count(*) AS n, sum(size)::BIGINT AS bytes FROM assets WHERE missing_since IS NULL GROUP BY kind", "assets")
+def report_read(c: Catalogue) -> DataFrame:
+    """A report, written twice, is the later one when it is read."""
+    folder = place(c.spark, "report")
+    made = c.assets().filter("missing_since is null").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    library.write_report(made.limit(1), folder)
+    library.write_report(made, folder)
+    return library.read_report(c.spark, folder, "kind string, n long, bytes long")
+
+
+@query("SELECT id FROM assets WHERE missing_since IS NULL AND pack_id = 3", "assets")
+def assets_of_a_pack(c: Catalogue) -> DataFrame:
+    return search.matching(c.assets(), search.compare("pack_id", "=", 3) & search.present()).select("id")
+
+
 # ---- a search index, built, changed and asked ---------------------------------------------------
 
 _NOW = "now AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'The and at last' WHEN doc_id % 7 = 0 THEN reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0)"
@@ -299,7 +387,7 @@ def stream_sessions(c: Catalogue) -> DataFrame:
 
 
 @query(
-    f"SELECT job, at_ms, done FROM ({_fold('true AS told, sec AS last', 't.sec - s.last >= 21600 OR t.sec % 50 = 0 AS told, CASE WHEN t.sec - s.last >= 21600 OR t.sec % 50 = 0 THEN t.sec ELSE s.last END AS last', 'key AS job, sec * 1000 AS at_ms, CASE WHEN sec % 50 = 0 THEN 10 ELSE 1 END AS done, told')}) WHERE told"
+    f"SELECT job, at_ms, done FROM ({_fold('true AS told, sec AS last', 't.sec - s.last >= 21600 OR t.sec % 50 = 0 AS told, CASE WHEN t.sec - s.last >= 21600 OR t.sec % 50 = 0 THEN t.sec ELSE s.last END AS last', 'key AS job, sec * 1000 AS at_ms, (CASE WHEN sec % 50 = 0 THEN 10 ELSE 1 END)::BIGINT AS done, told')}) WHERE told"
 )
 def stream_throttled(c: Catalogue) -> DataFrame:
     """Users as jobs that tell of their progress: six hours apart at least, and the end always."""
