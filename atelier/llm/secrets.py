@@ -158,13 +158,32 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _running_max(values: Column) -> Column:
+    """Of each number the greatest up to and with it, in as many rounds as their count has binary digits."""
+
+    def further(m: Column, k: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(m, lambda x, i: F.when(i >= step, F.greatest(x, F.element_at(m, F.greatest(i - step, F.lit(0)) + 1))).otherwise(x))
+
+    rounds = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")
+    return F.aggregate(F.sequence(F.lit(0), rounds), values, further)
+
+
+def _uncovered(every: Column) -> Column:
+    """Of spans in order those that are base spans or inside none: at equal starts base spans come first, so the
+    farthest end of the base spans so far tells."""
+    base = lambda s: s["rank"] < len(BASE)
+    farthest = _running_max(F.transform(every, lambda s: F.when(base(s), s["end"]).otherwise(-1)))
+    kept = F.filter(F.arrays_zip(every.alias("span"), farthest.alias("far")), lambda z: base(z["span"]) | (z["far"] < z["span"]["end"]))
+    return F.transform(kept, lambda z: z["span"])
+
+
 def found(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``_base`` and ``_all``, arrays of struct<start, rank, end, kind> in order."""
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     out = docs.withColumns({f"_{k}": base_spans(value, k) for k in BASE} | {f"_{k}": entropy_spans(value, k) for k in ENTROPY})
-    out = out.withColumn("_base", F.array_sort(F.concat(*(f"_{k}" for k in BASE))))
-    covered = lambda e: F.exists("_base", lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"]))
-    return out.withColumn("_all", F.array_sort(F.concat("_base", F.filter(F.concat(*(f"_{k}" for k in ENTROPY)), lambda e: ~covered(e)))))
+    out = out.withColumns({"_base": F.array_sort(F.concat(*(f"_{k}" for k in BASE))), "_every": F.array_sort(F.concat(*(f"_{k}" for k in ORDER)))})
+    return out.withColumn("_all", F.when(F.size("_every") > F.size("_base"), _uncovered(F.col("_every"))).otherwise(F.col("_base"))).drop("_every")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,12 +193,30 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return rows.select(F.col("_key").alias(key), *counts, F.sha2(_listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("_all")).alias("spans"))
 
 
+#: Characters of the blocks that a text is cut into before pieces of it are taken: finding the n-th character of a string takes n steps.
+BLOCK = 2048
+
+
+def _piece(blocks: Column, begin: Column, end: Column) -> Column:
+    """The characters of a text in blocks from ``begin`` up to ``end``."""
+    block = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+    low, high = F.floor(begin / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    within = F.substr(block(low), begin - low * BLOCK + 1, end - begin)
+    between = F.array_join(F.slice(blocks, low + 2, F.greatest(high - low - 1, F.lit(0))), "")
+    across = F.concat(F.substr(block(low), begin - low * BLOCK + 1, F.lit(BLOCK)), between, F.substr(block(high), F.lit(1), end - high * BLOCK))
+    return F.when(end <= begin, "").when(low == high, within).otherwise(across)
+
+
 def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFrame:
     """``docs`` with each secret (overlapping spans as one) replaced by ``mask``; texts without are unchanged."""
     rows = found(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text).alias("_text")), "_text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    value = F.col("_text")
-    piece = lambda s, begin: F.substr(value, s["at"] + 1, F.greatest(begin - s["at"], F.lit(0)))
-    step = lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], piece(s, x["start"]), F.when((x["start"] < s["at"]) & (s["at"] > 0), "").otherwise(mask)).alias("out")))
-    masked = F.aggregate("_all", start, step, lambda s: F.concat(s["out"], F.substr(value, s["at"] + 1, F.length(value))))
-    return rows.select(*(F.when(F.size("_all") > 0, masked).otherwise(value).alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns))
+    value, has = F.col("_text"), F.size("_all") > 0
+    # of each span the farthest end before it; spans within earlier ones change nothing
+    ends = F.when(has, _running_max(F.transform("_all", lambda s: s["end"])))
+    rows = rows.withColumns({"_ends": ends, "_blocks": F.when(has, F.regexp_extract_all(value, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0)))})
+    told = F.transform("_all", lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.coalesce(F.get("_ends", i - 1), F.lit(0)).alias("at")))
+    rows = rows.withColumn("_told", F.when(has, F.filter(told, lambda s: s["end"] > s["at"])))
+    blocks = F.col("_blocks")
+    pieces = F.transform("_told", lambda s: F.concat(_piece(blocks, s["at"], s["start"]), F.when(s["start"] < s["at"], "").otherwise(mask)))
+    masked = F.concat(F.array_join(pieces, ""), _piece(blocks, F.element_at("_ends", -1), F.length(value)))
+    return rows.select(*(F.when(has, masked).otherwise(value).alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns))

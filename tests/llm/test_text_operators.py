@@ -200,6 +200,15 @@ def secrets_by_hand(text):
     return Counter(b[3] for b in base), text_of(base), text_of(base + more)
 
 
+def masked_by_hand(text, spans, mask="[secret]"):
+    out, at = "", 0
+    for begin, end in sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in spans.split(",") if x)):
+        if end > at:
+            out += text[at:begin] + ("" if begin < at else mask)
+            at = end
+    return out + text[at:]
+
+
 def test_secrets(spark):
     rng = random.Random(9)
     b64 = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
@@ -220,9 +229,24 @@ def test_secrets(spark):
     clash = docs(spark, texts).withColumn("_base", F.lit(1))
     masked = {r["doc_id"]: r for r in secrets.redact(clash).collect()}
     assert masked[0]["text"] == "é [secret]\" of" and masked[len(texts) - 1]["text"] == "same text" and masked[0]["_base"] == 1
+    for i, t in enumerate(texts):
+        assert masked[i]["text"] == (t and masked_by_hand(t, rows[i]["spans"])), t
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_many_secrets(spark):
+    """Spans side by side, overlapping, inside others, and far apart in one long text: what is kept, masked and in which order."""
+    rng = random.Random(11)
+    key = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijklmnpqrstuvwxyz0123456789") for _ in range(n))
+    kinds = [lambda: key(32), lambda: f"token={key(30)}", lambda: "AKIA" + key(24).upper(), lambda: f"{rng.getrandbits(96):024x}", lambda: "é🎉 word " * rng.randrange(900), lambda: f"{rng.getrandbits(96):024x}{key(30)}\n"]
+    texts = ["\n".join(rng.choice(kinds)() for _ in range(n)) for n in (1, 2, 3, 700, 4000)]
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(docs(spark, texts)).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts[:4]):
+        assert found[i] == secrets_by_hand(t)[2]
+    assert all(masked[i] == masked_by_hand(t, found[i]) for i, t in enumerate(texts)) and found[4].count(",") > 2000
+
+
 def test_token_counts(spark, encoding):
     texts = [*HARD, "one two three", "one two three", "four"]
     counted = token_counts.lengths(docs(spark, texts), RANKS, PATTERN)
