@@ -3,6 +3,7 @@
 import itertools
 import random
 import time
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 
@@ -90,7 +91,7 @@ def overlaps_by_hand(held, least=0.5):
         k = len(x & y)
         kind = "identical" if x == y else "a_in_b" if x <= y else "b_in_a" if y <= x else "overlap" if k and k / len(x | y) >= least else None
         if kind:
-            out.add((a, b, kind, k, round(k / len(x | y), 6)))
+            out.add((a, b, kind, k, float(Decimal(k / len(x | y)).quantize(Decimal("1e-6"), ROUND_HALF_UP))))
     return out
 
 
@@ -106,7 +107,7 @@ def test_pack_overlaps(spark, seed, least):
         if kind and held:
             other = {c for q, c in held if q == rng.choice(held)[0]}
             own = other if kind == 1 else set(rng.sample(sorted(other), rng.randint(1, len(other)))) if kind == 2 else other | own if kind == 3 else (other - set(sorted(other)[: len(other) // 3])) | own if kind == 4 else own
-        held += [(p, c) for c in own | ({"all"} if rng.random() < 0.8 else set())]
+        held += [(p, c) for c in sorted(own | ({"all"} if rng.random() < 0.8 else set()))]
     held += [(100, "all"), (101, "all"), (102, None), (100, "all")]
     table = spark.createDataFrame(held, "pack_id int, sha256 string")
     got = {tuple(r) for r in duplicates.pack_overlaps(table, least).select("a", "b", "kind", "shared", "jaccard").collect()}
