@@ -23,10 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
 _OPEN: set[str] = set()
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows that a task writes of a table whose size is known to be small: some 20 MB of long numbers.
+ROWS_A_TASK = 1 << 17
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: later steps
     restart from files, whichever executors are lost. The files stay until ``release`` or the end of
-    the driver's Python."""
+    the driver's Python.
+
+    ``rows`` is a bound of the table's rows, if tables written before tell one: no more tasks (and files) are
+    made than these need, but one a core. Wide rows count as several. The result does not depend on it."""
+    if rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
     spark = df.sparkSession
     if (app := spark.sparkContext.applicationId) not in _OPEN:
         _OPEN.add(app)
