@@ -120,7 +120,7 @@ def rarest(each: DataFrame, need) -> DataFrame:
     shared = cut(each.join(held, "key"))
     node = Window.partitionBy("nid")
     pos = F.col("size") - F.count(F.lit(1)).over(node) + F.row_number().over(node.orderBy("n", "key")) - 1
-    return cut(shared.withColumn("pos", pos).filter(F.col("pos") <= F.col("size") - need).drop("n"))
+    return cut(shared.withColumn("pos", pos).filter(F.col("pos") <= F.col("size") - need).drop("n"), shared.count())
 
 
 def _long_enough(a: str, b: str, percent: int):
@@ -191,20 +191,21 @@ def joined(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFra
     each = nodes.select("nid", F.posexplode("sig").alias("place", "value")).select("nid", F.lit(K).alias("size"), F.xxhash64("place", "value").alias("key"))
     posted = rarest(each, F.lit(least_agreeing(percent)))
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "nid"))["nid"].alias("hub")).filter("n > 1")
-    shared = cut(posted.select("key", "nid").join(lists, "key").filter("nid <> hub"))
-    met = cut(shared.select(F.least("nid", "hub").alias("nid_a"), F.greatest("nid", "hub").alias("nid_b")).distinct())
+    shared = cut(posted.select("key", "nid").join(lists, "key").filter("nid <> hub"), posted.count())
+    most, n = shared.count(), nodes.count()
+    met = cut(shared.select(F.least("nid", "hub").alias("nid_a"), F.greatest("nid", "hub").alias("nid_b")).distinct(), most)
     side = lambda x: nodes.select(F.col("nid").alias(f"nid_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     agreeing = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = cut(met.join(side("a"), "nid_a").join(side("b"), "nid_b").filter(_long_enough("n_a", "n_b", percent) & (agreeing >= least_agreeing(percent))).select("nid_a", "nid_b"))
+    pairs = cut(met.join(side("a"), "nid_a").join(side("b"), "nid_b").filter(_long_enough("n_a", "n_b", percent) & (agreeing >= least_agreeing(percent))).select("nid_a", "nid_b"), 4 * most)
     # a list of two has no further pair
     wanted = pairs.select(F.col("nid_a").alias("nid")).union(pairs.select(F.col("nid_b").alias("nid"))).union(shared.filter("n > 2").select("nid"))
     sets = cut(_marked(docs, wanted))
     first = components(cut(_confirmed(pairs, sets, percent)), "a", "b")
-    part = cut(first.join(sets.select("node", "nid"), "node").groupBy("nid").agg(F.min("component").alias("part")))
+    part = cut(first.join(sets.select("node", "nid"), "node").groupBy("nid").agg(F.min("component").alias("part")), n)
     rest = shared.filter("n > 2").select("key", "nid").join(part, "nid", "left").withColumn("part", F.coalesce("part", F.encode(F.col("nid").cast("string"), "utf-8")))
-    rest = cut(rest)
+    rest = cut(rest, most)
     split = rest.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-    open_ = cut(rest.join(split, "key", "left_semi").select("nid", "part").distinct())
+    open_ = cut(rest.join(split, "key", "left_semi").select("nid", "part").distinct(), most)
     if open_.isEmpty():
         return first
     whole = cut(sets.select("nid", "shingles").join(open_, "nid"))
@@ -219,14 +220,14 @@ def joined(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFra
     second = components(ends, "a", "b", "old", "new")
     alone = second.select(F.col("old").alias("node"), F.col("old").alias("component")).join(first, "node", "left_anti")
     every = first.unionByName(alone).join(second, F.col("component") == F.col("old"), "left")
-    return cut(every.select("node", F.coalesce("new", "component").alias("component")))
+    return cut(every.select("node", F.coalesce("new", "component").alias("component")), n)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row a document: key, n_shingles, component_id, kept. Links need a similarity of ``percent`` at least."""
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = cut(add(texts, "text", SIGNED, _sign, keep=["key"]))
-    nodes = cut(rows.filter("node is not null").groupBy("node", "nid", "n_shingles").agg(F.min("key").alias("least"), F.first("sig").alias("sig")))
+    nodes = cut(rows.filter("node is not null").groupBy("node", "nid", "n_shingles").agg(F.min("key").alias("least"), F.first("sig").alias("sig")), 4 * rows.count())
     least = nodes.select("node", "least").join(joined(texts, nodes, percent), "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = least.groupBy("component").agg(F.min("least").alias("component_id"))
     named = least.join(names, "component").select("node", "component_id")
