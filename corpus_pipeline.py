@@ -30,9 +30,9 @@ BROADCAST_IDS = 1_000_000
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = 80) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least id. Of equal rows that
     share that id one stays; a duplicate stays as well if a kept document bears its id, as documents are told by their ids. Near-duplicates share ``percent`` % of their shingles at least."""
-    found = cut(near_duplicates.classes(docs.select("doc_id", "text"), percent=percent).select("doc_id", "kept"))
+    found = cut(near_duplicates.classes(docs.select("doc_id", "text"), percent=percent).select("doc_id", "kept"), docs.count())
     ids = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    gone = cut(ids.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")))
+    gone = cut(ids.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")), found.count())
     small = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     left = docs.join(small, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*COLUMNS)
     return left if ids.filter("n > 1").isEmpty() else left.dropDuplicates(["doc_id", "text"])
