@@ -121,3 +121,40 @@ def test_a_content_in_every_pack(spark):
     began = time.time()
     assert duplicates.pack_overlaps(held).count() == 0
     assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_dense_hashes_yield_few_links(spark, seed, monkeypatch):
+    """1,500 hashes of 14 bits that differ, most pairs near, in cells of 100 and of any size, with narrow keys first and without: parts and longest links as by all pairs, and links
+    that grow with the nodes, not with the pairs."""
+    rng = random.Random(seed)
+    spread = lambda v: sum((v >> i & 1) << 4 * i + 3 for i in range(14))
+    rows = [(i, signed(spread(rng.getrandbits(14) if i % 10 else 5)), f"s{rng.randrange(3 + i % 40)}", rng.randrange(6)) for i in range(1500)]
+    near = lambda x, y: x[2] != y[2] and not (x[3] and x[3] == y[3]) and (x[1] % (1 << 64) ^ y[1] % (1 << 64)).bit_count() <= 2
+    least = {}
+    for i, *key in rows:
+        least.setdefault(tuple(key), i)
+    nodes = [r for r in rows if least[tuple(r[1:])] == r[0]]
+    full = {(x[0], y[0]): (x[1] % (1 << 64) ^ y[1] % (1 << 64)).bit_count() for x, y in itertools.combinations(nodes, 2) if near(x, y)}
+    table = spark.createDataFrame(rows, "id int, phash long, sha256 string, group_id int")
+    want = parts(full)
+    farthest = lambda pairs, name: {c: max(d for (a, _), d in pairs.items() if name[a] == c) for c in set(name.values())}
+    for block, large in ((100, 0), (2048, 0), (100, 1 << 14)):
+        monkeypatch.setattr(duplicates.blocks, "BLOCK", block)
+        got = {(r["a"], r["b"]): r["dist"] for r in duplicates.near_links(table, 2, large).collect()}
+        assert all(full[min(k), max(k)] == d for k, d in got.items())
+        assert parts(got) == want and farthest(got, parts(got)) == farthest(full, want)
+        pairs = [tuple(r) for r in duplicates.near_pairs(table, 2).collect()]
+        first = {}
+        for r in rows:
+            first.setdefault(r[1], r[0])
+        apart = lambda a, b: (a % (1 << 64) ^ b % (1 << 64)).bit_count()
+        every = [(*sorted((first[x], first[y])), apart(x, y)) for x, y in itertools.combinations(first, 2) if apart(x, y) <= 2]
+        assert sorted(pairs) == sorted(every + [(first[r[1]], r[0], 0) for r in rows if first[r[1]] != r[0]])
+
+
+def test_links_of_many_near_hashes(spark):
+    """20,000 hashes of 20 bits that differ, 13 million pairs of them near: fewer links than some hundred a node."""
+    h = "+".join(f"((id * 7919 % 1048576) >> {i} & 1) * (1L << {3 * i})" for i in range(20))
+    images = spark.range(20_000).selectExpr("id", f"{h} AS phash", "id % 40 AS sha256", "id % 10 AS group_id")
+    assert duplicates.near_links(images).count() < 100 * 20_000
