@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import time
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -158,3 +159,16 @@ def test_links_of_many_near_hashes(spark):
     h = "+".join(f"((id * 7919 % 1048576) >> {i} & 1) * (1L << {3 * i})" for i in range(20))
     images = spark.range(20_000).selectExpr("id", f"{h} AS phash", "id % 40 AS sha256", "id % 10 AS group_id")
     assert duplicates.near_links(images).count() < 100 * 20_000
+
+
+def test_meetings_of_packs_are_dealt_by_their_number(spark, monkeypatch):
+    """200 packs of twelve contents that all of them may hold: few rows, many meetings, as many tasks as those need."""
+    rng = random.Random(1)
+    held = [(p, f"c{c}") for p in range(200) for c in rng.sample(range(16), 12)]
+    monkeypatch.setattr(duplicates, "MEETINGS", 2000)
+    plans, write = [], duplicates.cut
+    monkeypatch.setattr(duplicates, "cut", lambda df, *a: (plans.append(df._jdf.queryExecution().toString()), write(df, *a))[1])
+    got = {tuple(r) for r in duplicates.pack_overlaps(spark.createDataFrame(held, "pack_id int, sha256 string")).select("a", "b", "kind", "shared", "jaccard").collect()}
+    assert got == overlaps_by_hand(held) and len(got) > 1000
+    dealt = [int(n) for plan in plans for n in re.findall(r"hashpartitioning\(c#\d+, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert dealt and max(dealt) >= 20
