@@ -21,6 +21,8 @@ from ..streaming import watch
 from .catalogue import Catalogue
 from .registry import _PIXELS, ORACLES, PLAIN_TEXT, _pixels, query
 
+#: Files of a folder, where one task lists it.
+FOLDER = 1000
 #: Where each document lies, and what it is called: hidden files, system files, reserved and ignored folders among them.
 _PATH = """CASE WHEN doc_id % 41 = 0 THEN '_trash/' WHEN doc_id % 37 = 0 THEN '__MACOSX/' WHEN doc_id % 31 = 0 THEN 'a/.git/' ELSE 'd' || (doc_id % 7) || '/' || lang || '/' END
     || CASE WHEN doc_id % 29 = 0 THEN '._' WHEN doc_id % 23 = 0 THEN '.' WHEN doc_id % 19 = 0 THEN '_' ELSE '' END || doc_id || CASE WHEN doc_id % 17 = 0 THEN ' x#%41 [1]' ELSE '' END || '.txt'"""
@@ -124,7 +126,8 @@ def models_in_containers(c: Catalogue) -> DataFrame:
     whole = F.concat(F.lit(b"glTF"), number(F.lit(2)), number(F.length(raw) + 20), number(F.length(raw)), F.lit(b"JSON"), raw)
     plain = key % 3 == 0
     content = F.when(plain, raw).when(key % 5 == 1, F.call_function("substring", whole, F.lit(1), F.length(whole) - 3)).otherwise(whole)
-    tree.written(c.table("part").select(F.concat(F.lit("m"), key, F.when(plain, ".gltf").otherwise(".glb")).alias("path"), content.alias("content")), root).agg(F.sum("size")).first()
+    rows = c.table("part").repartition(4 * c.spark.sparkContext.defaultParallelism)  # files take longer to make than their rows to read
+    tree.written(rows.select(F.concat(F.floor(key / FOLDER), F.lit("/m"), key, F.when(plain, ".gltf").otherwise(".glb")).alias("path"), content.alias("content")), root).agg(F.sum("size")).first()
     read = features.models(media.gltf_texts(c.spark, root).filter("error is null"))
     return read.select(F.substring_index("id", "/", -1).alias("name"), "vert_count", "tri_count", "material_count", "bbox_y")
 
@@ -256,7 +259,7 @@ def archives_listed(c: Catalogue) -> DataFrame:
         for batch in batches:
             keys = batch.column(0).to_pylist()
             made = [_archive(key, text or "") for key, text in zip(keys, batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([f"{key % 7}/{key}.zip" for key in keys], pa.string()), pa.array(made, pa.binary())], ["path", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{key // FOLDER}/{key}.zip" for key in keys], pa.string()), pa.array(made, pa.binary())], ["path", "content"])
 
     root = place(c.spark, "archives")
     tree.written(c.table("documents").select("doc_id", "text").mapInArrow(files, "path string, content binary"), root).agg(F.sum("size")).first()

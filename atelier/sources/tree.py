@@ -195,10 +195,13 @@ def written(contents: DataFrame, root: str) -> DataFrame:
 
     def run(batches):
         store, top = opened(root)
+        made = None
         for batch in batches:
             sizes = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                store.create_dir(f"{top}/{path}".rpartition("/")[0], recursive=True)
+                if (folder := f"{top}/{path}".rpartition("/")[0]) != made:
+                    store.create_dir(folder, recursive=True)
+                    made = folder
                 with store.open_output_stream(f"{top}/{path}") as out:
                     out.write(content.as_buffer() if content.is_valid else b"")
                 sizes.append(len(content.as_buffer()) if content.is_valid else 0)
@@ -207,6 +210,29 @@ def written(contents: DataFrame, root: str) -> DataFrame:
     return contents.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "path string, size bigint")
 
 
+def contents(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """``path, content`` of the files whose name fits the pattern, but those hidden or below hidden folders (``.`` or ``_`` first), for many small files: a task opens some
+    ``TASK_FILES`` of them, where Spark's own reader would deal out a few dozen, and folders are listed in tasks. A file that can't be read is an error."""
+    files = walk(spark, root, ignored=True).filter((F.col("kind") == "file") & F.col("path").rlike(pattern) & ~F.col("path").rlike("(^|/)[._]")).select("path", "size")
+
+    def run(batches):
+        store, top = opened(root)
+        for batch in batches:
+            names, held, size = [], [], 0
+            for path in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{top}/{path}") as stream:
+                    held.append(stream.read())
+                names.append(f"{root.rstrip('/')}/{path}")
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(held, pa.binary())], ["path", "content"])
+                    names, held, size = [], [], 0
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(held, pa.binary())], ["path", "content"])
+
+    return dealt(files).mapInArrow(run, "path string, content binary")
+
+
 def hashed(files: DataFrame, root: str) -> DataFrame:
     """``files`` (path, size and others) with ``sha256``, each opened by the task that has its row and read in chunks, so neither paths nor
     contents pass through the driver and a file may be larger than memory. Null where a file can't be read or its path leaves the tree."""

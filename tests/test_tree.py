@@ -122,3 +122,19 @@ def test_clutter(spark, top):
     assert got == {
         ("__MACOSX", "macos", 5), ("c/__macosx", "macos", 1), ("b/.DS_Store", "system", 1), ("a/.gitkeep", "empty", 0), ("empty.png", "empty", 0), ("hollow/inner", "empty_folder", 0), ("_derived/" + "b" * 64 + "/t.webp", "orphan", 3),
     }
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    """400 files and an archive of two: tasks go by files, not by a block a file; hidden ones are left out."""
+    from atelier.sources import media, tree
+
+    for k in range(400):
+        (tmp_path / f"{k % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"{k % 3}" / f"{k} é%41.gltf").write_bytes(b"{%d}" % k)
+    (tmp_path / "_h").mkdir()
+    for name in ("_h/a.gltf", ".b.gltf", "c.txt"):
+        (tmp_path / name).write_bytes(b"no")
+    found = media.gltf_texts(spark, f"file://{tmp_path}")
+    assert {(r["id"].rsplit("/", 1)[1], r["text"]) for r in found.collect()} == {(f"{k} é%41.gltf", "{%d}" % k) for k in range(400)}
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert tree.contents(spark, f"file://{tmp_path}", "[.]none$").count() == 0
