@@ -63,10 +63,11 @@ def credits_text(lines: DataFrame) -> DataFrame:
 
 
 def outdated(uses: DataFrame, assets: DataFrame) -> DataFrame:
-    """Active uses with whether the asset's content has changed since, and whether its file is missing."""
+    """Active uses with whether the asset's content has changed since, and whether its file is missing. Assets are never broadcast: computed hashes take
+    many times the bytes of the columns that they are made of, which are what Spark goes by."""
     now = assets.select(F.col("id").alias("asset_id"), F.col("sha256").alias("_now"), "missing_since")
     known = F.coalesce("asset_sha256", F.lit("")) != ""
-    return uses.filter("removed_at is null").join(now, "asset_id").select("project_id", "asset_id", (known & (F.col("asset_sha256") != F.col("_now"))).alias("outdated"), F.col("missing_since").isNotNull().alias("missing"))
+    return uses.filter("removed_at is null").join(now.hint("merge"), "asset_id").select("project_id", "asset_id", (known & (F.col("asset_sha256") != F.col("_now"))).alias("outdated"), F.col("missing_since").isNotNull().alias("missing"))
 
 
 def recorded_use(uses: DataFrame, new: DataFrame, assets: DataFrame, now: int) -> DataFrame:

@@ -244,3 +244,11 @@ def test_sheets(spark):
 
 def test_last_token():
     assert [facets.last_token(q) for q in ("type:model tur", "a ", "", '"open quo', '"a b" c')] == ["tur", "", "", "", "c"]
+
+
+def test_assets_are_not_broadcast(spark, folder):
+    """Hashes are made from short columns, so Spark takes assets for small tables."""
+    from atelier.plans import more, registry  # noqa: F401
+
+    plan = registry.QUERIES["project_outdated"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
