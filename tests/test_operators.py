@@ -252,3 +252,18 @@ def test_assets_are_not_broadcast(spark, folder):
 
     plan = registry.QUERIES["project_outdated"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_tags_of_a_large_pack_are_dealt_out(spark, folder):
+    from atelier.operators import duplicates
+    from atelier.plans import more, registry  # noqa: F401
+
+    plan = registry.QUERIES["asset_tag_transfer"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3
+    assets = spark.range(1000).selectExpr("id", "id % 2 AS pack_id", "id div 4 AS sha256")
+    tags = assets.selectExpr("id AS asset_id", "concat('t', id % 3) AS tag", "if(id % 5 = 0, 'auto', 'manual') AS source")
+    moves = spark.createDataFrame([(0, 1), (1, 1)], "from_pack long, to_pack long")
+    got = {tuple(r) for r in duplicates.transferred_asset_tags(tags, assets, moves).collect()}
+    has = {i: f"t{i % 3}" for i in range(1000)}
+    given = {(i // 4, has[i]) for i in range(0, 1000, 2) if i % 5}
+    assert got == {(i, t) for i in range(1, 1000, 2) for s, t in given if s == i // 4 and t != has[i]} and len(got) > 300
