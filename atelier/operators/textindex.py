@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fulltext
 from ..sources import versions
+from .scratch import cut
 from .search import Where, always
 
 LAYOUT = {"postings": ["initial"], "fresh": ["initial"]}
@@ -38,7 +39,8 @@ def postings(table: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
-    """In order of token and id, so that files and row groups hold ranges; a token of many rows takes several."""
+    """In order of token and id, so that files and row groups hold ranges; a token of many rows takes several. Spark goes through the rows twice, first to find the
+    ranges, so they should be read, not made: words are split once, then written."""
     return rows.repartitionByRange("initial", "token", "id").sortWithinPartitions("initial", "token", "id", "field", "place")
 
 
@@ -71,7 +73,7 @@ class TextIndex:
 
 def build(spark: SparkSession, root: str, table: DataFrame, key: str, columns: list[str]) -> versions.Snapshot:
     """A new index, or one that replaces what is there."""
-    rows = _ordered(postings(table, key, columns))
+    rows = _ordered(cut(postings(table, key, columns)))
     return versions.commit(versions.snapshot(spark, root), {"postings": rows, "fresh": rows.limit(0), "stale": rows.select("id").limit(0)}, layout=LAYOUT)
 
 
@@ -85,7 +87,7 @@ def refresh(spark: SparkSession, root: str, changed: DataFrame, gone: DataFrame,
 
     def made(base: versions.Snapshot) -> dict[str, DataFrame]:
         now = opened(base)
-        fresh = now.fresh.join(touched, "id", "left_anti").unionByName(postings(changed, key, columns))
+        fresh = now.fresh.join(touched, "id", "left_anti").unionByName(cut(postings(changed, key, columns)))
         return {"fresh": _ordered(fresh), "stale": now.stale.union(touched).distinct()}
 
     return versions.update(spark, root, made, layout=LAYOUT)
@@ -96,6 +98,6 @@ def compact(spark: SparkSession, root: str) -> versions.Snapshot:
 
     def made(base: versions.Snapshot) -> dict[str, DataFrame]:
         now = opened(base)
-        return {"postings": _ordered(now.base.join(now.stale, "id", "left_anti").unionByName(now.fresh)), "fresh": now.fresh.limit(0), "stale": now.stale.limit(0)}
+        return {"postings": _ordered(cut(now.base.join(now.stale, "id", "left_anti").unionByName(now.fresh))), "fresh": now.fresh.limit(0), "stale": now.stale.limit(0)}
 
     return versions.update(spark, root, made, layout=LAYOUT)

@@ -61,3 +61,17 @@ def test_changes_and_compaction(spark, table, tmp_path):
 def test_an_empty_table(spark, table, tmp_path):
     index = textindex.opened(textindex.build(spark, f"{tmp_path}/none", table.limit(0), "id", ["name"]))
     assert index.holding("red").count() == 0
+
+
+def test_words_are_split_once(spark, tmp_path):
+    """Finding the ranges of tokens goes through the rows as well; it reads them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    table = spark.range(500).selectExpr("id", "concat('w', id, ' red') AS name").mapInArrow(run, "id long, name string")
+    index = textindex.opened(textindex.build(spark, f"{tmp_path}/words", table, "id", ["name"]))
+    assert index.base.count() == 1000 and seen.value == 500
