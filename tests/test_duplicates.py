@@ -172,3 +172,43 @@ def test_meetings_of_packs_are_dealt_by_their_number(spark, monkeypatch):
     assert got == overlaps_by_hand(held) and len(got) > 1000
     dealt = [int(n) for plan in plans for n in re.findall(r"hashpartitioning\(c#\d+, (\d+)\), REPARTITION_BY_NUM", plan)]
     assert dealt and max(dealt) >= 20
+
+
+def rows_shuffled(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_packs_that_share_by_chance_write_no_pairs(spark):
+    """1,500 packs of 100 of 3,000 contents, any two of which share some three, and a near copy of each tenth: what is shuffled grows with what packs hold, not with the 1.4 million pairs that meet."""
+    rng = random.Random(2)
+    held = [(p, c) for p in range(1500) for c in rng.sample(range(3000), 100)]
+    held += [(p + 10_000, c if c % 5 else c + 5000) for p, c in held if p % 10 == 0]
+    table = duplicates.cut(spark.createDataFrame(held, "pack_id long, sha256 long"))
+    before = rows_shuffled(spark)
+    got = {tuple(r) for r in duplicates.pack_overlaps(table).select("a", "b", "kind", "shared", "jaccard").collect()}
+    assert got == overlaps_by_hand(held) and len(got) > 100
+    assert rows_shuffled(spark) - before < 6 * len(held)
+
+
+@pytest.mark.parametrize("least", [0.4, 0.5, 0.75])
+def test_packs_of_many_classes_and_chunks(spark, least, monkeypatch):
+    """Packs from one to some thousand contents, so of up to nine bits of classes, and subsets and copies of them of every size; chunks of 80, cells of 8 for contents of very many packs, keys that are text."""
+    monkeypatch.setattr(duplicates.overlaps, "CHUNK", 80)
+    monkeypatch.setattr(duplicates.overlaps, "BLOCK", 8)
+    rng = random.Random(int(least * 100))
+    sets = {}
+    for p in range(240):
+        if p % 3 == 0 or not sets:
+            own = {f"c{c}" for c in rng.sample(range(30_000), int(1.5 ** rng.uniform(0, 19)))}
+        else:
+            other = sorted(rng.choice(list(sets.values())))
+            own = set(rng.sample(other, max(1, int(len(other) * rng.uniform(0.2, 1)))))
+            own |= {f"x{rng.randrange(1 << 40)}" for _ in range(int(len(own) * rng.choice([0, 0, 0.2, 0.6])))}
+        sets[p] = own | {"all"} if p % 2 else own
+    held = [(f"p{p}", c) for p, own in sets.items() for c in own]
+    table = spark.createDataFrame(held, "pack_id string, sha256 string")
+    got = {tuple(r) for r in duplicates.pack_overlaps(table, least).select("a", "b", "kind", "shared", "jaccard").collect()}
+    want = overlaps_by_hand(held, least)
+    assert got == want and {"a_in_b", "b_in_a", "overlap"} <= {r[2] for r in want}
