@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Counts of contents by hash, which order them; contents of a set in one row, of whole classes if 80 at least; rows (and columns) of a cell; meetings looked at in one step.
 BUCKETS, CHUNK, BLOCK, STEP = 1 << 17, 1 << 12, 2048, 1 << 19
@@ -49,11 +50,34 @@ def whole(batches: Iterator[pa.RecordBatch], starts: Callable[[pa.Table], np.nda
         yield t, starts(t)
 
 
+def _differ(t: pa.Table, name: str) -> np.ndarray:
+    """Whether a row, from the second on, differs from the one before."""
+    c = t.column(name)
+    return pc.not_equal(c.slice(1), c.slice(0, max(len(c) - 1, 0))).to_numpy()
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow`` over ``p, c, h`` (set, content, its hash) sorted by ``p, c``: ``p, n, b, q, cs``: the n contents of a set, each once, in chunks q by the first b bits of their hash. A task holds one set whole."""
+    starts = lambda t: np.flatnonzero(np.r_[True, _differ(t, "p")])
+    for table, at in whole(batches, starts):
+        once = np.flatnonzero(np.r_[True, _differ(table, "p") | _differ(table, "c")])
+        own = np.searchsorted(at, once, "right") - 1
+        n = np.bincount(own, minlength=len(at))
+        b = np.maximum(np.ceil(np.log2(n / CHUNK)), 0).astype(np.int64)
+        q = np.where(b[own] > 0, _column(table, "h")[once].view(np.uint64) >> np.minimum(64 - b[own], 63).astype(np.uint64), np.uint64(0)).astype(np.int64)
+        by = np.lexsort((q, own)) if b.any() else np.arange(len(own))
+        start = changes(own[by], q[by])
+        pack = own[by][start]
+        cs = pa.ListArray.from_arrays(pa.array(np.r_[start, len(by)].astype(np.int32)), table.column("c").take(pa.array(once[by])).combine_chunks())
+        p = table.column("p").take(pa.array(at[pack])).combine_chunks()
+        yield pa.RecordBatch.from_arrays([p, pa.array(n[pack]), pa.array(b[pack].astype(np.int32)), pa.array(q[by][start].astype(np.int32)), cs], ["p", "n", "b", "q", "cs"])
+
+
 def _column(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).to_numpy()
 
 
-def _chunks(t: pa.Table) -> np.ndarray:
+def _pieces(t: pa.Table) -> np.ndarray:
     return np.flatnonzero(_column(t, "pos") == 0)
 
 
@@ -76,7 +100,7 @@ def posted(least: float, counts: np.ndarray) -> Callable:
     usual = 4 * float(counts.mean())
 
     def run(batches):
-        for table, at in whole(batches, _chunks):
+        for table, at in whole(batches, _pieces):
             n, v, h = (_column(table, name) for name in ("n", "v", "h"))
             chunk = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(n)]))
             own, most = (np.searchsorted(LEVELS, x, "right") for x in (n, np.floor(n / least + _SURE)))
@@ -158,7 +182,7 @@ def asking(counts: np.ndarray) -> Callable:
     """For ``mapInArrow`` over contents of chunks: ``p, n, c, h, g`` of the first few of each chunk, by the order ``g, h, c`` of contents."""
 
     def run(batches):
-        for table, at in whole(batches, _chunks):
+        for table, at in whole(batches, _pieces):
             n, v, h = (_column(table, name) for name in ("n", "v", "h"))
             g, size = in_order(counts, h), np.diff(np.r_[at, len(n)])
             by = np.lexsort((v, h, g, np.repeat(np.arange(len(at)), size)))
