@@ -25,7 +25,7 @@ def many_packs(folder, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["pack_containment"])
+@pytest.mark.parametrize("name", ["pack_containment", "dup_report"])
 def test_pairs_that_meet_by_chance_are_not_shuffled(spark, many_packs, name):
     before = rows_shuffled(spark)
     found = rows_of_spark(registry.QUERIES[name](spark, many_packs))
